@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _listed(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _only_value(listed: Column, text: Column) -> Column:
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    closed = ~text.contains("]") | keyed.isNotNull()
+    return F.when(alone & closed, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def strict_json(text: Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else null.
 
@@ -14,11 +25,59 @@ def strict_json(text: Column) -> Column:
     element, unless it starts with a closing bracket; a second wrapping in
     braces, which that text cannot satisfy too, settles those cases.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return _only_value(_listed(text), text)
+
+
+def with_strict_json(df: DataFrame, name: str, text: str) -> DataFrame:
+    """Add `strict_json` of a column, parsing most rows once."""
+    listed = df.withColumn(f"_listed_{name}", _listed(F.col(text)))
+    return listed.withColumn(
+        name, _only_value(F.col(f"_listed_{name}"), F.col(text))).drop(f"_listed_{name}")
+
+
+def _listed_struct(text: Column, ddl: str) -> Column:
+    options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{ddl}>>", options)
+
+
+def _only_struct(listed: Column, text: Column) -> Column:
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
     closed = ~text.contains("]") | keyed.isNotNull()
-    return F.when(alone & closed, F.try_variant_get(listed, "$[0]", "variant"))
+    return F.when((F.size(listed) == 1) & closed, F.get(listed, F.lit(0)))
+
+
+def strict_struct(text: Column, ddl: str) -> Column:
+    """Members of a text that is exactly one JSON object, else null.
+
+    As strict as `strict_json`, in one pass.  A STRING member takes any value,
+    other than strings as JSON text, and is null when null or absent; a
+    VARIANT member tells all of these apart.
+    """
+    return _only_struct(_listed_struct(text, ddl), text)
+
+
+def with_strict_struct(df: DataFrame, name: str, text: str, ddl: str) -> DataFrame:
+    """Add `strict_struct` of a column, parsing most rows once."""
+    listed = df.withColumn(f"_listed_{name}", _listed_struct(F.col(text), ddl))
+    return listed.withColumn(
+        name, _only_struct(F.col(f"_listed_{name}"), F.col(text))).drop(f"_listed_{name}")
+
+
+def may_be_no_string(text: Column) -> Column:
+    """Whether a STRING member may stem from a number, boolean, object or array."""
+    return text.rlike(
+        r"\A(?:[\[{\x22]|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z|true\z|false\z)")
+
+
+def members(doc: Column, names, kind: str = "variant") -> Column:
+    """Members of an object as one struct, null if `doc` is no object."""
+    return F.try_variant_get(
+        doc, "$", "struct<" + ",".join(f"`{n}`:{kind}" for n in names) + ">")
+
+
+def is_object(doc: Column) -> Column:
+    return members(doc, ["_"]).isNotNull()
 
 
 def field(doc: Column, name: str) -> Column:
@@ -49,15 +108,16 @@ def is_object_text(json_text: Column) -> Column:
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns whose expressions are worth evaluating a single time.
+    """Add columns, and keep later filters from computing them again.
 
     A filter on something derived from a projected column is pushed below the
     projection with the column's expression copied into it, so a parse would
-    run again for each use.  Filters stay above a generator, and a one-element
-    array makes `inline` a projection with that property.
+    run again for each use.  Filters stay above a generator, and `inline` of a
+    one-element array is a generator that passes its columns through.
     """
-    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    staged = df.withColumns({f"_staged_{name}": expr for name, expr in columns.items()})
+    row = F.struct(*[F.col(f"_staged_{name}").alias(name) for name in columns])
+    return staged.select(*df.columns, F.inline(F.array(row)))
 
 
 _STRING = r'"[^"]*"'

@@ -11,11 +11,16 @@ _SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    # Only blanks, control characters and characters beyond ASCII can be white
+    # space, so most values are done after a look at both ends.
+    first, last = F.substring(c, 1, 1), F.substring(c, -1, 1)
+    suspect = (first <= " ") | (last <= " ") | (first > "~") | (last > "~")
+    return F.when(
+        suspect, F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | c.rlike(rf"(?U)\A{_SPACE}*\z")
+    return c.isNull() | (strip(c) == "")
 
 
 def strip_slashes(c: Column) -> Column:

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskframe.functions.json_values import computed_once, strict_json
+from taskframe.functions.json_values import computed_once, strict_json, with_strict_json
 from taskframe.functions.paths import literal_map
 from taskframe.functions.text import strip
 from taskframe.operators.percentiles import grouped_percentile
@@ -129,7 +129,7 @@ def _is_image(part: Column) -> Column:
 def read_responses(responses: DataFrame) -> DataFrame:
     """Add candidates, finish_reason, parts and `problem` for unusable bodies."""
     c = F.col
-    df = computed_once(responses, _doc=strict_json(c("body")))
+    df = with_strict_json(responses, "_doc", "body")
     first = "$.candidates[0]"
 
     def at(path: str, kind: str = "string") -> Column:
@@ -202,7 +202,7 @@ def extract_answers(texts: DataFrame) -> DataFrame:
         where=F.when(c("_fenced") != "", "fence").when(c("_braces").isNotNull(), "braces")
         .otherwise("text"),
         _found=F.coalesce(F.nullif("_fenced", F.lit("")), c("_braces"), c("text")))
-    df = computed_once(df, _first=strict_json(c("_found")))
+    df = with_strict_json(df, "_first", "_found")
     quoted = F.regexp_replace(
         "_found", r"(?U)(\n\s*)([a-zA-Z_][a-zA-Z0-9_]*)\s*:", r'$1"$2":')
     df = computed_once(

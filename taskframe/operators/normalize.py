@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import (
-    as_text, computed_once, field, is_null, is_object_text, is_string, kind, strict_json,
+    as_text, computed_once, is_null, is_object_text, is_string, kind, members,
+    strict_json, with_strict_struct,
 )
 from taskframe.functions.text import (
     has_control_char, is_blank, is_bucket_name, strip,
@@ -111,31 +112,36 @@ def normal_uri(uri: Column, directory: bool) -> Column:
 def check_work_messages(raw: DataFrame, expected_bucket: str) -> DataFrame:
     """All rows with the normalised fields and `reason` (null when accepted)."""
     c = F.col
-    df = computed_once(raw, _doc=strict_json(c("body")))
-    members = {f"_{n}": field(c("_doc"), n) for n in (*REQUIRED_KEYS, "parent_task_id")}
-    df = computed_once(df, **members)
+    texts = ("job_id", "task_id", "user_id", "schema", "step", "input_uri", "output_prefix")
+    ddl = ", ".join(f"{n} string" for n in texts) + (
+        ", params variant, retry_count variant, parent_task_id variant")
+    df = with_strict_struct(raw, "_r", "body", ddl)
+    # Absent, null and boolean members look alike as text; rows with one of
+    # them are looked at member by member.
+    doubtful = c("_r.params").isNull() | c("_r.retry_count").isNull()
+    for n in texts:
+        doubtful = doubtful | c(f"_r.{n}").isNull() | c(f"_r.{n}").isin("true", "false")
+    df = df.withColumn("_doubtful", c("_r").isNotNull() & doubtful)
+    df = df.withColumn("_m", F.when(
+        c("_doubtful"), members(strict_json(c("body")), REQUIRED_KEYS)))
     missing = F.lit(False)
     for name in REQUIRED_KEYS:
-        missing = missing | c(f"_{name}").isNull()
-    given = {n: plain_text(c(f"_{n}")) for n in
-             ("job_id", "task_id", "user_id", "schema", "step")}
-    df = computed_once(
-        df,
-        **{f"_t_{n}": strip(v) for n, v in given.items()},
-        _t_input_uri=strip(plain_text(c("_input_uri"))),
-        _t_output_prefix=strip(plain_text(c("_output_prefix"))),
-        params=F.to_json("_params"),
-        retry_count=integer(c("_retry_count")),
-        parent_task_id=as_text(c("_parent_task_id")),
-        _no_object=~is_object_text(F.to_json("_doc")),
-        _missing=missing)
+        missing = missing | c(f"_m.{name}").isNull()
+    df = df.withColumns({
+        **{f"_t_{n}": strip(F.when(c("_doubtful"), plain_text(c(f"_m.{n}")))
+                            .otherwise(c(f"_r.{n}"))) for n in texts},
+        "params": F.to_json("_r.params"),
+        "retry_count": integer(c("_r.retry_count")),
+        "_parent": c("_r.parent_task_id"),
+        "parent_task_id": as_text(c("_r.parent_task_id")),
+        "_missing": c("_doubtful") & missing})
     reason = F.coalesce(
-        F.when(c("_doc").isNull(), "parse"),
-        F.when(c("_no_object"), "root"),
+        F.when(c("_r").isNull(), F.when(
+            strict_json(c("body")).isNull(), "parse").otherwise("root")),
         F.when(c("_missing"), "missing"),
         F.when(~is_object_text(c("params")), "params"),
         F.when(c("retry_count").isNull(), "retry"),
-        F.when(~is_null(c("_parent_task_id")) & ~is_string(c("_parent_task_id")), "parent"),
+        F.when(~is_null(c("_parent")) & ~is_string(c("_parent")), "parent"),
         F.when(c("_t_job_id") == "", "job_id"),
         s3_problem(c("_t_input_uri"), "input", expected_bucket),
         s3_problem(c("_t_output_prefix"), "prefix", expected_bucket),

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskframe.functions.json_values import field, is_null, is_object_text, strict_json
+from taskframe.functions.json_values import field, is_null, is_object, with_strict_json
 from taskframe.operators.normalize import integer
 from taskframe.operators.ranking import top_per_group
 from taskframe.schemas import (
@@ -49,24 +49,23 @@ def poison_messages(messages: DataFrame, max_receives: int = MAX_RECEIVES) -> Da
     return messages.filter(is_poison(F.col("receive_count"), max_receives))
 
 
-def retries_of(payload: Column) -> Column:
-    """Retry count of a message payload, 0 if absent or not a number."""
-    value = field(payload, "retry_count")
-    return F.when(is_null(value), F.lit(0)).otherwise(F.coalesce(integer(value), F.lit(0)))
-
-
 def dlq_records(bodies: DataFrame) -> DataFrame:
-    """Dead letters of rows with message_id, body (JSON object) and reason.
+    """Dead letters of rows with message_id, body and reason.
 
-    Bodies that are not JSON objects are kept as JSON strings.
+    The letter carries the retry count of the body, 0 if it has none.  Bodies
+    that are no JSON object are kept as JSON strings.
     """
-    doc = strict_json(F.col("body"))
-    original = F.when(is_object_text(F.to_json(doc)), doc).otherwise(
-        F.col("body").cast("variant"))
+    c = F.col
+    df = with_strict_json(bodies, "_doc", "body")
+    df = df.withColumns({
+        "_object": is_object(c("_doc")), "_retries": field(c("_doc"), "retry_count")})
+    retries = F.when(is_null(c("_retries")), F.lit(0)).otherwise(
+        F.coalesce(integer(c("_retries")), F.lit(0)))
     record = F.struct(
         F.coalesce("reason", F.lit("poison-pill")).alias("reason"),
-        retries_of(doc).alias("retry_count"), original.alias("original"))
-    return bodies.select("message_id", F.to_json(record).alias("body"))
+        retries.alias("retry_count"),
+        F.when(c("_object"), c("_doc")).otherwise(c("body").cast("variant")).alias("original"))
+    return df.select("message_id", F.to_json(record).alias("body"))
 
 
 def clamp_delay(seconds: Column) -> Column:

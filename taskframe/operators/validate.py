@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import (
-    as_text, computed_once, depth_at_most, field, is_null, is_object_text, is_string,
-    kind, size_at_most,
+    computed_once, depth_at_most, is_null, is_object_text, is_string, kind,
+    may_be_no_string, members, size_at_most, strict_json,
 )
 from taskframe.functions.paths import has_extension, task_prefix
 from taskframe.functions.text import contains_any, is_id, is_trace_id
-from taskframe.operators.envelopes import parse_envelopes
+from taskframe.operators.envelopes import payload_problem, read_payloads
 from taskframe.schemas import (
     MAX_JOB_ID, MAX_PARAMS_BYTES, MAX_PARAMS_DEPTH, MAX_TASK_ID, MAX_TRACE_ID,
     MAX_USER_ID, REQUIRED_FIELDS, SCHEMA_VERSIONS,
@@ -67,33 +67,46 @@ def check_messages(raw: DataFrame, dag: Dag, buckets: Sequence[str]) -> DataFram
     `reason` is null for an accepted row.  The rules apply in a fixed order and
     only the first failure counts.  No shuffle, no Python.
     """
-    parsed = parse_envelopes(raw)
-    names = (*REQUIRED_FIELDS, "retry_count", *_OPTIONAL_TEXT)
-    members = {f"_{n}": field(F.col("payload"), n) for n in names}
-    df = computed_once(parsed, **members)
-
-    missing = F.array_compact(F.array(
-        *[F.when(F.col(f"_{n}").isNull(), F.lit(n)) for n in REQUIRED_FIELDS]))
-    params = F.to_json("_params")
-    retry_kind = kind(F.col("_retry_count"))
-    wrong_type = F.coalesce(
-        *[F.when(~is_string(F.col(f"_{n}")), F.lit(n)) for n in _TEXT_FIELDS],
-        F.when(~is_object_text(params), F.lit("params")),
-        F.when(F.col("_retry_count").isNotNull()
-               & ~retry_kind.isin("BIGINT", "BOOLEAN"), F.lit("retry_count")),
-        *[F.when(~is_null(F.col(f"_{n}")) & ~is_string(F.col(f"_{n}")), F.lit(n))
-          for n in _OPTIONAL_TEXT])
-    values = {n: as_text(F.col(f"_{n}")) for n in (*_TEXT_FIELDS, *_OPTIONAL_TEXT)}
-    retries = F.coalesce(
-        F.try_variant_get(F.col("_retry_count"), "$", "int"), F.lit(0))
-    df = computed_once(
-        df, **values, params=params, retry_count=retries, _missing=missing,
-        _wrong_type=wrong_type)
-
     c = F.col
+    texts = (*_TEXT_FIELDS, *_OPTIONAL_TEXT)
+    ddl = ", ".join(f"{n} string" for n in texts) + ", params variant, retry_count variant"
+    df = read_payloads(raw, ddl)
+    df = df.withColumns({
+        **{n: c(f"_r.{n}") for n in texts},
+        "_params": c("_r.params"), "_retry": c("_r.retry_count"),
+        "params": F.to_json("_r.params")})
+
+    # Most rows show by their texts alone that every member is there and a
+    # string.  Only the others are looked at member by member.
+    doubtful = c("_params").isNull()
+    for n in texts:
+        doubtful = doubtful | F.coalesce(may_be_no_string(c(n)), F.lit(n in _TEXT_FIELDS))
+    df = df.withColumn("_doubtful", c("_r").isNotNull() & doubtful)
+    df = df.withColumns({
+        "_m": F.when(c("_doubtful"), members(strict_json(c("_text")), texts)),
+        "_retry_kind": kind(c("_retry"))})
+    m = {n: c(f"_m.{n}") for n in texts}
+
+    missing = F.concat_ws(
+        ", ", *[F.when((m[n] if n in m else c(f"_{n}")).isNull(), F.lit(n))
+                for n in REQUIRED_FIELDS])
+    no_object = F.when(~is_object_text(c("params")), F.lit("params"))
+    no_count = F.when(
+        c("_retry").isNotNull() & ~c("_retry_kind").isin("BIGINT", "BOOLEAN"),
+        F.lit("retry_count"))
+    wrong_type = F.when(c("_doubtful"), F.coalesce(
+        *[F.when(~is_string(m[n]), F.lit(n)) for n in _TEXT_FIELDS], no_object, no_count,
+        *[F.when(~is_null(m[n]) & ~is_string(m[n]), F.lit(n)) for n in _OPTIONAL_TEXT],
+    )).otherwise(F.coalesce(no_object, no_count))
+    retries = F.when(
+        c("_retry_kind").isin("BIGINT", "BOOLEAN"), F.try_variant_get(c("_retry"), "$", "int"))
+    df = df.withColumns({
+        "retry_count": F.coalesce(retries, F.lit(0)),
+        "_missing": F.when(c("_doubtful"), missing).otherwise(""), "_wrong_type": wrong_type})
+
     checks = [
-        ("parse", c("parse_problem").isNull(), c("parse_problem")),
-        ("missing", F.size("_missing") == 0, F.array_join("_missing", ", ")),
+        ("parse", c("_r").isNotNull(), payload_problem()),
+        ("missing", c("_missing") == "", c("_missing")),
         ("type", c("_wrong_type").isNull(), c("_wrong_type")),
         ("user_id", is_id(c("user_id"), MAX_USER_ID), c("user_id")),
         ("job_id", is_id(c("job_id"), MAX_JOB_ID), c("job_id")),
@@ -116,7 +129,7 @@ def check_messages(raw: DataFrame, dag: Dag, buckets: Sequence[str]) -> DataFram
         for name, ok, detail in checks])
     df = computed_once(df, _verdict=verdict)
     return df.select(
-        *MESSAGE_COLUMNS, "body", "payload", c("_verdict.reason").alias("reason"),
+        *MESSAGE_COLUMNS, "body", c("_verdict.reason").alias("reason"),
         c("_verdict.detail").alias("detail"))
 
 

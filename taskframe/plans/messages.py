@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taskframe.functions import paths
 from taskframe.operators import normalize, serialize, validate
-from taskframe.operators.envelopes import parse_envelopes
+from taskframe.operators.envelopes import parse_envelopes, read_payloads
 from taskframe.functions.json_values import as_text, computed_once, field
 from taskframe.plans.registry import Jobs
 from taskframe.sources.dag import Dag
@@ -246,11 +246,11 @@ select message_id, input_uri, output_prefix,
   concat(array_to_string(string_split(output_prefix, '/')[1:6], '/'), '/') as step_prefix
 from uris""")
 def _uri_parts(spark, sf_dir):
-    parsed = parse_envelopes(table(spark, sf_dir, "raw_messages"))
+    payloads = read_payloads(
+        table(spark, sf_dir, "raw_messages"), "input_uri string, output_prefix string")
     uris = computed_once(
-        parsed.filter("parse_problem is null"),
-        input_uri=as_text(field(F.col("payload"), "input_uri")),
-        output_prefix=as_text(field(F.col("payload"), "output_prefix")))
+        payloads, known=F.col("_r").isNotNull(), input_uri=F.col("_r.input_uri"),
+        output_prefix=F.col("_r.output_prefix")).filter("known")
     return uris.select(
         "message_id", "input_uri", "output_prefix",
         paths.uri_problem(F.col("input_uri")).alias("problem"),

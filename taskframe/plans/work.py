@@ -116,13 +116,12 @@ def _dlq_records(spark, sf_dir):
     dead = checked.filter(
         F.col("reason").isNotNull() | queues.is_poison(F.col("receive_count")))
     letters = queues.dlq_records(dead.select("message_id", "reason", "body"))
-    doc = F.parse_json("body")
-    original = F.try_variant_get(doc, "$.original", "variant")
-    is_object = F.schema_of_variant(original).startswith("OBJECT")
-    return letters.select(
-        "message_id", F.variant_get(doc, "$.reason", "string").alias("reason"),
-        F.variant_get(doc, "$.retry_count", "bigint").alias("retry_count"),
-        is_object.alias("is_object"),
+    members = "struct<reason:string,retry_count:bigint,original:variant>"
+    letter = F.from_json("body", members)
+    original = F.col("l.original")
+    is_object = F.schema_of_variant(original) != "STRING"
+    return letters.select("message_id", letter.alias("l")).select(
+        "message_id", "l.reason", "l.retry_count", is_object.alias("is_object"),
         F.when(~is_object, F.variant_get(original, "$", "string")).alias("raw_body"))
 
 
