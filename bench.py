@@ -1,7 +1,7 @@
 """Time the headline jobs and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (8),
-BENCH_RUNS (3, the median counts).  Every job runs over its whole tables into
+BENCH_RUNS (1, the median counts).  Every job runs over its whole tables into
 the no-op sink, after one unmeasured run.
 """
 
@@ -36,7 +36,7 @@ def measure(spark, run, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     only = os.environ.get("BENCH_ONLY")
     spark = local_session(cpus, shuffle_partitions=cpus)
     jobs = all_jobs()

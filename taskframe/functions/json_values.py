@@ -80,6 +80,11 @@ def is_object(doc: Column) -> Column:
     return members(doc, ["_"]).isNotNull()
 
 
+def json_or_text(text: Column) -> Column:
+    """VARIANT of a JSON text; text that is not JSON becomes a JSON string."""
+    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+
+
 def field(doc: Column, name: str) -> Column:
     """A member as VARIANT: SQL null if absent, a VARIANT null if JSON null."""
     return F.try_variant_get(doc, f"$.{name}", "variant")

@@ -41,8 +41,16 @@ PRIMARY_NAMES = {
 DEFAULT_PRIMARY_NAME = "result.json"
 
 
+def _sql_literal(value) -> str:
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(entries: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    """A constant map, built as one expression."""
+    flat = ", ".join(_sql_literal(x) for pair in entries.items() for x in pair)
+    return F.expr(f"map({flat})")
 
 
 def has_extension(name: Column, extensions=tuple(EXTENSION_TYPES)) -> Column:

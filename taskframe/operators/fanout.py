@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskframe.functions.json_values import is_object_text, strict_json
+from taskframe.functions.json_values import is_object_text, json_or_text, strict_json
 from taskframe.functions.paths import slot_folder, slot_index, task_prefix
 from taskframe.schemas import SEND_BATCH
 
@@ -90,7 +90,7 @@ def message_body() -> Column:
     """JSON body of a child message."""
     return F.to_json(F.struct(
         "job_id", "task_id", "user_id", "schema", "step", "input_uri", "output_prefix",
-        F.parse_json("params").alias("params"), "parent_task_id", "trace_id", "retry_count"))
+        json_or_text(F.col("params")).alias("params"), "parent_task_id", "trace_id", "retry_count"))
 
 
 def batches(messages: DataFrame) -> DataFrame:

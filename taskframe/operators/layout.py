@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskframe.functions.json_values import computed_once
+from taskframe.functions.json_values import computed_once, json_or_text
 from taskframe.functions.paths import (
     clean_file_name, content_type, file_name_problem, has_extension, slot_folder,
     slot_index,
@@ -169,7 +169,7 @@ def completions(tasks: DataFrame) -> DataFrame:
         "schema", "job_id", "task_id", "user_id",
         strip(F.upper("step")).alias("step"),
         F.coalesce("input_uri", F.lit("")).alias("input_uri"), "output_prefix",
-        F.parse_json(F.coalesce("params", F.lit("{}"))).alias("params"),
+        json_or_text(F.coalesce("params", F.lit("{}"))).alias("params"),
         F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
         # Named even when there is none.
         F.coalesce(primary, F.parse_json(F.lit("null"))).alias("primary_result_uri"),

@@ -167,9 +167,12 @@ def parse_text_responses(responses: DataFrame) -> DataFrame:
     return df.withColumns({
         "text": F.when(good & has_text, strip(
             F.array_join(F.transform("_texts", lambda p: p["text"]), ""))),
-        "image": F.when(good & ~has_text & has_image, F.unbase64(last)),
-        "problem": F.when(good & ~has_text & ~has_image, "no_text").otherwise(c("problem")),
-    }).drop("_texts", "_images", "parts")
+        "image": F.when(good & ~has_text & has_image, F.try_to_binary(last, F.lit("base64"))),
+    }).withColumn(
+        "problem",
+        F.when(good & ~has_text & ~has_image, "no_text")
+        .when(good & ~has_text & c("image").isNull(), "bad_image")
+        .otherwise(c("problem"))).drop("_texts", "_images", "parts")
 
 
 def parse_image_responses(responses: DataFrame) -> DataFrame:
@@ -181,9 +184,11 @@ def parse_image_responses(responses: DataFrame) -> DataFrame:
     found = F.size("_images") > 0
     data = F.coalesce(_inline(F.try_element_at(c("_images"), F.lit(1)))["data"], F.lit(""))
     return df.withColumns({
-        "image": F.when(good & found, F.unbase64(data)),
-        "problem": F.when(good & ~found, "no_image").otherwise(c("problem")),
-    }).drop("_images", "parts")
+        "image": F.when(good & found, F.try_to_binary(data, F.lit("base64"))),
+    }).withColumn(
+        "problem",
+        F.when(good & ~found, "no_image").when(good & c("image").isNull(), "bad_image")
+        .otherwise(c("problem"))).drop("_images", "parts")
 
 
 def extract_answers(texts: DataFrame) -> DataFrame:

@@ -84,7 +84,11 @@ def lower_hex_segments(key: Column) -> Column:
             plain.rlike(r"\A(?:[0-9A-Fa-f]{8}|[0-9A-Fa-f]{32})\n?\z"), F.lower(plain),
         ).otherwise(seg)
 
-    return F.array_join(F.transform(F.split(key, "/"), segment), "/")
+    # Without an escape or a hex segment in capitals there is nothing to do.
+    touched = key.rlike(
+        r"%|(?:\A|/)(?=[0-9a-f]*[A-F])(?:[0-9A-Fa-f]{8}|[0-9A-Fa-f]{32})(?:/|\z)")
+    return F.when(
+        touched, F.array_join(F.transform(F.split(key, "/"), segment), "/")).otherwise(key)
 
 
 def s3_problem(uri: Column, role: str, expected_bucket: str) -> Column:
@@ -102,11 +106,12 @@ def s3_problem(uri: Column, role: str, expected_bucket: str) -> Column:
 
 
 def normal_uri(uri: Column, directory: bool) -> Column:
-    parts = F.split(F.substring(uri, 6, 1 << 30), "/", 2)
-    key = lower_hex_segments(F.element_at(parts, 2))
+    path = F.substring(uri, 6, 1 << 30)
+    bucket = F.substring_index(path, "/", 1)
+    key = lower_hex_segments(F.substring(path, F.length(bucket) + 2, F.lit(1 << 30)))
     if directory:
         key = F.when(key.endswith("/"), key).otherwise(F.concat(key, F.lit("/")))
-    return F.concat(F.lit("s3://"), F.element_at(parts, 1), F.lit("/"), key)
+    return F.concat(F.lit("s3://"), bucket, F.lit("/"), key)
 
 
 def check_work_messages(raw: DataFrame, expected_bucket: str) -> DataFrame:

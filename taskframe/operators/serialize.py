@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskframe.functions.json_values import computed_once
+from taskframe.functions.json_values import computed_once, json_or_text
 from taskframe.functions.text import strip
 
 
@@ -20,7 +20,7 @@ def serialize_work_messages(normalized: DataFrame) -> DataFrame:
     """`body` of each normalised message; a null parent is left out."""
     body = F.to_json(F.struct(
         "job_id", "task_id", "user_id", "schema", "step", "input_uri", "output_prefix",
-        F.parse_json("params").alias("params"), "retry_count", "parent_task_id"))
+        json_or_text(F.col("params")).alias("params"), "retry_count", "parent_task_id"))
     return normalized.select("message_id", body.alias("body"))
 
 
@@ -38,13 +38,13 @@ def serialize_task_messages(messages: DataFrame) -> Serialized:
         "job_id", "task_id", "user_id",
         F.coalesce("schema", F.lit("v1")).alias("schema"),
         strip(F.upper("step")).alias("step"), "input_uri", "output_prefix",
-        F.parse_json(F.coalesce("params", F.lit("{}"))).alias("params"),
+        json_or_text(F.coalesce("params", F.lit("{}"))).alias("params"),
         F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
         "trace_id", "parent_task_id"))
     df = computed_once(messages, _problem=problem, _base=base)
     if "extra" in messages.columns:
         members = "map<string,variant>"
-        known = F.try_variant_get(F.parse_json("_base"), "$", members)
+        known = F.try_variant_get(F.try_parse_json("_base"), "$", members)
         extra = F.try_variant_get(F.try_parse_json("extra"), "$", members)
         added = F.map_filter(extra, lambda k, _: ~F.array_contains(F.map_keys("_known"), k))
         df = computed_once(df, _known=known)

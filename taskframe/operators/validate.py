@@ -37,7 +37,7 @@ class Validated(NamedTuple):
 
 
 def input_uri_ok(uri: Column, buckets: Sequence[str]) -> Column:
-    bucket = F.element_at(F.split(F.substring(uri, 6, 1 << 30), "/", 2), 1)
+    bucket = F.substring_index(F.substring(uri, 6, 1 << 30), "/", 1)
     good = (
         (uri.startswith("s3://") | uri.startswith("r2://"))
         & ~contains_any(uri, ("..", "\x00", ";", "|", "&", "$(", "`"))

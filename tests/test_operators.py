@@ -263,6 +263,9 @@ def test_responses(spark):
     assert (rows[0].text, rows[0].finish_reason, rows[0].image) == ("ab", "STOP", None)
     assert bytes(rows[1].image) == b"A"
     assert [r.problem for r in rows] == [None, None, "no_text", "no_parts", "no_candidates", "not_json"]
+    broken = {"inline_data": {"mime_type": "image/png", "data": "Q"}}
+    assert model_calls.parse_text_responses(
+        responses(spark, candidate(broken))).first().problem == "bad_image"
     first = model_calls.parse_image_responses(responses(spark, candidate({"text": "t"}, image))).first()
     assert bytes(first.image) == b"AB"
 

@@ -25,7 +25,9 @@ def duck():
 def text(value):
     if value is None or (pd.api.types.is_scalar(value) and pd.isna(value)):
         return "NULL"
-    return repr(round(float(value), 9)) if isinstance(value, float) else str(value)
+    if isinstance(value, float):  # pandas turns integers with nulls into floats
+        return str(int(value)) if value.is_integer() else repr(round(value, 9))
+    return str(value)
 
 
 def rows(df):
