@@ -112,17 +112,22 @@ def is_object_text(json_text: Column) -> Column:
     return F.coalesce(json_text.startswith("{"), F.lit(False))
 
 
-def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns, and keep later filters from computing them again.
+def sealed(df: DataFrame, keep, columns) -> DataFrame:
+    """Columns `keep` as they are and `columns` computed once.
 
     A filter on something derived from a projected column is pushed below the
     projection with the column's expression copied into it, so a parse would
     run again for each use.  Filters stay above a generator, and `inline` of a
     one-element array is a generator that passes its columns through.
     """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns, and keep later filters from computing them again."""
     staged = df.withColumns({f"_staged_{name}": expr for name, expr in columns.items()})
-    row = F.struct(*[F.col(f"_staged_{name}").alias(name) for name in columns])
-    return staged.select(*df.columns, F.inline(F.array(row)))
+    return sealed(
+        staged, df.columns, [F.col(f"_staged_{name}").alias(name) for name in columns])
 
 
 _STRING = r'"[^"]*"'

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import (
-    as_text, field, is_object, is_string, strict_json, strict_struct, with_strict_json,
-    with_strict_struct,
+    as_text, field, is_object, is_string, sealed, strict_json, strict_struct,
+    with_strict_json, with_strict_struct,
 )
 
 
@@ -32,10 +32,9 @@ def parse_envelopes(raw: DataFrame, unwrap: bool = True) -> DataFrame:
         .when(F.col("_doc").isNull(), "not_json")
         .when(F.col("payload").isNull(), "envelope_not_json")
         .when(~is_object(F.col("payload")), "not_an_object"))
-    return (
-        df.withColumn("parse_problem", problem)
-        .withColumn("receive_count", F.coalesce("receive_count", F.lit(1)))
-        .drop("_doc"))
+    df = df.withColumns({
+        "parse_problem": problem, "receive_count": F.coalesce("receive_count", F.lit(1))})
+    return sealed(df, raw.columns, ["payload", "parse_problem"])
 
 
 def read_payloads(raw: DataFrame, ddl: str) -> DataFrame:

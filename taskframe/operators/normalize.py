@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import (
-    as_text, computed_once, is_null, is_object_text, is_string, kind, members,
+    as_text, computed_once, is_null, is_object_text, is_string, kind, members, sealed,
     strict_json, with_strict_struct,
 )
 from taskframe.functions.text import (
@@ -153,7 +153,7 @@ def check_work_messages(raw: DataFrame, expected_bucket: str) -> DataFrame:
         F.when(c("_t_user_id") == "", "user_id"),
         F.when(c("_t_step") == "", "step"),
         F.when(c("retry_count") < 0, "retry"))
-    df = computed_once(df, reason=reason)
+    df = df.withColumn("reason", reason)
     good = c("reason").isNull()
     fields = {
         "job_id": normal_job_id(c("_t_job_id")),
@@ -164,10 +164,9 @@ def check_work_messages(raw: DataFrame, expected_bucket: str) -> DataFrame:
         "input_uri": normal_uri(c("_t_input_uri"), directory=False),
         "output_prefix": normal_uri(c("_t_output_prefix"), directory=True),
     }
-    return df.select(
-        "message_id",
+    return sealed(df, ["message_id", "body"], [
         *[F.when(good, v).alias(n) for n, v in fields.items()],
-        "params", "retry_count", "parent_task_id", "reason", "body")
+        "params", "retry_count", "parent_task_id", "reason"])
 
 
 def normalize_messages(raw: DataFrame, expected_bucket: str) -> Normalized:

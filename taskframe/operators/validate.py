@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import (
-    computed_once, depth_at_most, is_null, is_object_text, is_string, kind,
-    may_be_no_string, members, size_at_most, strict_json,
+    depth_at_most, is_null, is_object_text, is_string, kind, may_be_no_string, members,
+    sealed, size_at_most, strict_json,
 )
 from taskframe.functions.paths import has_extension, task_prefix
 from taskframe.functions.text import contains_any, is_id, is_trace_id
@@ -127,10 +127,11 @@ def check_messages(raw: DataFrame, dag: Dag, buckets: Sequence[str]) -> DataFram
         F.when(~F.coalesce(ok, F.lit(False)),
                F.struct(F.lit(name).alias("reason"), detail.alias("detail")))
         for name, ok, detail in checks])
-    df = computed_once(df, _verdict=verdict)
-    return df.select(
-        *MESSAGE_COLUMNS, "body", c("_verdict.reason").alias("reason"),
-        c("_verdict.detail").alias("detail"))
+    raw_columns = ["message_id", "sent_ts", "receive_count", "body"]
+    parsed = [n for n in MESSAGE_COLUMNS if n not in raw_columns]
+    return sealed(df.withColumn("_verdict", verdict), raw_columns, [
+        *parsed, c("_verdict.reason").alias("reason"), c("_verdict.detail").alias("detail"),
+    ]).select(*MESSAGE_COLUMNS, "body", "reason", "detail")
 
 
 def validate_messages(raw: DataFrame, dag: Dag, buckets: Sequence[str]) -> Validated:
