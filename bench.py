@@ -16,7 +16,7 @@ from taskframe.plans.registry import all_jobs
 from taskframe.session import local_session
 
 HEADLINE = (
-    "validate_messages", "rejected_messages", "reject_report", "normalize_messages",
+    "validate_messages", "reject_report", "route_by_step", "normalize_messages",
     "serialize_messages", "uri_parts", "upsert_tasks", "upsert_jobs", "task_state",
     "job_rollup", "join_barrier", "list_tasks", "children_of", "purge_jobs",
     "claim_batch", "queue_stats", "dlq_records", "dedup_messages", "pending_tasks",
