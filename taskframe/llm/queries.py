@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskframe.llm import bpe_codec, packing, token_counts
+from taskframe.llm import bpe_codec, classifier, packing, quality_rules, simhash, token_counts
 from taskframe.llm.frames import read
 
 SEQUENCE, END_ID = 4096, 1
 TOKEN_LIMIT = 1024
+SHINGLE, DIFFERING_BITS = 3, 2
+HOLDOUT_PARTS, QUALITY_CUTOFF = 5, 0.3
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +27,14 @@ def packed(df: DataFrame) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = quality_rules.judge(documents, read(spark, sf_dir, "labels"), carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 4096 tokens."""
     return packed(read(spark, sf_dir, "documents"))
@@ -48,5 +58,32 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_codec, op7_token_counts)}
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: four of five, by a checksum of the id."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLDOUT_PARTS != 0)
+
+
+def with_quality(df: DataFrame, labels: DataFrame) -> DataFrame:
+    return classifier.score(df, training_labels(labels)).withColumn(
+        "predicted", (F.col("score") >= QUALITY_CUTOFF).cast("int"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, from labels outside the held-out fifth."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLDOUT_PARTS == 0
+    scored = with_quality(documents, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(documents, shingle=SHINGLE, bits=DIFFERING_BITS)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_quality_rules, op3_best_fit_packing, op5_bpe_codec, op7_token_counts,
+    op8_quality_classifier, op9_simhash)}
 ORACLES: dict[str, str] = {}
