@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskframe.llm import bpe_codec, classifier, packing, quality_rules, simhash, token_counts
+from taskframe.llm import bpe_codec, classifier, packing, pii, quality_rules, simhash, token_counts
 from taskframe.llm.frames import read
 
 SEQUENCE, END_ID = 4096, 1
@@ -51,6 +51,16 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.taskframe.pseudonym.key", "an example key: set your own")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data pseudonymised, and counts by kind."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(documents, pseudonym_key(spark))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,6 +94,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_best_fit_packing, op5_bpe_codec, op7_token_counts,
+    op2_quality_rules, op3_best_fit_packing, op5_bpe_codec, op6_pii, op7_token_counts,
     op8_quality_classifier, op9_simhash)}
 ORACLES: dict[str, str] = {}
