@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskframe.llm import bpe_codec, classifier, packing, pii, quality_rules, simhash, token_counts
+from taskframe.llm import bpe_codec, classifier, packing, pii, quality_rules, simhash, token_counts, topk
 from taskframe.llm.frames import read
+from taskframe.llm.oracles import TOP_K_SQL, quality_rules_sql
 
 SEQUENCE, END_ID = 4096, 1
 TOKEN_LIMIT = 1024
+QUERY_STEP, TOP = 50, 5
 SHINGLE, DIFFERING_BITS = 3, 2
 HOLDOUT_PARTS, QUALITY_CUTOFF = 5, 0.3
 
@@ -40,6 +42,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    embeddings = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(embeddings, F.col("vec_id") % QUERY_STEP == 0, TOP)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document, and of the text they decode to."""
     path = tokenizer_path("byte_bpe_50k.json")
@@ -94,6 +102,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_best_fit_packing, op5_bpe_codec, op6_pii, op7_token_counts,
+    op2_quality_rules, op3_best_fit_packing, op4_exact_top_k, op5_bpe_codec, op6_pii, op7_token_counts,
     op8_quality_classifier, op9_simhash)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_quality_rules": quality_rules_sql(),
+    "op4_exact_top_k": TOP_K_SQL,
+}
