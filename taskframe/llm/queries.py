@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskframe.llm import bpe_codec, classifier, packing, pii, quality_rules, simhash, token_counts, topk
+from taskframe.llm import bpe_codec, classifier, licenses, packing, pii, quality_rules, simhash, token_counts, topk
 from taskframe.llm.frames import read
 from taskframe.llm.oracles import TOP_K_SQL, quality_rules_sql
 
@@ -101,9 +101,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of every document, one row each; documents without any give none."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(documents).select("doc_id", F.explode("licenses").alias("x"))
+    return found.select("doc_id", "x.license", "x.line", "x.saving", "x.differences", "x.wording")
+
+
 QUERIES = {f.__name__: f for f in (
     op2_quality_rules, op3_best_fit_packing, op4_exact_top_k, op5_bpe_codec, op6_pii, op7_token_counts,
-    op8_quality_classifier, op9_simhash)}
+    op8_quality_classifier, op9_simhash, op10_license_scan)}
 ORACLES = {
     "op2_quality_rules": quality_rules_sql(),
     "op4_exact_top_k": TOP_K_SQL,
