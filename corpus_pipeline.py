@@ -16,12 +16,35 @@ from taskframe.llm.frames import read, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a rule rejects."""
+    return queries.passing_rules(docs, read(spark, sf_dir, "labels"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents scored below the cutoff."""
+    scored = queries.with_quality(docs, read(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(docs.columns)
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id."""
+    return queries.without_duplicates(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With personal data pseudonymised, and n_chars of the new text."""
+    return queries.without_personal_data(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
     return queries.packed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("simhash", simhash),
+    ("pii", pii), ("packing", packing)]
 # Tokens, nearest neighbours and fingerprints are beyond SQL.
 ORACLE_SQL = None
 

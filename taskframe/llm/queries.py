@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskframe.llm import bpe_codec, classifier, licenses, packing, pii, quality_rules, simhash, token_counts, topk
+from taskframe.llm import bpe_codec, classifier, licenses, lm_scoring, packing, pii, quality_rules, simhash, token_counts, topk
 from taskframe.llm.frames import read
 from taskframe.llm.oracles import TOP_K_SQL, quality_rules_sql
 
 SEQUENCE, END_ID = 4096, 1
 TOKEN_LIMIT = 1024
 QUERY_STEP, TOP = 50, 5
+LM_PARTS = 10
 SHINGLE, DIFFERING_BITS = 3, 2
 HOLDOUT_PARTS, QUALITY_CUTOFF = 5, 0.3
 
@@ -29,6 +30,16 @@ def packed(df: DataFrame) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the model and the unigram base."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % LM_PARTS == 0
+    # A null id has no checksum; such rows are learned from.
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "held_out", F.coalesce(held_out, F.lit(False)))
+    scored = lm_scoring.score(documents, ~F.col("held_out"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -37,6 +48,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def passing_rules(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that no rule rejects."""
+    return quality_rules.judge(df, labels).where("kept").select(df.columns)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 4096 tokens."""
     return packed(read(spark, sf_dir, "documents"))
@@ -69,6 +85,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents, pseudonym_key(spark))
 
 
+def without_personal_data(df: DataFrame) -> DataFrame:
+    """The documents with pseudonyms; n_chars, if there, follows the text."""
+    made = pii.pseudonymise(df, pseudonym_key(df.sparkSession)).select(df.columns)
+    if "n_chars" in df.columns:
+        kind = df.schema["n_chars"].dataType
+        made = made.withColumn("n_chars", F.length("text").cast(kind))
+    return made
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +126,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def without_duplicates(df: DataFrame) -> DataFrame:
+    """One document of each near-duplicate group."""
+    found = simhash.near_duplicates(df, shingle=SHINGLE, bits=DIFFERING_BITS)
+    return found.where("is_first").select(df.columns)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license notices of every document, one row each; documents without any give none."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,7 +140,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_best_fit_packing, op4_exact_top_k, op5_bpe_codec, op6_pii, op7_token_counts,
+    op1_lm_scoring, op2_quality_rules, op3_best_fit_packing, op4_exact_top_k, op5_bpe_codec, op6_pii, op7_token_counts,
     op8_quality_classifier, op9_simhash, op10_license_scan)}
 ORACLES = {
     "op2_quality_rules": quality_rules_sql(),
