@@ -29,7 +29,8 @@ from taskframe.llm.frames import col, free_name, map_columns, others, written
 
 TERMS, LENGTHS, EXTRA = 1024, 32, 4
 WIDTH = TERMS + LENGTHS + EXTRA
-SAMPLE, DIMENSIONS, NEIGHBOURS = 4096, 48, 25
+# Votes fall by a factor e for each 1 / SHARPNESS of cosine.
+SAMPLE, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 48, 25, 30
 CACHE_ENTRIES = 400_000
 _RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "9"),
          (re.compile(r"(.)\1+"), r"\1\1")]
@@ -154,7 +155,8 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             cosine = vectors @ latent.T
             k = min(neighbours, len(votes))
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0)
+            close = np.take_along_axis(cosine, near, axis=1)
+            weight = np.where(close > 0, np.exp(SHARPNESS * (close - close.max(axis=1, keepdims=True))), 0)
             total = weight.sum(axis=1)
             return np.where(total > 0, (weight * votes[near]).sum(axis=1) / np.where(total > 0, total, 1), base)
 

@@ -41,7 +41,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Words at least this frequent are broadcast: 1 / HOT_SHARE of all tokens.
 HOT_SHARE = 1 << 18
 SHARE, ROUNDS, RATE, BATCH = 64, 3, 0.01, 32
-SMOOTH, PARTS, TASK_WINDOWS = 0.1, 8, 2048
+SMOOTH, PARTS = 0.1, 8
+# Windows of a training task at least, while there are as many.
+TASK_WINDOWS = 8192
 CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
 # Counts a task holds before it hands them on.
 HELD_WORDS, HELD_PAIRS = 300_000, 2_000_000
@@ -184,20 +186,21 @@ def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float)
 
         def run(batches, shared=shared, step=rate / (n + 1)):
             own, tables = {k: v.copy() for k, v in shared.value.items()}, given.value
-            wide, held = attention.CONTEXT + 2, []
+            wide = attention.CONTEXT + 2
 
             def grouped():
+                held = []
                 for batch in batches:
                     for w in batch.column(0).to_pylist():
                         held.append(w)
                         if len(held) == BATCH:
-                            yield unpacked()
+                            yield unpacked(held)
+                            held = []
                 if held:
-                    yield unpacked()
+                    yield unpacked(held)
 
-            def unpacked():
+            def unpacked(held):
                 x = np.frombuffer(b"".join(held), "<i2").reshape(len(held), -1).astype(np.int32)
-                held.clear()
                 goal = x[:, wide:]
                 return x[:, 1:wide], x[:, 0], np.maximum(goal, 0), (goal >= 0).astype(np.float32)
 
