@@ -194,15 +194,19 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(base, r"(?s)[^.].*?(\.[^.]*)\z", 1))
 
 
+# The language's own table, without what a host's files add to it.
+_TYPES = mimetypes.MimeTypes()
+
+
 def content_type(name: Column) -> Column:
     """Content type by extension; texts and JSON also name their charset."""
     ext = extension(name)
-    packed = ext.isin(*mimetypes.encodings_map)
+    packed = ext.isin(*_TYPES.encodings_map)
     inner = extension(F.regexp_replace(name, r"\.[^.]*\z", ""))
     found = F.coalesce(
         F.element_at(literal_map(EXTENSION_TYPES), ext),
         F.element_at(
-            literal_map(mimetypes.types_map), F.when(packed, inner).otherwise(ext)),
+            literal_map(_TYPES.types_map[True]), F.when(packed, inner).otherwise(ext)),
         F.lit("application/octet-stream"))
     return F.when(
         found.startswith("text/") | (found == "application/json"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import is_object_text, json_or_text, strict_json
-from taskframe.functions.paths import slot_folder, slot_index, task_prefix
+from taskframe.functions.paths import slot_folder, slot_index, step_level, task_prefix
 from taskframe.schemas import SEND_BATCH
 
 PARENT_KEY = ["job_id", "step", "task_id"]
@@ -62,7 +62,9 @@ def fanout_children(children: DataFrame, dag, bucket: str) -> DataFrame:
 
     `children` carries the parent fields, child_pos, child_params,
     explicit_idx, siblings and written_uri.  A lone child without an index of
-    its own keeps its parent's slot.  Terminal steps emit nothing.
+    its own keeps its parent's slot.  Terminal steps emit nothing.  A child whose
+    parent wrote nothing reads from the parent's own step prefix: that of its
+    output_prefix if given, else the one of `bucket`.
     """
     c = F.col
     index = F.coalesce(
@@ -71,6 +73,8 @@ def fanout_children(children: DataFrame, dag, bucket: str) -> DataFrame:
         c("child_pos").cast("string"))
     step_folder = F.concat(
         F.lit(f"s3://{bucket}/"), F.concat_ws("/", "user_id", "job_id", "step"), F.lit("/"))
+    if "output_prefix" in children.columns:
+        step_folder = F.coalesce(step_level(c("output_prefix")), step_folder)
     computed = F.concat(slot_folder(step_folder, index), dag.primary_name(c("step")))
     df = children.withColumns({"_id": F.concat(F.lit("S"), index), "_computed": computed})
     df = df.select("*", F.explode(dag.next_steps(c("step"))).alias("next_step"))

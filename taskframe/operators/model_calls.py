@@ -99,7 +99,7 @@ def model_requests(prompts: DataFrame) -> Requests:
             F.array(F.lit("IMAGE")).alias("responseModalities"),
             F.struct(ratio.alias("aspectRatio")).alias("imageConfig"),
             temperature).alias("generationConfig")))
-    refused = (c("kind") == "image") & ~ratio.isin(*ASPECT_RATIOS)
+    refused = F.coalesce((c("kind") == "image") & ~ratio.isin(*ASPECT_RATIOS), F.lit(False))
     widths = literal_map({r: w for r, (w, _) in ASPECT_RATIOS.items()})
     heights = literal_map({r: h for r, (_, h) in ASPECT_RATIOS.items()})
     image = c("kind") == "image"

@@ -57,6 +57,8 @@ def plain_text(value: Column) -> Column:
 def integer(value: Column) -> Column:
     """Integers, truncated decimals, booleans and digit strings; null counts as 0."""
     digits = as_text(value)
+    # Digits before the point, so nothing is rounded; exponents go through doubles.
+    whole = F.regexp_extract(digits, r"\A([+-]?[0-9]+)(?:\.[0-9]*)?\z", 1)
     from_text = F.when(
         digits.rlike(r"(?U)\A\s*[+-]?[0-9]+(?:_[0-9]+)*\s*\z"),
         F.replace(strip(digits), F.lit("_"), F.lit("")).try_cast("bigint"))
@@ -64,7 +66,8 @@ def integer(value: Column) -> Column:
         F.when(F.is_variant_null(value), F.lit(0).cast("bigint"))
         .when(is_string(value), from_text)
         .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "int").cast("bigint"))
-        .otherwise(F.try_variant_get(value, "$", "decimal(38,6)").try_cast("bigint")))
+        .when(whole != "", whole.try_cast("bigint"))
+        .otherwise(F.try_variant_get(value, "$", "double").try_cast("bigint")))
 
 
 def normal_job_id(job_id: Column) -> Column:

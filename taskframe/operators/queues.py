@@ -7,7 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskframe.functions.json_values import field, is_null, is_object, with_strict_json
+from taskframe.functions.json_values import (
+    as_text, field, is_null, is_object, is_string, strict_json, with_strict_json,
+)
 from taskframe.operators.normalize import integer
 from taskframe.operators.ranking import top_per_group
 from taskframe.schemas import (
@@ -52,13 +54,19 @@ def poison_messages(messages: DataFrame, max_receives: int = MAX_RECEIVES) -> Da
 def dlq_records(bodies: DataFrame) -> DataFrame:
     """Dead letters of rows with message_id, body and reason.
 
-    The letter carries the retry count of the body, 0 if it has none.  Bodies
-    that are no JSON object are kept as JSON strings.
+    The letter carries the payload, taken out of its envelope, and the payload's
+    retry count, 0 if it has none.  Bodies whose payload is no JSON object are
+    kept as JSON strings.
     """
     c = F.col
-    df = with_strict_json(bodies, "_doc", "body")
+    df = with_strict_json(bodies, "_body", "body")
+    df = df.withColumn("_inner", field(c("_body"), "Message")).withColumn(
+        "_doc", F.when(c("_inner").isNull(), c("_body"))
+        .when(is_string(c("_inner")), strict_json(as_text(c("_inner"))))
+        .otherwise(c("_inner")))
     df = df.withColumns({
-        "_object": is_object(c("_doc")), "_retries": field(c("_doc"), "retry_count")})
+        "_object": F.coalesce(is_object(c("_doc")), F.lit(False)),
+        "_retries": field(c("_doc"), "retry_count")})
     retries = F.when(is_null(c("_retries")), F.lit(0)).otherwise(
         F.coalesce(integer(c("_retries")), F.lit(0)))
     record = F.struct(
@@ -96,12 +104,11 @@ def outbox(messages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> Outbox:
         return F.col(name) if name in messages.columns else F.lit(None).cast(kind)
 
     group = F.nullif(column("group_id", "string"), F.lit(""))
-    own_id = F.nullif(column("dedup_id", "string"), F.lit(""))
-    fifo = is_fifo(F.col("queue"))
-    dedup = F.coalesce(
-        own_id, F.when(fifo, F.substring(column("task_id", "string"), 1, MAX_DEDUP_ID)))
+    fifo = F.coalesce(is_fifo(F.col("queue")), F.lit(False))
+    dedup = dedup_key(column("dedup_id", "string"), F.when(fifo, column("task_id", "string")))
     problem = (
-        F.when(fifo & group.isNull(), "fifo_without_group")
+        F.when(F.col("body").isNull(), "empty_body")
+        .when(fifo & group.isNull(), "fifo_without_group")
         .when(F.octet_length("body") > max_bytes, "body_too_large"))
     rows = messages.withColumns({
         "delay_seconds": clamp_delay(F.coalesce(column("delay_seconds", "int"), F.lit(0))),
@@ -111,13 +118,19 @@ def outbox(messages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> Outbox:
         refused=rows.filter("problem is not null"))
 
 
-def dedup_key(task_id: Column) -> Column:
-    return F.substring(task_id, 1, MAX_DEDUP_ID)
+def dedup_key(own_id: Column, task_id: Column) -> Column:
+    """The deduplication id a message was given, else its task id, cut to size."""
+    return F.coalesce(F.nullif(own_id, F.lit("")), F.substring(task_id, 1, MAX_DEDUP_ID))
+
+
+def with_dedup_id(messages: DataFrame) -> DataFrame:
+    own = F.col("dedup_id") if "dedup_id" in messages.columns else F.lit(None).cast("string")
+    return messages.withColumn("dedup_id", dedup_key(own, F.col("task_id")))
 
 
 def dedup_messages(messages: DataFrame, group: list[str]) -> DataFrame:
     """The first message, by seq, of every (group, deduplication id)."""
-    keyed = messages.withColumn("dedup_id", dedup_key(F.col("task_id")))
+    keyed = with_dedup_id(messages)
     rest = [c for c in keyed.columns if c not in (*group, "dedup_id")]
     return (
         keyed.groupBy(*group, "dedup_id")

@@ -38,9 +38,8 @@ def positions(df: DataFrame, key: str, order: Sequence[str], name: str,
     by the rows of the ranges before it.
     """
     first, second = order[0], order[1]
-    # At most rows / hot_rows keys, so one in a million rows at the default:
-    # small enough to broadcast.
-    hot = F.broadcast(
+    # How these few keys are joined is left to their size at run time.
+    hot = (
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_low"),
              F.max(second).alias("_high"))

@@ -33,7 +33,7 @@ def route_by_step(messages: DataFrame, dag) -> DataFrame:
 
 def split_for_worker(messages: DataFrame, step: str) -> Routed:
     """A worker's own messages, and those of other steps on its queue."""
-    mine = F.col("step") == step
+    mine = F.coalesce(F.col("step") == step, F.lit(False))
     return Routed(messages.filter(mine), messages.filter(~mine))
 
 

@@ -91,23 +91,27 @@ def check_messages(raw: DataFrame, dag: Dag, buckets: Sequence[str]) -> DataFram
         ", ", *[F.when((m[n] if n in m else c(f"_{n}")).isNull(), F.lit(n))
                 for n in REQUIRED_FIELDS])
     no_object = F.when(~is_object_text(c("params")), F.lit("params"))
+    # A whole number beyond 64 bits is a decimal without places.
+    beyond = F.coalesce(c("_retry_kind").rlike(r"\ADECIMAL\([0-9]+,0\)\z"), F.lit(False))
     no_count = F.when(
-        c("_retry").isNotNull() & ~c("_retry_kind").isin("BIGINT", "BOOLEAN"),
+        c("_retry").isNotNull() & ~c("_retry_kind").isin("BIGINT", "BOOLEAN") & ~beyond,
         F.lit("retry_count"))
     wrong_type = F.when(c("_doubtful"), F.coalesce(
         *[F.when(~is_string(m[n]), F.lit(n)) for n in _TEXT_FIELDS], no_object, no_count,
         *[F.when(~is_null(m[n]) & ~is_string(m[n]), F.lit(n)) for n in _OPTIONAL_TEXT],
     )).otherwise(F.coalesce(no_object, no_count))
     retries = F.when(
-        c("_retry_kind").isin("BIGINT", "BOOLEAN"), F.try_variant_get(c("_retry"), "$", "int"))
+        c("_retry_kind").isin("BIGINT", "BOOLEAN"), F.try_variant_get(c("_retry"), "$", "bigint"))
     df = df.withColumns({
         "retry_count": F.coalesce(retries, F.lit(0)),
-        "_missing": F.when(c("_doubtful"), missing).otherwise(""), "_wrong_type": wrong_type})
+        "_missing": F.when(c("_doubtful"), missing).otherwise(""), "_wrong_type": wrong_type,
+        "_beyond": beyond})
 
     checks = [
         ("parse", c("_r").isNotNull(), payload_problem()),
         ("missing", c("_missing") == "", c("_missing")),
         ("type", c("_wrong_type").isNull(), c("_wrong_type")),
+        ("retry_range", ~c("_beyond"), F.lit("retry_count")),
         ("user_id", is_id(c("user_id"), MAX_USER_ID), c("user_id")),
         ("job_id", is_id(c("job_id"), MAX_JOB_ID), c("job_id")),
         ("task_id", is_id(c("task_id"), MAX_TASK_ID), c("task_id")),

@@ -158,7 +158,7 @@ c as (select h.*, e.next_step, s.queue, p.filetype,
   from hook_children h join n using (job_id) join step_edge e using (step)
   join step_def s on s.step = e.next_step join step_def p on p.step = h.step left join u using (job_id)),
 messages as (select c.job_id, child_id as task_id, c.user_id, c.schema, c.next_step as step,
-    coalesce(x.uri, concat('s3://work/', c.user_id, '/', c.job_id, '/', c.step, '/', child_id, '/result.', filetype)) as input_uri,
+    coalesce(x.uri, concat(case when ends_with(c.job_id, '0') then 's3://other/' else 's3://work/' end, c.user_id, '/', c.job_id, '/', c.step, '/', child_id, '/result.', filetype)) as input_uri,
     concat('s3://work/', c.user_id, '/', c.job_id, '/', c.next_step, '/', child_id, '/') as output_prefix,
     c.child_params as params, c.task_id as parent_task_id, cast(null as varchar) as trace_id, 0 as retry_count,
     c.step as parent_step, c.child_pos, c.queue
@@ -170,6 +170,10 @@ CHILD_TABLES = ("hook_children", "step_edge", "step_def", "child_uris")
 def child_messages(spark, sf_dir):
     children = fanout.with_siblings(table(spark, sf_dir, "hook_children"))
     with_uris = fanout.with_input_uris(children, table(spark, sf_dir, "child_uris"))
+    # Some parents wrote to another bucket than the one children go to.
+    bucket = F.when(F.col("job_id").endswith("0"), "s3://other").otherwise(f"s3://{BUCKET}")
+    with_uris = with_uris.withColumn("output_prefix", F.concat(
+        F.concat_ws("/", bucket, "user_id", "job_id", "step", "task_id"), F.lit("/")))
     return fanout.fanout_children(with_uris, Dag.default(), BUCKET)
 
 

@@ -36,7 +36,7 @@ CHECKED = PARSED + f"""
   select *, p->>'$.job_id' as job_id, p->>'$.task_id' as task_id, p->>'$.user_id' as user_id,
     p->>'$.schema' as schema, p->>'$.step' as step, p->>'$.input_uri' as input_uri,
     p->>'$.output_prefix' as output_prefix, cast(p->'$.params' as varchar) as params,
-    p->>'$.trace_id' as trace_id, p->>'$.parent_task_id' as parent_task_id,
+    regexp_matches(body, '"retry_count": [0-9]{{20}}') as beyond, p->>'$.trace_id' as trace_id, p->>'$.parent_task_id' as parent_task_id,
     array_to_string(list_filter(
       ['job_id', 'task_id', 'user_id', 'schema', 'step', 'input_uri', 'output_prefix', 'params'],
       lambda k: not list_contains(json_keys(p), k)), ', ') as missing,
@@ -48,16 +48,17 @@ CHECKED = PARSED + f"""
       when json_type(p, '$.input_uri') <> 'VARCHAR' then 'input_uri'
       when json_type(p, '$.output_prefix') <> 'VARCHAR' then 'output_prefix'
       when json_type(p, '$.params') <> 'OBJECT' then 'params'
-      when coalesce(json_type(p, '$.retry_count'), 'UBIGINT') not in ('UBIGINT', 'BIGINT', 'BOOLEAN') then 'retry_count'
+      when coalesce(json_type(p, '$.retry_count'), 'UBIGINT') not in ('UBIGINT', 'BIGINT', 'BOOLEAN') and not beyond then 'retry_count'
       when coalesce(json_type(p, '$.trace_id'), 'NULL') not in ('NULL', 'VARCHAR') then 'trace_id'
       when coalesce(json_type(p, '$.parent_task_id'), 'NULL') not in ('NULL', 'VARCHAR') then 'parent_task_id'
     end as wrong_type
   from opened),
 checked as (
-  select *, coalesce(try_cast(p->>'$.retry_count' as int), 0) as retry_count,
+  select *, coalesce(try_cast(p->>'$.retry_count' as bigint), 0) as retry_count,
     case when p is null or json_type(p) <> 'OBJECT' then 'parse'
       when missing <> '' then 'missing'
       when wrong_type is not null then 'type'
+      when beyond then 'retry_range'
       when not (regexp_full_match(user_id, {_ID}) and length(user_id) <= 128) then 'user_id'
       when not (regexp_full_match(job_id, {_ID}) and length(job_id) <= 128) then 'job_id'
       when not (regexp_full_match(task_id, {_ID}) and length(task_id) <= 256) then 'task_id'

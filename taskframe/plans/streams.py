@@ -14,19 +14,21 @@ from taskframe.streaming import messages as message_streams
 from taskframe.streaming import state as state_streams
 
 JOBS = Jobs()
-FILES = 4
 
 
-def landed(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
-    """A table written to a few files and read back as a stream, two at a time."""
+def landed(spark: SparkSession, rows: DataFrame, records_per_file: int = 20_000,
+           files_per_trigger: int = 64) -> DataFrame:
+    """A table written as it is partitioned, in files of bounded size, and read
+    back as a stream."""
     folder = scratch_dir(spark, "landing")
-    rows.repartition(FILES, key).write.parquet(folder)
+    rows.write.option("maxRecordsPerFile", records_per_file).parquet(folder)
     return (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder))
+        spark.readStream.schema(rows.schema)
+        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
 def validated(spark: SparkSession, sf_dir: str) -> str:
-    events = landed(spark, source(spark, sf_dir, "events"), "event_id")
+    events = landed(spark, source(spark, sf_dir, "events"))
     out = scratch_dir(spark, "validated")
     message_streams.stream_validate(
         derived(spark, "raw_messages", events=events), Dag.default(), [BUCKET], out,
@@ -51,7 +53,7 @@ def upserted(spark: SparkSession, sf_dir: str) -> str:
         "schema": F.lit("v1"), "trace_id": F.lit(None).cast("string")})
     base = scratch_dir(spark, "state")
     state_streams.stream_upsert(
-        landed(spark, rows, "seq"), base, scratch_dir(spark, "progress")).awaitTermination()
+        landed(spark, rows), base, scratch_dir(spark, "progress")).awaitTermination()
     return base
 
 
@@ -76,11 +78,11 @@ def _stream_upsert_results(spark, sf_dir):
 
 
 @JOBS.add("stream_dedup", ("send_rows",), """
-select job_id, task_id as dedup_id from send_rows group by job_id, task_id""")
+select distinct job_id, coalesce(dedup_id, task_id) as dedup_id from send_rows""")
 def _stream_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "send_rows").select("job_id", "task_id", "ts", "seq")
+    rows = table(spark, sf_dir, "send_rows").select("job_id", "task_id", "dedup_id", "ts", "seq")
     kept = message_streams.dedup_stream(
-        landed(spark, rows, "job_id").withColumn("ts", F.col("ts").cast("timestamp")),
+        landed(spark, rows).withColumn("ts", F.col("ts").cast("timestamp")),
         ["job_id"], "ts", "60 days")
     out = scratch_dir(spark, "deduplicated")
     query = (

@@ -54,7 +54,7 @@ select content_type, count(*) as objects, cast(sum(size) as bigint) as bytes fro
   from events group by date_trunc('hour', ts)) group by content_type""")
 def _scan_objects(spark, sf_dir):
     folder = hourly_objects(spark, table(spark, sf_dir, "events"))
-    return read_objects(spark, folder).groupBy("content_type").agg(
+    return read_objects(spark, folder).read.groupBy("content_type").agg(
         F.count(F.lit(1)).alias("objects"),
         F.sum(F.octet_length("content").cast("bigint")).alias("bytes"))
 
@@ -71,6 +71,20 @@ def _scan_json_objects(spark, sf_dir):
         F.try_variant_get("doc", "$.users", "bigint").alias("users"))
 
 
+@JOBS.add("refused_objects", (), """
+select strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00.000') as hour, 'too_large' as reason, size
+from (select ts, length(concat('{"hour":"', strftime(ts, '%Y-%m-%dT%H:00:00.000'), '","events":', n, ',"users":', users, '}')) + 1 as size
+  from (select date_trunc('hour', ts) as ts, count(*) as n, count(distinct user_id) as users from events group by all))
+where size > 59""")
+def _refused_objects(spark, sf_dir):
+    """Objects over a limit that is low enough to bite, with their sizes."""
+    folder = hourly_objects(spark, table(spark, sf_dir, "events"))
+    refused = read_objects(spark, folder, max_bytes=59).refused
+    everything = read_json_objects(spark, folder).parsed
+    return everything.join(refused, "path").select(
+        F.try_variant_get("doc", "$.hour", "string").alias("hour"), "reason", "size")
+
+
 @JOBS.add("log_scan", ("log_records",), """
 select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, level, logger, msg, job_id, cast(seq as varchar) as seq from log_records""")
 def _log_scan(spark, sf_dir):
@@ -106,10 +120,11 @@ def _poison(spark, sf_dir):
 
 
 @JOBS.add("dlq_records", RAW, CHECKED + """
-, dead as (select message_id, body, d, reason from checked where receive_count >= 5 or reason is not null)
+, dead as (select message_id, body, p, reason from checked where receive_count >= 5 or reason is not null)
 select message_id, coalesce(reason, 'poison-pill') as reason,
-  coalesce(try_cast(d->>'$.retry_count' as bigint), 0) as retry_count,
-  d is not null as is_object, case when d is null then body end as raw_body from dead""")
+  coalesce(try_cast(p->>'$.retry_count' as bigint), 0) as retry_count,
+  coalesce(json_type(p) = 'OBJECT', false) as is_object,
+  case when not coalesce(json_type(p) = 'OBJECT', false) then body end as raw_body from dead""")
 def _dlq_records(spark, sf_dir):
     """Rejected messages with their reason, poison ones without."""
     checked = check_messages(table(spark, sf_dir, "raw_messages"), Dag.default(), [BUCKET])
@@ -136,11 +151,11 @@ def _requeue(spark, sf_dir):
 
 
 @JOBS.add("dedup_messages", ("send_rows",), """
-select job_id, task_id as dedup_id, min(seq) as seq, min_by(step, seq) as step, min_by(params, seq) as params
-from send_rows group by job_id, task_id""")
+select job_id, coalesce(dedup_id, task_id) as dedup_id, min(seq) as seq, min_by(step, seq) as step, min_by(params, seq) as params
+from send_rows group by job_id, coalesce(dedup_id, task_id)""")
 def _dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "send_rows").select(
-        "job_id", "task_id", "seq", "step", "params")
+        "job_id", "task_id", "dedup_id", "seq", "step", "params")
     return queues.dedup_messages(rows, ["job_id"]).drop("task_id")
 
 
@@ -226,9 +241,10 @@ def _log_with_context(spark, sf_dir):
 
 @JOBS.add("log_latency", ("log_records",), """
 select logger, count(*) as records, count(*) filter (level = 'ERROR') as errors, count(*) filter (level = 'WARNING') as warnings,
-  quantile_cont(cast(floor(latency_ms) as bigint), 0.95) as p95_ms from log_records group by logger""")
+  round(quantile_cont(latency_ms, 0.95), 6) as p95_ms from log_records group by logger""")
 def _log_latency(spark, sf_dir):
-    return logs.log_latency(table(spark, sf_dir, "log_records"), ["logger"])
+    return logs.log_latency(table(spark, sf_dir, "log_records"), ["logger"]).withColumn(
+        "p95_ms", F.round("p95_ms", 6))
 
 
 # --- audits -----------------------------------------------------------------

@@ -17,7 +17,7 @@ with b as (
    '", "output_prefix": "s3://work/', uid, '/', case when f = 9 then 'zzz' when f = 19 then upper(jid) else jid end, '/', stp,
         case when f = 14 then '/' when f = 8 then concat('/', tid) else concat('/', tid, '/') end,
    '", "params": ', case when f = 10 then '[1]' else props end,
-   ', "retry_count": ', case when f = 11 then '"x"' else cast(event_id % 3 as string) end,
+   ', "retry_count": ', case when f = 11 then '"x"' when f = 21 then '3000000000' when f = 22 then '100000000000000000000' else cast(event_id % 3 as string) end,
    case when f = 12 then ', "trace_id": "zz!"' when f = 20 then ', "trace_id": "ab12-ff"' else '' end,
    case when f = 17 then ', "parent_task_id": "bad id"' when event_id % 4 > 0 then ', "parent_task_id": "S0"' else '' end,
    '}') as payload

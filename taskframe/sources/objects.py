@@ -13,9 +13,15 @@ from taskframe.schemas import MAX_READ_BYTES
 from taskframe.session import scratch_dir
 
 
+class Objects(NamedTuple):
+    read: DataFrame
+    refused: DataFrame
+
+
 class JsonObjects(NamedTuple):
     parsed: DataFrame
     malformed: DataFrame
+    refused: DataFrame
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,28 +38,36 @@ def list_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, folder: str, max_bytes: int = MAX_READ_BYTES,
-                 extensions=tuple(EXTENSION_TYPES)) -> DataFrame:
-    """Contents of the objects with an allowed extension, up to a size.
+                 extensions=tuple(EXTENSION_TYPES)) -> Objects:
+    """Contents of the objects with an allowed extension, up to a size, and the
+    others with the reason they are refused.
 
-    Larger objects are in `list_objects` but never opened: the limit is a
-    filter on the length that the source applies before it reads.
+    Refused objects are never opened: the limit is a filter on the length that
+    the source applies before it reads, and their branch asks for no content.
     """
-    return (
-        _files(spark, folder)
-        .filter((F.col("length") <= max_bytes) & has_extension(F.col("path"), extensions))
-        .select("path", F.col("length").alias("size"),
-                content_type(F.col("path")).alias("content_type"), "content"))
-
-
-def read_json_objects(spark: SparkSession, folder: str) -> JsonObjects:
-    """Objects parsed as `doc` (VARIANT), and those that are not one JSON value."""
-    rows = read_objects(spark, folder, extensions=(".json",))
+    files = _files(spark, folder)
+    allowed = F.coalesce(has_extension(F.col("path"), extensions), F.lit(False))
+    reason = F.when(~allowed, "extension").when(F.col("length") > max_bytes, "too_large")
+    return Objects(
+        read=files.filter((F.col("length") <= max_bytes) & allowed).select(
+            "path", F.col("length").alias("size"),
+            content_type(F.col("path")).alias("content_type"), "content"),
+        refused=files.select("path", F.col("length").alias("size"), reason.alias("reason"))
+        .filter("reason is not null"))
+
+
+def read_json_objects(spark: SparkSession, folder: str,
+                      max_bytes: int = MAX_READ_BYTES) -> JsonObjects:
+    """Objects parsed as `doc` (VARIANT), those that are not one JSON value, and
+    those that are not opened, with the reason."""
+    rows, refused = read_objects(spark, folder, max_bytes, extensions=(".json",))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     parsed = computed_once(rows.select("path", "size", text.alias("_text")),
                            doc=strict_json(F.col("_text")))
     return JsonObjects(
         parsed=parsed.filter("doc is not null").select("path", "doc"),
-        malformed=parsed.filter("doc is null").select("path", "size"))
+        malformed=parsed.filter("doc is null").select("path", "size"),
+        refused=refused)
 
 
 def hourly_objects(spark: SparkSession, events: DataFrame) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from taskframe.operators.queues import dedup_key
+from taskframe.operators.queues import with_dedup_id
 from taskframe.operators.validate import MESSAGE_COLUMNS, check_messages
 
 VERDICT = "verdict"
@@ -50,6 +50,6 @@ def dedup_stream(messages: DataFrame, group: Sequence[str], time: str,
     State is one key per live id and is dropped when the watermark passes.
     """
     return (
-        messages.withColumn("dedup_id", dedup_key(F.col("task_id")))
+        with_dedup_id(messages)
         .withWatermark(time, within)
         .dropDuplicatesWithinWatermark([*group, "dedup_id"]))

@@ -197,13 +197,22 @@ def test_queues(spark):
     got = {r.message_id: json.loads(r.body) for r in letters.collect()}
     assert got["a"] == {"reason": "poison-pill", "retry_count": 3, "original": {"retry_count": 3}}
     assert got["b"] == {"reason": "parse", "retry_count": 0, "original": "oops"}
+    # An enveloped payload is what the letter carries, with its own count.
+    inner = json.dumps({"retry_count": 4, "job_id": "j"})
+    letters = queues.dlq_records(spark.createDataFrame(
+        [("c", json.dumps({"Message": inner}), None), ("d", json.dumps({"Message": "oops"}), "parse")],
+        "message_id string, body string, reason string"))
+    got = {r.message_id: json.loads(r.body) for r in letters.collect()}
+    assert (got["c"]["retry_count"], got["c"]["original"]["job_id"]) == (4, "j")
+    assert (got["d"]["retry_count"], got["d"]["original"]) == (0, '{"Message": "oops"}')
     long_id = "t" * 200
     out = queues.outbox(spark.createDataFrame(
-        [("Q.FIFO", "é" * 4, "g", long_id), ("Q.fifo", "x", "", "t"), ("q", "x" * 9, None, "t")],
+        [("Q.FIFO", "é" * 4, "g", long_id), ("Q.fifo", "x", "", "t"), ("q", "x" * 9, None, "t"),
+         ("q", None, None, "t")],
         "queue string, body string, group_id string, task_id string"), max_bytes=8)
     (sent,) = out.sent.collect()
     assert sent.dedup_id == "t" * 128
-    assert {r.problem for r in out.refused.collect()} == {"fifo_without_group", "body_too_large"}
+    assert {r.problem for r in out.refused.collect()} == {"fifo_without_group", "body_too_large", "empty_body"}
 
 
 def test_hook_outputs(spark):
@@ -298,3 +307,42 @@ def test_uris(spark, uri, problem, bucket, key):
     df = spark.createDataFrame([(uri,)], "u string")
     got = df.select(paths.uri_problem(c), paths.uri_bucket(c), paths.uri_key(c)).first()
     assert tuple(got) == (problem, bucket, key)
+
+
+def test_given_deduplication_ids_win(spark):
+    rows = spark.createDataFrame(
+        [("j", "t1", "d", 0), ("j", "t2", "d", 1), ("j", "t3", "", 2), ("j", "t3", None, 3)],
+        "job_id string, task_id string, dedup_id string, seq int")
+    got = {(r.dedup_id, r.seq) for r in queues.dedup_messages(rows, ["job_id"]).collect()}
+    assert got == {("d", 0), ("t3", 2)}
+
+
+def test_no_row_is_lost_by_a_null(spark):
+    steps = spark.createDataFrame([("A",), ("B",), (None,)], "step string")
+    mine, released = routing.split_for_worker(steps, "A")
+    assert (mine.count(), released.count()) == (1, 2)
+
+
+def test_fallback_uri_is_the_parents_own(spark):
+    parent = spark.createDataFrame(
+        [("j", "SEGMENTATION", "S3", "u", "v1", ['"x"'], "s3://elsewhere/u/j/SEGMENTATION/S3/")],
+        "job_id string, step string, task_id string, user_id string, schema string, "
+        "children array<string>, output_prefix string")
+    rows = fanout.fanout_children(
+        fanout.explode_children(parent).withColumn("written_uri", F.lit(None).cast("string")),
+        DAG, "work").collect()
+    assert {r.input_uri for r in rows} == {"s3://elsewhere/u/j/SEGMENTATION/S3/result.png"}
+    assert all(r.output_prefix.startswith("s3://work/") for r in rows)
+
+
+def test_objects_are_read_or_refused(spark, tmp_path):
+    from taskframe.sources.objects import read_json_objects, read_objects
+
+    for name, text in (("a.json", '{"x": 1}'), ("b.json", "oops"), ("c.exe", "x"), ("d.json", "1" * 50)):
+        (tmp_path / name).write_text(text)
+    read, refused = read_objects(spark, str(tmp_path), max_bytes=20)
+    assert {r.path[-6:] for r in read.collect()} == {"a.json", "b.json"}
+    assert {(r.path.rsplit("/", 1)[1], r.reason) for r in refused.collect()} == {
+        ("c.exe", "extension"), ("d.json", "too_large")}
+    parsed, malformed, left = read_json_objects(spark, str(tmp_path), max_bytes=20)
+    assert (parsed.count(), malformed.count(), left.count()) == (1, 1, 2)

@@ -66,6 +66,9 @@ CASES = [
     (body(retry_count=None), "type"),
     (body(retry_count=True), None),
     (body(retry_count="1"), "type"),
+    (body(retry_count=3_000_000_000), None),
+    (body(retry_count=10**20), "retry_range"),
+    (body(retry_count=1.5), "type"),
     (body(trace_id=""), None),
     (body(trace_id=None), None),
     (body(trace_id="ab-12_F"), None),
@@ -164,6 +167,8 @@ WORK = [
     (body(retry_count=" 12 "), None, {"retry_count": 12}),
     (body(retry_count="1_0"), None, {"retry_count": 10}),
     (body(retry_count=2.9), None, {"retry_count": 2}),
+    (body(retry_count=1.9999999), None, {"retry_count": 1}),
+    (body(retry_count=10**20), "retry", {}),
     (body(retry_count="2.9"), "retry", {}),
     (body(retry_count=-1), "retry", {}),
     (body(drop="retry_count"), "missing", {}),
