@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 # Context of a window, positions it scores, widths, groups, classes of a group.
-CONTEXT, STRIDE = 40, 32
+CONTEXT, STRIDE = 24, 16
 EMBED, HEAD, HIDDEN, GROUPS, CLASSES = 32, 16, 32, 16, 16
 PRIOR, CLIP = 4.0, 1.0
 _NEVER, _MOST = np.float32(-1e9), np.float32(60)
@@ -225,12 +225,16 @@ class Adam:
             p[k] -= (self.rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
 
 
-def windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def windows(texts: list[np.ndarray], end: int, share: int = 1) -> Windows:
     """Overlapping windows of texts (ids, each ending with `end`): every id is the
     target of exactly one query.
 
     Returns ids (n, CONTEXT + 1), padding keys per window, targets and weights
-    (n, STRIDE), and the text of each window.
+    (n, STRIDE), and the text of each window.  With a share, one window in so
+    many, chosen by its ids and place.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     blocks = -(-sizes // STRIDE)
@@ -250,6 +254,10 @@ def windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     owner = np.repeat(np.arange(len(texts)), blocks)
     number = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(blocks)[:-1]], blocks)
     first = np.repeat(starts, blocks) + number * STRIDE
+    if share > 1:
+        mixed = goal[first + lead].astype(np.int64) * 40503 + seen[first + lead] * 7919 + number * 104729
+        chosen = mixed * 2654435761 % (1 << 32) % share == 0
+        owner, number, first = owner[chosen], number[chosen], first[chosen]
     ids = seen[first[:, None] + np.arange(CONTEXT + 1)]
     at = first[:, None] + lead + np.arange(STRIDE)
     ahead = np.maximum(0, CONTEXT - STRIDE - number * STRIDE)
@@ -257,7 +265,7 @@ def windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def log_probabilities(p: Parameters, table: list[np.ndarray], tables: Tables, texts: list[np.ndarray], end: int,
-                      batch: int = 96) -> np.ndarray:
+                      batch: int = 192) -> np.ndarray:
     """The log10 probability of each text, every id scored once."""
     out = np.zeros(len(texts))
     ids, ahead, targets, weight, owner = windows(texts, end)

@@ -6,7 +6,7 @@ is the causal self-attention of `attention` over the subword ids of the words; a
 text is cut into overlapping windows in which every id is scored once.
 
 One pass over the texts to learn from counts all words and all pairs of adjacent
-ids, and keeps one window in `share`, chosen by a checksum of its ids.  The
+ids, and keeps one window in `share`, chosen by its ids.  The
 counts give the model its tables; the windows train it in rounds: each task
 trains on its part, and parameters are averaged weighted by windows.  Words,
 pairs, windows and gradients all come from the whole corpus, so they grow with it.
@@ -19,10 +19,10 @@ through a join, which has the counts of all words.
 from __future__ import annotations
 
 import base64
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +40,13 @@ END = SIZE - 1
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words at least this frequent are broadcast: 1 / HOT_SHARE of all tokens.
 HOT_SHARE = 1 << 18
-SHARE, ROUNDS, RATE, BATCH = 64, 3, 0.01, 32
+SHARE, ROUNDS, RATE, BATCH = 64, 3, 0.01, 64
 SMOOTH, PARTS = 0.1, 8
 # Windows of a training task at least, while there are as many.
-TASK_WINDOWS = 8192
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+TASK_WINDOWS = 16384
+CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
 # Counts a task holds before it hands them on.
-HELD_WORDS, HELD_PAIRS = 300_000, 2_000_000
+HELD_WORDS, HELD_PAIRS = 300_000, 8_000_000
 
 
 class Subwords:
@@ -121,8 +121,9 @@ def gather(texts: DataFrame, path: str, share: int) -> DataFrame:
 
         def paired() -> Iterator[pa.RecordBatch]:
             if pairs:
-                keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-                yield made(pair=keys, n=n)
+                n = np.bincount(np.concatenate(pairs), minlength=SIZE * SIZE)
+                keys = np.flatnonzero(n)
+                yield made(pair=keys, n=n[keys])
                 pairs.clear()
 
         for batch in batches:
@@ -135,15 +136,14 @@ def gather(texts: DataFrame, path: str, share: int) -> DataFrame:
                 for r in rows:
                     words.update(r)
                 words[b""] += len(rows)
-                for x in texts_ids:
-                    pairs.append(np.r_[END, x[:-1]].astype(np.int64) * SIZE + x)
-                    held += len(x)
-                ids, ahead, targets, weight, _ = attention.windows(texts_ids, END)
+                # Each text ends with END, which also comes before the next one's first id.
+                flat = np.concatenate(texts_ids)
+                pairs.append(np.r_[np.int32(END), flat[:-1]] * np.int32(SIZE) + flat)
+                held += len(flat)
+                ids, ahead, targets, weight, _ = attention.windows(texts_ids, END, share)
                 packed = np.hstack([ahead[:, None], ids, np.where(weight > 0, targets, -1)]).astype("<i2")
-                raw = [row.tobytes() for row in packed]
-                kept = [w for w in raw if zlib.crc32(w) % share == 0]
-                if kept:
-                    yield made(window=kept)
+                if len(packed):
+                    yield made(window=[row.tobytes() for row in packed])
                 if len(words) > HELD_WORDS:
                     yield from counted()
                 if held > HELD_PAIRS:
@@ -273,7 +273,7 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", share:
             sizes, bases, knowns, rares = [], [], [], []
             for r in rows:
                 r.append(b"")
-                at = np.fromiter((get(w, unknown) for w in r), np.int64, len(r))
+                at = np.fromiter(map(get, r, repeat(unknown)), np.int64, len(r))
                 miss = np.flatnonzero(at == unknown)
                 sizes.append(len(r))
                 bases.append(float(logs[at].sum()))
