@@ -67,9 +67,15 @@ def tasks_of_job(tasks: DataFrame, job_id: str, step: str | None = None,
 
 
 def children_of(tasks: DataFrame, parents: DataFrame) -> DataFrame:
-    """Tasks whose parent, within the same job, is listed."""
-    listed = parents.select("job_id", F.col("task_id").alias("parent_task_id"))
-    return tasks.join(listed, ["job_id", "parent_task_id"], "left_semi")
+    """Tasks whose parent, within the same job, is listed.
+
+    Ids repeat between steps, so a parent_step, if the tasks have one, counts too.
+    """
+    key = {"job_id": "job_id", "task_id": "parent_task_id"}
+    if "parent_step" in tasks.columns:
+        key["step"] = "parent_step"
+    listed = parents.select(*[F.col(c).alias(n) for c, n in key.items()])
+    return tasks.join(listed, list(key.values()), "left_semi")
 
 
 def children_of_task(tasks: DataFrame, job_id: str, parent_task_id: str) -> DataFrame:

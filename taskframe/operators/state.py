@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from taskframe.schemas import JOB_KEY, JOB_STATUSES, TASK_KEY, TASK_STATUSES
 
 JOB_FIRST = ("user_id", "schema", "status", "trace_id", "attrs")
-TASK_FIRST = ("user_id", "parent_task_id", "input_uri", "output_prefix")
+TASK_FIRST = ("user_id", "parent_task_id", "parent_step", "input_uri", "output_prefix")
 TASK_LAST = ("status", "retry_count", "params", "error_code", "error_message")
 RESULT_LAST = ("primary_result_uri", "metrics_uri", "primary_mime", "primary_size_bytes",
                "extra")
 
+STATE_TIMES = ("created_at", "updated_at", "first_seq", "last_seq")
+# Set by transitions; no event carries them.
+TRANSITION_TIMES = ("started_at", "finished_at")
+
 # A task is over in these states, and a job whose tasks all are is not running.
 FINAL_STATUSES = ("SUCCEEDED", "FAILED", "CANCELLED", "DLQ")
 
@@ -64,12 +68,14 @@ def _merge(rows: DataFrame, key: Sequence[str], first: Sequence[str],
            last: Sequence[str]) -> DataFrame:
     first = [*_present(rows, first), "created_at"]
     last = [*_present(rows, last), "updated_at"]
+    times = _present(rows, TRANSITION_TIMES)
     merged = rows.groupBy(*key).agg(
         F.min_by(F.struct(*first), "first_seq").alias("_first"),
         F.max_by(F.struct(*last), "last_seq").alias("_last"),
-        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
+        *[F.max(c).alias(c) for c in times])
     return merged.select(
-        *key, "_first.*", "_last.*", "first_seq", "last_seq")
+        *key, "_first.*", "_last.*", "first_seq", "last_seq", *times)
 
 
 def merge_jobs(rows: DataFrame) -> DataFrame:
@@ -100,12 +106,25 @@ def upsert_results(saves: DataFrame, state: DataFrame | None = None) -> DataFram
 
 
 def _upsert(events: DataFrame, state: DataFrame | None, merge) -> DataFrame:
+    """Events folded into a state, which may be a created table without rows."""
     rows = _lift(events)
     if state is not None:
-        rows = state.unionByName(rows.select(state.columns))
+        known = {*state.columns, *JOB_KEY, *TASK_KEY, *JOB_FIRST, *TASK_FIRST, *TASK_LAST,
+                 *RESULT_LAST, *STATE_TIMES}
+        rows = state.unionByName(
+            rows.select([c for c in rows.columns if c in known]), allowMissingColumns=True)
     return merge(rows)
 
 
+def _newer(moves: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Moves that come after the last event their state row has seen, if it says so."""
+    if "last_seq" not in state.columns:
+        return moves
+    seen = state.select(*key, F.col("last_seq").alias("_seen"))
+    return moves.join(seen, list(key)).filter(
+        F.col("_seen").isNull() | (F.col("seq") > F.col("_seen"))).drop("_seen")
+
+
 def has_result(events: DataFrame) -> Column:
     """A success that carries result metadata; empty URIs count as none."""
     def uri(name: str) -> Column:
@@ -129,37 +148,46 @@ def task_state(tasks: DataFrame, transitions: DataFrame) -> DataFrame:
     """Tasks after their start, success, failure and retry transitions.
 
     Retries add to the count of the task; an error stays until the next one.
-    Transitions of unknown tasks change nothing.
+    Transitions of unknown tasks change nothing.  A state row with last_seq takes
+    only later transitions and moves last_seq on, so a replay changes nothing.
     """
     status = F.col("status")
 
     def at(*names: str) -> Column:
         return F.when(status.isin(*names), F.col("seq"))
 
-    moves = split_by_status(transitions, ("STARTED", "RETRIED", "SUCCEEDED", "FAILED")).valid
+    moves = _newer(
+        split_by_status(transitions, ("STARTED", "RETRIED", "SUCCEEDED", "FAILED")).valid,
+        tasks, TASK_KEY)
     failure = F.struct(*_present(moves, ("error_code", "error_message")))
     latest = moves.groupBy(*TASK_KEY).agg(
         F.max_by(status, "seq").alias("_status"),
         F.max_by("ts", "seq").alias("_updated_at"),
-        F.max_by("ts", at("STARTED")).alias("started_at"),
-        F.max_by("ts", at("SUCCEEDED", "FAILED")).alias("finished_at"),
+        F.max_by("ts", at("STARTED")).alias("_started_at"),
+        F.max_by("ts", at("SUCCEEDED", "FAILED")).alias("_finished_at"),
+        F.max("seq").alias("_moved_to"),
         F.max_by(failure, at("FAILED")).alias("_failure"),
-        F.count_if(status == "RETRIED").cast("int").alias("_retries"))
+        F.count_distinct(at("RETRIED")).cast("int").alias("_retries"))
     out = tasks.join(latest, list(TASK_KEY), "left")
     errors = {
         name: F.when(F.col("_failure").isNull(), F.col(name) if name in tasks.columns
                      else F.lit(None).cast("string")).otherwise(F.col(f"_failure.{name}"))
         for name in _present(moves, ("error_code", "error_message"))}
+    times = {
+        c: F.coalesce(f"_{c}", *_present(tasks, (c,))) for c in TRANSITION_TIMES}
+    if "last_seq" in tasks.columns:
+        times["last_seq"] = F.greatest("last_seq", "_moved_to")
     return out.withColumns({
-        **errors,
+        **errors, **times,
         "status": F.coalesce("_status", "status"),
         "updated_at": F.coalesce("_updated_at", "updated_at"),
         "retry_count": F.col("retry_count") + F.coalesce("_retries", F.lit(0)),
-    }).drop("_status", "_updated_at", "_failure", "_retries")
+    }).drop("_status", "_updated_at", "_failure", "_retries", "_moved_to",
+            *[f"_{c}" for c in TRANSITION_TIMES])
 
 
 def job_state(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Jobs after their status updates; the latest update decides."""
+    """Jobs after their status updates; the latest decides, even over the row's own."""
     latest = split_job_statuses(updates).valid.groupBy(*JOB_KEY).agg(
         F.max_by(F.struct("status", "ts"), "seq").alias("_last"))
     return jobs.join(latest, list(JOB_KEY), "left").withColumns({

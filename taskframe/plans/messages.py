@@ -114,7 +114,7 @@ def _validate(spark, sf_dir):
 @JOBS.add("rejected_messages", RAW, CHECKED + """
 select message_id, sent_ts, receive_count, reason,
   case reason when 'parse' then case when d is null then 'not_json' when p is null then 'envelope_not_json' else 'not_an_object' end
-    when 'missing' then missing when 'type' then wrong_type when 'user_id' then user_id when 'job_id' then job_id
+    when 'missing' then missing when 'type' then wrong_type when 'retry_range' then 'retry_count' when 'user_id' then user_id when 'job_id' then job_id
     when 'task_id' then task_id when 'schema' then schema when 'step' then step when 'input_uri' then input_uri
     when 'output_prefix' then output_prefix when 'params' then 'too large or too deep'
     when 'parent' then parent_task_id else trace_id end as detail, body

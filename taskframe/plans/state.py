@@ -191,13 +191,16 @@ def _list_open_tasks(spark, sf_dir):
 
 
 @JOBS.add("children_of", ("task_events",), TASKS + """
-, linked as (select *, case when task_id <> 'S0' then 'S0' end as parent_task_id from tasks)
+, linked as (select *, case when task_id <> 'S0' then 'S0' end as parent_task_id,
+    case when step = 'VIDEO_GENERATION' then 'SEGMENTATION' else step end as parent_step from tasks)
 select c.* from linked c where exists (select 1 from tasks p
-  where p.job_id = c.job_id and p.task_id = c.parent_task_id and p.status = 'SUCCEEDED')""")
+  where p.job_id = c.job_id and p.task_id = c.parent_task_id and p.step = c.parent_step and p.status = 'SUCCEEDED')""")
 def _children_of(spark, sf_dir):
     tasks = tasks_of(spark, sf_dir)
-    linked = tasks.withColumn(
-        "parent_task_id", F.when(F.col("task_id") != "S0", F.lit("S0")))
+    linked = tasks.withColumns({
+        "parent_task_id": F.when(F.col("task_id") != "S0", F.lit("S0")),
+        "parent_step": F.when(F.col("step") == "VIDEO_GENERATION", "SEGMENTATION").otherwise(
+            F.col("step"))})
     return reads.children_of(linked, tasks.filter("status = 'SUCCEEDED'"))
 
 

@@ -67,20 +67,22 @@ def work_messages() -> T.StructType:
 def jobs() -> T.StructType:
     return _struct(
         "job_id:string! user_id:string! schema:string! status:string! trace_id:string "
-        "attrs:string! created_at:timestamp_ntz! updated_at:timestamp_ntz!")
+        "attrs:string! created_at:timestamp_ntz! updated_at:timestamp_ntz! "
+        "first_seq:bigint last_seq:bigint")
 
 
 def tasks() -> T.StructType:
     return _struct(
         "job_id:string! step:string! task_id:string! user_id:string! status:string! "
-        "retry_count:int! parent_task_id:string input_uri:string! output_prefix:string! "
+        "retry_count:int! parent_task_id:string parent_step:string input_uri:string! output_prefix:string! "
         "params:string! error_code:string error_message:string "
         "created_at:timestamp_ntz! updated_at:timestamp_ntz! "
-        "started_at:timestamp_ntz finished_at:timestamp_ntz")
+        "started_at:timestamp_ntz finished_at:timestamp_ntz first_seq:bigint last_seq:bigint")
 
 
 def task_results() -> T.StructType:
     return _struct(
         "job_id:string! step:string! task_id:string! primary_result_uri:string "
         "metrics_uri:string primary_mime:string primary_size_bytes:bigint "
-        "extra:string! created_at:timestamp_ntz!")
+        "extra:string! created_at:timestamp_ntz! updated_at:timestamp_ntz "
+        "first_seq:bigint last_seq:bigint")

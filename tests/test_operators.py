@@ -346,3 +346,41 @@ def test_objects_are_read_or_refused(spark, tmp_path):
         ("c.exe", "extension"), ("d.json", "too_large")}
     parsed, malformed, left = read_json_objects(spark, str(tmp_path), max_bytes=20)
     assert (parsed.count(), malformed.count(), left.count()) == (1, 1, 2)
+
+
+def test_state_from_created_table_to_replayed_transitions(spark, tmp_path):
+    import datetime as dt
+
+    from taskframe import schemas
+    from taskframe.operators import reads, state
+
+    reads.create_tables(spark, str(tmp_path), {"tasks": schemas.tasks()})
+    created = spark.read.parquet(str(tmp_path / "tasks"))
+    at = [dt.datetime(2024, 1, 1, h) for h in range(6)]
+    kind = ("job_id string, step string, task_id string, user_id string, status string, "
+            "retry_count int, parent_task_id string, parent_step string, seq long, ts timestamp_ntz")
+    events = spark.createDataFrame([("j", "A", "S1", "u", "QUEUED", 0, "S0", "B", 1, at[1])], kind)
+    tasks = state.upsert_tasks(events, created)
+    moves = spark.createDataFrame(
+        [("j", "A", "S1", "FAILED", 0, at[0]), ("j", "A", "S1", "STARTED", 2, at[2]),
+         ("j", "A", "S1", "RETRIED", 3, at[3]), ("j", "A", "S1", "RETRIED", 3, at[3]),
+         ("j", "A", "S1", "SUCCEEDED", 4, at[4])],
+        "job_id string, step string, task_id string, status string, seq long, ts timestamp_ntz")
+    once = state.task_state(tasks, moves)
+    again = state.task_state(once, moves)
+    (row,) = again.collect()
+    assert once.columns == again.columns and once.collect() == [row]
+    assert (row.status, row.retry_count, row.last_seq) == ("SUCCEEDED", 1, 4)
+    assert (row.started_at, row.finished_at, row.parent_step) == (at[2], at[4], "B")
+    (folded,) = state.upsert_tasks(events, again).collect()
+    assert (folded.status, folded.started_at) == ("SUCCEEDED", at[2])
+
+
+def test_children_of_a_step(spark):
+    from taskframe.operators import reads
+
+    parents = spark.createDataFrame([("j", "A", "S0")], "job_id string, step string, task_id string")
+    tasks = spark.createDataFrame(
+        [("j", "X", "S1", "A", "S0"), ("j", "X", "S2", "B", "S0"), ("k", "X", "S3", "A", "S0")],
+        "job_id string, step string, task_id string, parent_step string, parent_task_id string")
+    assert [r.task_id for r in reads.children_of(tasks, parents).collect()] == ["S1"]
