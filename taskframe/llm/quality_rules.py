@@ -119,12 +119,13 @@ def _ln_gamma(x: Column) -> Column:
 
 
 def binomial_tails(df: DataFrame, n: str, k: str, alpha: float) -> DataFrame:
-    """The rows with p_value = P(Bin(n, alpha) <= k).
+    """The distinct rows with p_value = P(Bin(n, alpha) <= k).
 
     Each term is a row, so no array grows with the counts.  Terms more than 40
     standard deviations below k are zero in double precision and left out, and
     beyond k = n * alpha the tail is not needed: it is taken as 1.
     """
+    df = df.distinct()
     row = free_name(df, "tail_row")
     d = df.withColumn(row, F.struct(*map(col, df.columns)))
     width = F.ceil(40 * F.sqrt(col(n) * alpha + 1)).cast("long")
@@ -150,7 +151,7 @@ def cutoffs(good: DataFrame, stratum: str, rules: tuple[Rule, ...] = RULES,
         F.count("*").alias("n"),
         *[F.sum((r.rate() > c).cast("long")).alias(f"{r.name} {i}") for r, i, c in tried])
     # Of the strata only their number goes to the driver.
-    sums = sums.withColumn("strata", F.lit(good.select(col(stratum)).distinct().count()))
+    sums = sums.withColumn("strata", F.lit(max(1, good.select(col(stratum)).distinct().count())))
     candidates = sums.select("stratum", "strata", "n", F.explode(F.array(*[
         F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"),
                  F.col(f"{r.name} {i}").alias("rejected")) for r, i, c in tried])).alias("t")).select(
