@@ -15,7 +15,7 @@ from taskframe.session import scratch_dir
 SPACES = "\\x20\\x09-\\x0D"
 # Rows of an Arrow batch are handed on in slices of about so many bytes, so
 # that a batch of very long texts is not held as Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -46,13 +46,26 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+# What a worker process has learned for one operator; see `kept`.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """State that outlives a task in its worker process, of one operator at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def map_columns(df: DataFrame, inputs: list[str], outputs: T.StructType,
-                start: Callable[[], Callable[..., list]]) -> DataFrame:
+                start: Callable[[], Callable[..., list]], keeps: bool = False) -> DataFrame:
     """The frame with further columns that Python computes from Arrow columns.
 
     `start` runs once per task and returns the function from the input columns
     (Arrow arrays) to the output columns (Arrow arrays or lists).  Input columns
-    named as an output are replaced.
+    named as an output are replaced.  Unless `start` uses `kept`, a worker drops
+    what it keeps of other operators.
     """
     keep = others(df, outputs.fieldNames())
     place = {c: i for i, c in enumerate(keep)}
@@ -64,6 +77,8 @@ def map_columns(df: DataFrame, inputs: list[str], outputs: T.StructType,
     kinds = [_arrow_type(f.dataType) for f in outputs.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
         compute = start()
         for batch in batches:
             for part in slices(batch):

@@ -20,6 +20,8 @@ counts per task.
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
@@ -31,18 +33,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from taskframe.llm.frames import col, free_name, map_columns, written
+from taskframe.llm.byte_bpe import byte_letters
+from taskframe.llm.frames import col, free_name, kept, map_columns, written
 
-# Distinct words a worker keeps ids of before it starts anew.
-CACHE_ENTRIES, CACHE_LENGTH = 700_000, 64
+# Distinct words, and distinct lower-case cores of words, that a worker keeps
+# ids of before it starts anew; longer ones are not kept.
+CACHE_WORDS, CACHE_CORES, CACHE_LENGTH = 700_000, 450_000, 64
+# Marks that form a pre-token of their own after a letter or digit.
+_TRAILING = ".,;:!?%&$#*"
+
+
+def _core(word: str) -> tuple[str, str]:
+    """A word as the lower-case part that is looked up, and the marks after it.
+
+    The library composes characters, then lower-cases them, then splits.  Marks
+    after a letter or digit start a token of their own.  Lower-casing first is
+    the same where both forms are composed already.
+    """
+    core = word.rstrip(_TRAILING)
+    if word.isascii():
+        if core and core[-1].isalnum():
+            return core.lower(), word[len(core):]
+        return word.lower(), ""
+    lower = "".join(map(str.lower, core))
+    if not lower or not lower[-1].isalnum():
+        core, lower = word, "".join(map(str.lower, word))
+    if not (unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", lower)):
+        return word, ""
+    return lower, word[len(core):]
 
 
 class WordIds:
     """Ids of whole texts by the tokenizers library, looked up word by word.
 
-    For vocabularies that drop white space and let no token cross it, the ids of
-    a text are those of its words in order.  Only new words reach the library.
-    Texts that may hold a special string go to it whole.
+    For vocabularies that compose, lower-case and drop white space, and let no
+    token cross it, the ids of a text are those of its words in order.  Only new
+    cores of words reach the library.  Texts that may hold a special string go to
+    it whole.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -54,11 +81,32 @@ class WordIds:
         self.tokenizer.no_padding()
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4").tobytes()
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = [_core(w.decode()) for w in words]
+        cores = self.cores
+        new = list({part for pair in cut for part in pair}.difference(cores))
+        # A lower-case composed word of Latin letters is one pre-token as it is.
+        plain = [w.isalpha() and max(w) < "\u0250" for w in new]
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        cores.update((w, array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes())
+                     for w, p in zip(new, plain, strict=True) if p)
+        rest = [w for w, p in zip(new, plain, strict=True) if not p]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        cores.update(zip(rest, (array("I", e.ids).tobytes() for e in found), strict=True))
+        self.known.update((w, cores[core] + cores[marks]) for w, (core, marks) in zip(words, cut, strict=True))
+        for part in new:
+            if len(part) > CACHE_LENGTH:
+                del cores[part]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        if len(self.cores) > CACHE_CORES:
+            self.cores.clear()
         known, rows, missing = self.known, [], set()
         for text in texts:
             raw = text.encode()
@@ -66,13 +114,12 @@ class WordIds:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 rows.append(np.array(ids, "<u4").tobytes())
                 continue
-            words = (raw.lower() if raw.isascii() else raw).split()
+            words = raw.split()
             missing.update(words)
             rows.append(words)
         missing.difference_update(known)
         fresh = list(missing)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        known.update(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        self._learn(fresh)
         out = [(r if isinstance(r, bytes) else b"".join(map(known.__getitem__, r))) + self.end for r in rows]
         for w in fresh:
             if len(w) > CACHE_LENGTH:
@@ -80,9 +127,6 @@ class WordIds:
         return out
 
 
-_word_ids: dict[tuple[str, int], WordIds] = {}
-
-
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 1, text: str = "text") -> DataFrame:
     """One row per piece: the other columns, then piece, start, length, ids.
 
@@ -92,10 +136,8 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 1, text: str =
     """
 
     def start():
-        key = (path, end_id)
-        if key not in _word_ids:
-            _word_ids[key] = WordIds(path, end_id)
-        word_ids, step = _word_ids[key], 4 * capacity
+        word_ids = kept(f"word ids {path} {end_id}", lambda: WordIds(path, end_id))
+        step = 4 * capacity
 
         def run(texts):
             rows = word_ids.ids([t or "" for t in texts.to_pylist()])
@@ -103,12 +145,12 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 1, text: str =
                              pa.list_(pa.binary()))]
         return run
 
-    cut = map_columns(df, [text], T.StructType([T.StructField("ids", T.ArrayType(T.BinaryType()))]), start)
+    cut = map_columns(df, [text], T.StructType([T.StructField("ids", T.ArrayType(T.BinaryType()))]), start, keeps=True)
     new = {"piece", "start", "length", "ids"}
-    kept = [c for c in cut.columns if c.lower() not in new and c != text]
-    rows = cut.select(*map(col, kept), F.posexplode("ids").alias("piece", "ids"))
+    rest = [c for c in cut.columns if c.lower() not in new and c != text]
+    rows = cut.select(*map(col, rest), F.posexplode("ids").alias("piece", "ids"))
     return rows.select(
-        *map(col, kept), "piece", (F.col("piece").cast("long") * capacity).alias("start"),
+        *map(col, rest), "piece", (F.col("piece").cast("long") * capacity).alias("start"),
         (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")
 
 
@@ -252,6 +294,9 @@ def pack(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     `length` is 1 to `capacity` in every row.  Equal lengths are interchangeable;
     repeated rows get places of their own.  Columns with the new names are replaced.
     """
+    # Written first, so that numbering needs no second Python worker beside the
+    # one that makes the pieces.
+    df = written(df, "pieces")
     part, local = free_name(df, "packing_part"), free_name(df, "packing_rank")
 
     def number():

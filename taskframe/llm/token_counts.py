@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskframe.llm.byte_bpe import CACHE_ENTRIES, CACHE_LENGTH, Pieces, Vocabulary, vocabulary
-from taskframe.llm.frames import col, map_columns
+from taskframe.llm.frames import col, kept, map_columns
 
 
 @lru_cache(maxsize=4)
@@ -75,9 +75,6 @@ class Counter:
         return extra
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
     """The frame with `n_bytes` (UTF-8), `n_tokens` and `over_limit`.
 
@@ -87,12 +84,10 @@ def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text") -> Da
     alone = proven_alone(path)
 
     def start():
-        if path not in _counters:
-            _counters[path] = Counter(path, alone)
-        counter = _counters[path]
+        counter = kept(f"counter {path}", lambda: Counter(path, alone))
         return lambda texts: [pa.array(np.array(
             counter.count([t or "" for t in texts.to_pylist()]), np.int64))]
 
     sized = df.withColumn("n_bytes", F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long"))
-    counted = map_columns(sized, [text], T.StructType([T.StructField("n_tokens", T.LongType())]), start)
+    counted = map_columns(sized, [text], T.StructType([T.StructField("n_tokens", T.LongType())]), start, keeps=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
