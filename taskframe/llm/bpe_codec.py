@@ -13,13 +13,15 @@ special id, as the file's library does by default.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from taskframe.llm.byte_bpe import CACHE_ENTRIES, CACHE_LENGTH, Pieces, Vocabulary, vocabulary
-from taskframe.llm.frames import map_columns
+from taskframe.llm.frames import kept, map_columns
 
 
 class PairCheck:
@@ -111,7 +113,7 @@ class Speculation:
             else:
                 self.failed += 1
                 ids = self.vocab.merge(plain)
-            self.words[word] = np.array(ids, "<u4").tobytes()
+            self.words[word] = array("I", ids).tobytes()
 
     def _alone(self, guess: list[int]) -> bool:
         """Tokens come from merges, so the border inside a token decides as well."""
@@ -162,25 +164,34 @@ class Encoder:
         return [b"".join(x) for x in out]
 
 
-_encoders: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, with what it has learned."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary, with what it has learned."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _decoded(vocab: Vocabulary, packed: list[bytes | None]) -> pa.Array:
+    return pa.array([vocab.decode(np.frombuffer(p or b"", "<u4").tolist()) for p in packed], pa.string())
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
+           decoded: str | None = None) -> DataFrame:
     """The frame with the token ids of `text` as packed little-endian unsigned
-    32-bit integers.  Null text: no ids.  A column named `ids` is replaced."""
+    32-bit integers and, if `decoded` names a column, the text that these ids
+    decode to.  Null text: no ids.  Columns with the new names are replaced."""
+    fields = [T.StructField(ids, T.BinaryType())]
+    if decoded is not None:
+        fields.append(T.StructField(decoded, T.StringType()))
 
     def start():
         codec = encoder(path)
-        return lambda texts: [pa.array(codec.encode([t or "" for t in texts.to_pylist()]), pa.binary())]
 
-    return map_columns(df, [text], T.StructType([T.StructField(ids, T.BinaryType())]), start)
+        def run(texts):
+            made = codec.encode([t or "" for t in texts.to_pylist()])
+            out = [pa.array(made, pa.binary())]
+            return out if decoded is None else [*out, _decoded(codec.vocab, made)]
+        return run
+
+    return map_columns(df, [text], T.StructType(fields), start, keeps=True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -189,10 +200,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def start():
         vocab = vocabulary(path)
-
-        def run(packed):
-            return [pa.array([vocab.decode(np.frombuffer(p or b"", "<u4").tolist())
-                              for p in packed.to_pylist()], pa.string())]
-        return run
+        return lambda packed: [_decoded(vocab, packed.to_pylist())]
 
     return map_columns(df, [ids], T.StructType([T.StructField(text, T.StringType())]), start)

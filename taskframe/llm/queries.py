@@ -67,9 +67,8 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document, and of the text they decode to."""
     path = tokenizer_path("byte_bpe_50k.json")
-    encoded = bpe_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = bpe_codec.decode(encoded.drop("text"), path)
-    return decoded.select(
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_codec.encode(documents, path, decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
