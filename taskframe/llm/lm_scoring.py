@@ -6,9 +6,8 @@ is the causal self-attention of `attention` over the subword ids of the words; a
 text is cut into overlapping windows in which every id is scored once.
 
 One pass over the texts to learn from counts all words and all pairs of adjacent
-ids, and keeps one window in `share`, chosen by its ids.  The
-counts give the model its tables; the windows train it in rounds: each task
-trains on its part, and parameters are averaged weighted by windows.  Words,
+ids, and keeps every window.  The counts give the model its tables; the windows
+train it in rounds: each task trains on its part, and parameters are averaged weighted by windows.  Words,
 pairs, windows and gradients all come from the whole corpus, so they grow with it.
 
 Words more frequent than one in `1 / HOT_SHARE` are looked up in the tasks that
@@ -40,7 +39,7 @@ END = SIZE - 1
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words at least this frequent are broadcast: 1 / HOT_SHARE of all tokens.
 HOT_SHARE = 1 << 18
-SHARE, ROUNDS, RATE, BATCH = 64, 3, 0.01, 64
+SHARE, ROUNDS, RATE, BATCH = 1, 3, 0.01, 64
 SMOOTH, PARTS = 0.1, 8
 # Windows of a training task at least, while there are as many.
 TASK_WINDOWS = 16384

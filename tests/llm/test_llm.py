@@ -445,6 +445,18 @@ def test_language_model_beats_the_base(spark):
     assert r.s > r.b
 
 
+def test_every_text_gives_all_its_windows_to_training(spark, monkeypatch):
+    seen, fit = [], lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda w, *rest: (seen.extend(r.window for r in w.collect()), fit(w, *rest))[1])
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(PROSE)], "doc_id long, text string")
+    lm_scoring.score(texts, F.lit(True), SUBWORDS, rounds=1).count()
+    codec = lm_scoring.Subwords(SUBWORDS)
+    rows = [(t or "").encode().lower().split() for t in PROSE]
+    codec.learn(set().union(*rows))
+    goals = np.frombuffer(b"".join(map(bytes, seen)), "<i2").reshape(len(seen), -1)[:, attention.CONTEXT + 2:]
+    assert Counter(goals[goals >= 0].tolist()) == Counter(np.concatenate([codec.ids(r) for r in rows]).tolist())
+
+
 def test_queries_derive_their_digests(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
