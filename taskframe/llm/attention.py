@@ -228,13 +228,12 @@ class Adam:
 Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def windows(texts: list[np.ndarray], end: int, share: int = 1) -> Windows:
+def windows(texts: list[np.ndarray], end: int) -> Windows:
     """Overlapping windows of texts (ids, each ending with `end`): every id is the
     target of exactly one query.
 
     Returns ids (n, CONTEXT + 1), padding keys per window, targets and weights
-    (n, STRIDE), and the text of each window.  With a share, one window in so
-    many, chosen by its ids and place.
+    (n, STRIDE), and the text of each window.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     blocks = -(-sizes // STRIDE)
@@ -254,10 +253,6 @@ def windows(texts: list[np.ndarray], end: int, share: int = 1) -> Windows:
     owner = np.repeat(np.arange(len(texts)), blocks)
     number = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(blocks)[:-1]], blocks)
     first = np.repeat(starts, blocks) + number * STRIDE
-    if share > 1:
-        mixed = goal[first + lead].astype(np.int64) * 40503 + seen[first + lead] * 7919 + number * 104729
-        chosen = mixed * 2654435761 % (1 << 32) % share == 0
-        owner, number, first = owner[chosen], number[chosen], first[chosen]
     ids = seen[first[:, None] + np.arange(CONTEXT + 1)]
     at = first[:, None] + lead + np.arange(STRIDE)
     ahead = np.maximum(0, CONTEXT - STRIDE - number * STRIDE)

@@ -39,7 +39,7 @@ END = SIZE - 1
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words at least this frequent are broadcast: 1 / HOT_SHARE of all tokens.
 HOT_SHARE = 1 << 18
-SHARE, ROUNDS, RATE, BATCH = 1, 3, 0.01, 64
+ROUNDS, RATE, BATCH = 3, 0.01, 64
 SMOOTH, PARTS = 0.1, 8
 # Windows of a training task at least, while there are as many.
 TASK_WINDOWS = 16384
@@ -97,7 +97,7 @@ _CORPUS = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("window", T.BinaryType())])
 
 
-def gather(texts: DataFrame, path: str, share: int) -> DataFrame:
+def gather(texts: DataFrame, path: str) -> DataFrame:
     """Words and id pairs with counts, not yet summed, and training windows.
 
     The end is the empty word.  A window is packed: its padding, ids and targets.
@@ -139,7 +139,7 @@ def gather(texts: DataFrame, path: str, share: int) -> DataFrame:
                 flat = np.concatenate(texts_ids)
                 pairs.append(np.r_[np.int32(END), flat[:-1]] * np.int32(SIZE) + flat)
                 held += len(flat)
-                ids, ahead, targets, weight, _ = attention.windows(texts_ids, END, share)
+                ids, ahead, targets, weight, _ = attention.windows(texts_ids, END)
                 packed = np.hstack([ahead[:, None], ids, np.where(weight > 0, targets, -1)]).astype("<i2")
                 if len(packed):
                     yield made(window=[row.tobytes() for row in packed])
@@ -230,8 +230,8 @@ def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float)
     return p
 
 
-def score(df: DataFrame, trained: Column, path: str, text: str = "text", share: int = SHARE,
-          rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds: int = ROUNDS,
+          rate: float = RATE) -> DataFrame:
     """The frame with n_tokens, n_known, train_tokens (long), base_score and score
     (log10 probabilities).
 
@@ -243,7 +243,7 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", share:
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = others(df, new)
     spark = df.sparkSession
-    corpus = written(gather(df.where(trained).select(col(text)), path, share), "corpus")
+    corpus = written(gather(df.where(trained).select(col(text)), path), "corpus")
     counts = written(corpus.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # One row per distinct pair, at most SIZE * SIZE of them.

@@ -1,6 +1,7 @@
 """The operators of the llm subpackage against brute force, libraries and SQL."""
 
 import hashlib
+import inspect
 import itertools
 import json
 import random
@@ -457,6 +458,15 @@ def test_every_text_gives_all_its_windows_to_training(spark, monkeypatch):
     assert Counter(goals[goals >= 0].tolist()) == Counter(np.concatenate([codec.ids(r) for r in rows]).tolist())
 
 
+def test_windows_leave_no_opening_out():
+    """Short texts of every first id, and copies of one: each text has its window."""
+    texts = [np.array([i, 5, 2047]) for i in range(2047)] + [np.array([7, 2047])] * 100
+    ids, _, targets, weight, owner = attention.windows(texts, 2047)
+    assert owner.tolist() == list(range(len(texts)))
+    assert targets[:, 0].tolist() == [*range(2047), *[7] * 100] and weight.sum() == sum(map(len, texts))
+    assert "share" not in inspect.signature(lm_scoring.score).parameters
+
+
 def test_queries_derive_their_digests(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
