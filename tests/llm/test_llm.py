@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -398,6 +399,39 @@ def test_every_template_finds_itself():
         assert scanner.match(text)[0] == name
 
 
+def test_wrapped_and_whole_license_texts(spark):
+    """Notices over several lines, behind comment marks, and license files."""
+    folded = {n: "\n".join(f" # {line}" for line in textwrap.wrap(licenses.TEMPLATES[n], 75)) for n in (
+        "MIT-permission", "Apache-2.0-file-header", "GPL-3.0-or-later-header", "GPL-2.0-or-later-notice", "BSD-3-Clause-text")}
+    rows = [(n, f"head\n{t}\nint main;") for n, t in folded.items()]
+    rows.append(("MIT-text", "MIT License\n\nCopyright (c) 2024 Someone\n\n" + licenses.TEMPLATES["MIT-text"]))
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: [(x.license, x.line, x.differences) for x in r.licenses] for r in licenses.scan(df).collect()}
+    assert got == {n: [(n, 4 if n == "MIT-text" else 1, 0)] for n, _ in rows}
+
+
+def test_notices_within_long_lines():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    prose = "a word of prose " * 40
+    assert [x[:2] for x in scanner.find(f"{prose}released under the mit license. {prose}")] == [("MIT", 0)]
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [x[0] for x in scanner.find(two)] == ["MIT", "Apache-2.0"]
+
+
+def test_alignment_is_the_fewest_differences():
+    rng = random.Random(4)
+    for _ in range(40):
+        a, b = ([rng.randrange(4) for _ in range(n)] for n in (rng.randint(1, 6), rng.randint(0, 9)))
+        costs, _ = licenses.alignments(np.array(a), np.array(b, int))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        assert costs.tolist() == row
+
+
 def test_windows_score_every_id_once():
     texts = [np.arange(n) % 50 for n in (1, 31, 32, 33, 200)]
     ids, ahead, targets, weight, owner = attention.windows(texts, 50)
