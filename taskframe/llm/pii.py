@@ -24,12 +24,16 @@ KINDS = ("email", "secret", "phone", "ip", "date", "ssn", "card")
 # In the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/]{16,}",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/]{4,}",
+    "phone": (r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+              # National, told from other numbers by its groups.
+              r"|(?<![0-9.-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    # A whole run of digit groups, up to where a social security number or date begins.
+    "card": (r"(?<![0-9])[0-9](?:[ -]?(?!(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9]))"
+             r"[0-9]){12,}(?![0-9])"),
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -92,7 +96,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"[A-Za-z0-9_\-+/]{16,}$", 0)
+    value = F.regexp_extract(m, r"[A-Za-z0-9_\-+/]{4,}$", 0)
 
     def made(v: Column) -> Column:
         h = F.substring(_hash(key, "secret", F.lower(v)), 1, 16)
@@ -133,17 +137,21 @@ def _date(m: Column, key: str) -> Column:
     def made(p: Column) -> Column:
         first = m.rlike("^[0-9]{4}")
         part = [F.get(p, F.lit(i)) for i in range(3)]
-        day = F.try_to_timestamp(F.concat_ws(
-            "-", F.when(first, part[0]).otherwise(part[2]), part[1], F.when(first, part[2]).otherwise(part[0])),
-            F.lit("yyyy-MM-dd")).cast("date")
+
+        def read(year: Column, month: Column, day: Column) -> Column:
+            return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
+
+        # Day first where that is a date, else month first.
+        european, american = read(part[2], part[1], part[0]), read(part[2], part[0], part[1])
+        day = F.when(first, read(part[0], part[1], part[2])).otherwise(F.coalesce(european, american))
         number = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
         a, b = _DAY_HALVES
         return _using(number, lambda n: F.when((n >= 0) & (n < a * b), _using(
             feistel(F.floor(n / b), n % b, a, b, key, "date"),
             lambda s: _using(
                 F.date_add(F.lit(_FIRST_DAY).cast("date"), (s["l"] * b + s["r"]).cast("int")),
-                lambda d: _filled(m, F.when(first, F.date_format(d, "yyyyMMdd")).otherwise(
-                    F.date_format(d, "ddMMyyyy")))))))
+                lambda d: _filled(m, F.when(first, F.date_format(d, "yyyyMMdd")).when(
+                    european.isNotNull(), F.date_format(d, "ddMMyyyy")).otherwise(F.date_format(d, "MMddyyyy")))))))
 
     return _using(F.split(m, "[-/.]"), made)
 
@@ -164,7 +172,8 @@ def _ssn(m: Column, key: str) -> Column:
     return _using(_digits(m), made)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card_number(m: Column, key: str) -> Column:
+    """The pseudonym of what is a card number, else null."""
     def made(d: Column) -> Column:
         n = F.length(d)
         payload = F.substring(d, F.lit(1), n - 1)
@@ -179,12 +188,48 @@ def _card(m: Column, key: str) -> Column:
         new = F.when(n == 13, of_length(12))
         for k in range(13, 19):
             new = new.when(n == k + 1, of_length(k))
-        return F.when(_luhn(payload) == F.substring(d, n, F.lit(1)), _using(
-            new, lambda p: _filled(m, F.concat(p, _luhn(p)))))
+        return _using(new, lambda p: _filled(m, F.concat(p, _luhn(p))))
 
     return _using(_digits(m), made)
 
 
+def _cards(m: Column) -> Column:
+    """The digit groups of a run, joined where they make a card number: from the left,
+    the most groups of 13 to 19 digits with a valid check digit."""
+    def valid(d: Column) -> Column:
+        n = F.length(d)
+        return n.between(13, 19) & (_luhn(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1)))
+
+    def cut(groups: Column) -> Column:
+        def joined(i: Column, n: Column) -> Column:
+            return F.array_join(F.slice(groups, i, n), "")
+
+        def step(s: Column, i: Column) -> Column:
+            def taken(ns: Column) -> Column:
+                n = F.coalesce(F.get(ns, F.lit(0)), F.lit(0))
+                text = joined(i, F.greatest(n, F.lit(1)))
+                return F.struct(
+                    F.concat(s["parts"], F.array(F.struct(text.alias("text"), (n > 0).alias("card")))).alias("parts"),
+                    (i + F.greatest(n, F.lit(1))).cast("int").alias("next"))
+
+            most = F.least(F.size(groups) - i + 1, F.lit(19))
+            sizes = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: valid(_digits(joined(i, n))))
+            return F.when(i < s["next"], s).otherwise(_using(sizes, taken))
+
+        none = F.array().cast("array<struct<text:string,card:boolean>>")
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(groups)),
+            F.struct(none.alias("parts"), F.lit(1).alias("next")), step, lambda s: s["parts"])
+
+    return _using(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), cut)
+
+
+def _card(m: Column, key: str) -> Column:
+    """The run with its card numbers replaced; null without any."""
+    return _using(_cards(m), lambda parts: F.when(F.exists(parts, lambda x: x["card"]), F.array_join(
+        F.transform(parts, lambda x: F.when(x["card"], _card_number(x["text"], key)).otherwise(x["text"])), "")))
+
+
 _MAKE = {"email": _email, "secret": _secret, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
 
 
@@ -200,12 +245,14 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     kept = others(df, new)
 
     def replaced(m: Column) -> Column:
-        kind, made = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+        kind, made, n = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit("")), F.lit(1)
         for k, p in PATTERNS.items():
             # A lookbehind at the start of the match holds for what was found.
             is_kind = m.rlike(f"^(?:{p})$")
             kind, made = kind.when(is_kind, F.lit(k)), made.when(is_kind, _MAKE[k](m, key))
-        return F.struct(m.alias("was"), kind.alias("kind"), made.alias("now"))
+            if k == "card":
+                n = F.when(kind == k, F.size(F.filter(_cards(m), lambda x: x["card"]))).otherwise(n)
+        return F.struct(m.alias("was"), kind.alias("kind"), made.alias("now"), n.alias("n"))
 
     # Nothing of any kind is without a digit, an at sign or an assignment.
     maybe = col(text).rlike("[0-9@]|(?i:token|secret|passw|api[_-]?key)")
@@ -216,8 +263,9 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.array_join(F.zip_with(F.slice(F.col(gaps), 1, F.size(found)), F.col(found),
                                 lambda g, x: F.concat(g, F.coalesce(x["now"], x["was"]))), ""),
         F.element_at(F.col(gaps), -1))
-    count = {k: F.coalesce(F.size(F.filter(F.col(found), lambda x: (x["kind"] == k) & x["now"].isNotNull())), F.lit(0))
-             for k in KINDS}
+    count = {k: F.coalesce(F.aggregate(
+        F.filter(F.col(found), lambda x: (x["kind"] == k) & x["now"].isNotNull()), F.lit(0), lambda s, x: s + x["n"]), F.lit(0))
+        for k in KINDS}
     return staged.select(
         *[F.when(F.size(found) > 0, joined).otherwise(col(c)).alias(c) if c == text else col(c) for c in kept],
         *[F.greatest(count[k], F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS])

@@ -338,6 +338,23 @@ def test_pseudonyms(spark, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_pseudonyms_of_other_forms(spark):
+    texts = ["4111111111111111 123", "4111 1111 1111 1111 12/27", "order 7 4111111111111111",
+             "4111 1111 1111 1111 123-45-6789", "4111111111111111 5500000000000004", "call (217) 555-7713 or 217-555-7713",
+             "due 12/25/2024", "password = hunter2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    for i in (0, 1, 2, 3):
+        assert "4111" not in rows[i].text and rows[i].n_card == 1
+    assert rows[0].text.endswith(" 123") and rows[1].text.endswith(" 12/27") and rows[2].text.startswith("order 7 ")
+    assert "123-45-6789" not in rows[3].text and rows[3].n_ssn == 1
+    assert rows[4].n_card == 2 and all(map(luhn, rows[4].text.split())) and rows[4].text != texts[4]
+    first, second = re.findall(r"\(?(\d{3})\)?[ -](\d{3})-(\d{4})", rows[5].text)
+    assert first == second != ("217", "555", "7713") and rows[5].n_phone == 2
+    assert re.fullmatch(r"due (0\d|1[0-2])/\d\d/\d{4}", rows[6].text) and rows[6].text != texts[6] and rows[6].n_date == 1
+    assert re.fullmatch(r"password = [0-9a-f]{7}", rows[7].text) and rows[7].n_secret == 1
+
+
 def test_feistel_is_a_permutation(spark):
     made = spark.range(9 * 7).select(pii.feistel((F.col("id") / 7).cast("long"), F.col("id") % 7, 9, 7, "k", "t").alias("s"))
     assert sorted((r.s.l, r.s.r) for r in made.collect()) == [(a, b) for a in range(9) for b in range(7)]
