@@ -1,9 +1,9 @@
 """Quality by votes of the nearest labelled documents in a latent-semantic space.
 
-A document's terms are the forms of its words (letters and digits collapsed,
-all other characters kept), their lengths, and how much of it repeats: the same
-word again, a line seen before, a word used before.  Terms are hashed into
-`TERMS` buckets and weighted by the root of their share times their inverse
+A document's terms are its lower-cased words, the forms of its words (letters and
+digits collapsed, all other characters kept), their lengths, and how much of it
+repeats: the same word again, a line seen before, a word used before.  Forms and
+words are hashed into `TERMS` buckets each; all terms are weighted by the root of their share times their inverse
 document frequency over all documents.  A singular value decomposition of the
 labelled sample gives the latent space.  The sample's vectors are broadcast;
 every document's cosines with all of them are computed exactly, block by block,
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from taskframe.llm.frames import col, free_name, map_columns, others, written
 
 TERMS, LENGTHS, EXTRA = 1024, 32, 4
-WIDTH = TERMS + LENGTHS + EXTRA
+WIDTH = 2 * TERMS + LENGTHS + EXTRA
 # Votes fall by a factor e for each 1 / SHARPNESS of cosine.
 SAMPLE, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 48, 25, 30
 CACHE_ENTRIES = 400_000
@@ -43,10 +43,10 @@ def word_form(word: str) -> str:
 
 
 class Terms:
-    """Sparse term shares of texts, with the bucket of every word form kept."""
+    """Sparse term shares of texts, with the buckets of every word kept: its form's and its own."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, int]] = {}
 
     def of(self, text: str) -> tuple[bytes, bytes]:
         words, known = text.split(), self.known
@@ -55,12 +55,13 @@ class Terms:
         if len(known) > CACHE_ENTRIES:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = zlib.crc32(word_form(w).encode()) % TERMS
+            known[w] = (zlib.crc32(word_form(w).encode()) % TERMS, TERMS + zlib.crc32(w.lower().encode()) % TERMS)
         counts = np.zeros(WIDTH)
         n = len(words)
-        counts[:TERMS] = np.bincount(list(map(known.__getitem__, words)), minlength=TERMS)
+        places = np.array(list(map(known.__getitem__, words))).ravel()
+        counts[:2 * TERMS] = np.bincount(places, minlength=2 * TERMS)
         lengths = np.minimum(np.fromiter(map(len, words), np.int64, n), LENGTHS) - 1
-        counts[TERMS:TERMS + LENGTHS] = np.bincount(lengths, minlength=LENGTHS) / 4
+        counts[2 * TERMS:2 * TERMS + LENGTHS] = np.bincount(lengths, minlength=LENGTHS) / 4
         lines = [line for line in text.split("\n") if line.strip()]
         counts[-4] = sum(map(operator.eq, words, words[1:]))
         counts[-3] = n * (len(lines) - len(set(lines))) / max(len(lines), 1)

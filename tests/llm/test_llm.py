@@ -377,6 +377,11 @@ def test_quality_scores(docs, empty, spark):
     assert classifier.score(empty, some).count() == 0
 
 
+def test_words_of_one_shape_are_different_terms():
+    counter = classifier.Terms()
+    assert counter.of("poker chips") != counter.of("prime ideal") and counter.of("The cat") != counter.of("Who sat")
+
+
 def test_votes_are_those_of_all_neighbours(spark):
     """Against the cosines of all pairs, with every labelled document a neighbour."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(PROSE)], "doc_id long, text string")
