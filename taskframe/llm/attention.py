@@ -17,7 +17,9 @@ import numpy as np
 CONTEXT, STRIDE = 24, 16
 EMBED, HEAD, HIDDEN, GROUPS, CLASSES = 32, 16, 32, 16, 16
 PRIOR, CLIP = 4.0, 1.0
-_NEVER, _MOST = np.float32(-1e9), np.float32(60)
+_NEVER = np.float32(-1e9)
+# Steps over which the rate rises; it falls with the root of the step after them.
+WARM = 32
 
 
 def classes_of(pairs: np.ndarray, classes: int = GROUPS * CLASSES) -> np.ndarray:
@@ -117,8 +119,8 @@ class Forward:
         padded = np.flatnonzero(ahead)
         if len(padded):
             s[padded] += np.where(np.arange(CONTEXT) < ahead[padded, None], _NEVER, np.float32(0))[:, None, :]
-        # Scores far beyond this do not occur; the cut only keeps exp finite.
-        np.minimum(s, _MOST, out=s)
+        # Every query sees itself, so each row has a greatest score.
+        s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         # The last column of the values is one, so its product is the sum.
         made = s @ self.v
@@ -136,20 +138,18 @@ class Forward:
         self.hidden, self.goal, self.group = flat[self.order], goal[self.order], group[self.order]
         self.place = tables.place[self.goal]
         prev = asks.ravel()[self.order]
-        self.of_group = _softmax(self.hidden @ p["groups"] + p["group_bias"] + tables.groups[prev])
+        self.of_group, log_group = _softmax(self.hidden @ p["groups"] + p["group_bias"] + tables.groups[prev], self.group)
         scores = tables.classes[prev, self.group]
         for g, (lo, hi) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
             scores[lo:hi] += self.hidden[lo:hi] @ p["classes"][g] + p["class_bias"][g]
-        self.of_class = _softmax(scores)
-        self.inside = tables.inside[prev, self.goal]
+        self.of_class, log_class = _softmax(scores, self.place)
+        self.logs = log_group + log_class + tables.inside[prev, self.goal]
         self.ids, self.keys, self.asks, self.before = ids, keys, asks, before
 
     def log_probability(self) -> np.ndarray:
         """Natural logarithm of each target, (n, STRIDE)."""
-        row = np.arange(len(self.goal))
-        share = self.of_group[row, self.group] * self.of_class[row, self.place]
-        out = np.empty(len(row), np.float32)
-        out[self.order] = np.log(np.maximum(share, 1e-30)) + self.inside
+        out = np.empty(len(self.goal), np.float32)
+        out[self.order] = self.logs
         return out.reshape(-1, STRIDE)
 
     def gradients(self, p: Parameters, weight: np.ndarray) -> Parameters:
@@ -190,11 +190,14 @@ class Forward:
         return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    np.minimum(x, _MOST, out=x)
+def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's shares, and the logarithm of the share at its goal."""
+    x -= x.max(axis=1, keepdims=True)
+    at_goal = x[np.arange(len(x)), goal]
     np.exp(x, out=x)
-    x /= x @ np.ones((x.shape[1], 1), np.float32)
-    return x
+    total = x @ np.ones((x.shape[1], 1), np.float32)
+    x /= total
+    return x, at_goal - np.log(total[:, 0])
 
 
 def _gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -215,14 +218,17 @@ class Adam:
 
     def step(self, p: Parameters, g: Parameters) -> None:
         self.n += 1
-        norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
+        norm = float(np.sqrt(sum((x * x).sum(dtype=np.float64) for x in g.values())))
+        if not np.isfinite(norm):
+            raise FloatingPointError(f"gradient is not finite at step {self.n}")
+        rate = self.rate * min(self.n / WARM, (WARM / self.n) ** 0.5)
         cut = min(1.0, CLIP / max(norm, 1e-12))
         for k in p:
             x = g[k] * np.float32(cut)
             self.m[k] += np.float32(0.1) * (x - self.m[k])
             self.s[k] += np.float32(0.01) * (x * x - self.s[k])
             m, s = self.m[k] / (1 - 0.9 ** self.n), self.s[k] / (1 - 0.99 ** self.n)
-            p[k] -= (self.rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
+            p[k] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
 
 
 Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]

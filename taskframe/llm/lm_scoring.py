@@ -7,8 +7,10 @@ text is cut into overlapping windows in which every id is scored once.
 
 One pass over the texts to learn from counts all words and all pairs of adjacent
 ids, and keeps every window.  The counts give the model its tables; the windows
-train it in rounds: each task trains on its part, and parameters are averaged weighted by windows.  Words,
-pairs, windows and gradients all come from the whole corpus, so they grow with it.
+train it in rounds.  Windows are dealt over the rounds, so each is trained on
+once; in a round each task trains on its part, and parameters are averaged
+weighted by windows.  Words, pairs, windows and gradients all come from the whole
+corpus, so they grow with it.
 
 Words more frequent than one in `1 / HOT_SHARE` are looked up in the tasks that
 score: by that rule there are at most HOT_SHARE of them.  The other words go
@@ -39,10 +41,10 @@ END = SIZE - 1
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words at least this frequent are broadcast: 1 / HOT_SHARE of all tokens.
 HOT_SHARE = 1 << 18
-ROUNDS, RATE, BATCH = 3, 0.01, 64
+ROUNDS, RATE, BATCH = 3, 0.01, 256
 SMOOTH, PARTS = 0.1, 8
 # Windows of a training task at least, while there are as many.
-TASK_WINDOWS = 16384
+TASK_WINDOWS = 32768
 CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
 # Counts a task holds before it hands them on.
 HELD_WORDS, HELD_PAIRS = 300_000, 8_000_000
@@ -94,21 +96,25 @@ def _split(texts: list[str | None]) -> list[list[bytes]]:
 
 _CORPUS = T.StructType([
     T.StructField("word", T.BinaryType()), T.StructField("pair", T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("window", T.BinaryType())])
+    T.StructField("n", T.LongType()), T.StructField("window", T.BinaryType()),
+    T.StructField("deal", T.IntegerType())])
 
 
 def gather(texts: DataFrame, path: str) -> DataFrame:
     """Words and id pairs with counts, not yet summed, and training windows.
 
-    The end is the empty word.  A window is packed: its padding, ids and targets.
+    The end is the empty word.  A window is packed: its padding, ids and targets;
+    `deal` counts the windows of a task, from a place of the task's own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, words, pairs, held = subwords(path), Counter(), [], 0
+        dealt = TaskContext.get().partitionId()
 
-        def made(word=None, pair=None, n=None, window=None) -> pa.RecordBatch:
+        def made(word=None, pair=None, n=None, window=None, deal=None) -> pa.RecordBatch:
             size = len(word if word is not None else pair if pair is not None else window)
-            columns = [(word, pa.binary()), (pair, pa.int64()), (n, pa.int64()), (window, pa.binary())]
+            columns = [(word, pa.binary()), (pair, pa.int64()), (n, pa.int64()), (window, pa.binary()),
+                       (deal, pa.int32())]
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(size, kind) if c is None else pa.array(c, kind) for c, kind in columns],
                 _CORPUS.fieldNames())
@@ -142,7 +148,9 @@ def gather(texts: DataFrame, path: str) -> DataFrame:
                 ids, ahead, targets, weight, _ = attention.windows(texts_ids, END)
                 packed = np.hstack([ahead[:, None], ids, np.where(weight > 0, targets, -1)]).astype("<i2")
                 if len(packed):
-                    yield made(window=[row.tobytes() for row in packed])
+                    deal = (dealt + np.arange(len(packed))) % (1 << 30)
+                    yield made(window=[row.tobytes() for row in packed], deal=deal.astype(np.int32))
+                    dealt += len(packed)
                 if len(words) > HELD_WORDS:
                     yield from counted()
                 if held > HELD_PAIRS:
@@ -170,14 +178,15 @@ def _shaped(flat: np.ndarray, like: attention.Parameters) -> attention.Parameter
 
 
 def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float) -> attention.Parameters:
-    """Parameters trained on all windows; each round averages what the tasks made.
+    """Parameters trained on all windows, each in one round; a round averages what
+    its tasks made.
 
-    The tasks' parameters are summed in PARTS tasks, of one row each at a time, and
+    `windows` has window and deal.  The tasks' parameters are summed in PARTS tasks, of one row each at a time, and
     the driver adds those sums.
     """
     spark, p = windows.sparkSession, attention.initial(SIZE)
     # An average of tasks that saw little is worth little: few windows, few tasks.
-    windows = windows.coalesce(max(1, windows.count() // TASK_WINDOWS))
+    tasks = max(1, windows.count() // (rounds * TASK_WINDOWS))
     context = spark.sparkContext
     given = context.broadcast(tables)
     for n in range(rounds):
@@ -221,10 +230,11 @@ def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([0]), pa.array([total.tobytes()]), pa.array([weight])], ["at", "part", "weight"])
 
-        made = windows.mapInArrow(run, _PARAMETERS)
+        dealt = windows.where(F.col("deal") % rounds == n).select("window").coalesce(tasks)
+        made = dealt.mapInArrow(run, _PARAMETERS)
         sums = made.repartition(PARTS, "at").mapInArrow(add, _PARAMETERS).collect()
         if not sums:
-            break
+            continue
         weight = sum(r["weight"] for r in sums)
         p = _shaped(sum(np.frombuffer(r["part"], "<f8") for r in sums) / weight, p)
     return p
@@ -251,7 +261,7 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds:
     pairs = np.zeros(SIZE * SIZE)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     tables = attention.Tables(pairs.reshape(SIZE, SIZE))
-    p = fit(corpus.where("window is not null").select("window"), tables, rounds, rate)
+    p = fit(corpus.where("window is not null").select("window", "deal"), tables, rounds, rate)
     hot = counts.where(F.col("n") * HOT_SHARE >= total).toArrow()
     logs = np.log10((hot.column("n").to_numpy() + SMOOTH) / (total + SMOOTH * (distinct + 1)))
     frequent = dict(zip(hot.column("word").to_pylist(), range(len(logs)), strict=True))
