@@ -150,7 +150,7 @@ class Encoder:
         parts, owner = [], []
         special = self.vocab.special_pattern
         for n, text in enumerate(texts):
-            cut = special.split(text) if special and "<|" in text else [text]
+            cut = special.split(text) if any(s in text for s in self.vocab.specials) else [text]
             for k, part in enumerate(cut):
                 parts.append(part)
                 owner.append((n, k % 2 == 1))

@@ -68,8 +68,8 @@ class WordIds:
 
     For vocabularies that compose, lower-case and drop white space, and let no
     token cross it, the ids of a text are those of its words in order.  Only new
-    cores of words reach the library.  Texts that may hold a special string go to
-    it whole.
+    cores of words reach the library.  Texts that hold a special string go to it
+    whole, and words that hold one in another case as they stand.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -80,6 +80,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lower_specials = [s.decode().lower() for s in self.specials]
         self.end = np.array([end_id], "<u4").tobytes()
         self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
@@ -87,6 +88,9 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         cut = [_core(w.decode()) for w in words]
+        # The library looks for special strings before it lower-cases.
+        cut = [(w.decode(), "") if any(s in core for s in self.lower_specials) else (core, marks)
+               for w, (core, marks) in zip(words, cut, strict=True)]
         cores = self.cores
         new = list({part for pair in cut for part in pair}.difference(cores))
         # A lower-case composed word of Latin letters is one pre-token as it is.

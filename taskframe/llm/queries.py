@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskframe.llm import bpe_codec, classifier, licenses, lm_scoring, packing, pii, quality_rules, simhash, token_counts, topk
+from taskframe.llm import (
+    alignment, bpe_codec, classifier, licenses, lm_scoring, nnls_packing, packing, pii, quality_rules, simhash, spelling,
+    token_counts, topk,
+)
 from taskframe.llm.frames import read
 from taskframe.llm.oracles import TOP_K_SQL, quality_rules_sql
 
-SEQUENCE, END_ID = 4096, 1
+SEQUENCE, END_ID, WINDOW_END_ID = 4096, 1, 2
 TOKEN_LIMIT = 1024
 QUERY_STEP, TOP = 50, 5
 LM_PARTS = 10
 SHINGLE, DIFFERING_BITS = 3, 2
 HOLDOUT_PARTS, QUALITY_CUTOFF = 5, 0.3
+SLIP_MODULUS = 199
 
 
 def tokenizer_path(name: str) -> str:
@@ -138,9 +142,30 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "x.license", "x.line", "x.saving", "x.differences", "x.wording")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.with_counts(documents, *paths).select("doc_id", *alignment.NAMES)
+
+
+def op12_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in windows of up to 4096 tokens."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = nnls_packing.pack(documents, tokenizer_path("word_bpe_49k.json"), SEQUENCE, WINDOW_END_ID)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words, their near words and the forms they are variants of."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = spelling.word_counts(documents, "doc_id", modulus=SLIP_MODULUS)
+    return spelling.variants(counts, least_length=6, least_count=5, ratio=5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_quality_rules, op3_best_fit_packing, op4_exact_top_k, op5_bpe_codec, op6_pii, op7_token_counts,
-    op8_quality_classifier, op9_simhash, op10_license_scan)}
+    op8_quality_classifier, op9_simhash, op10_license_scan, op11_alignment, op12_nnls_packing, op13_spelling)}
 ORACLES = {
     "op2_quality_rules": quality_rules_sql(),
     "op4_exact_top_k": TOP_K_SQL,

@@ -65,7 +65,7 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         special, extra, parts, owner = self.vocab.special_pattern, [0] * len(texts), [], []
         for n, text in enumerate(texts):
-            cut = special.split(text) if special and "<|" in text else [text]
+            cut = special.split(text) if any(s in text for s in self.vocab.specials) else [text]
             extra[n] = len(cut) // 2
             for part in cut[::2]:
                 parts.append(part)
