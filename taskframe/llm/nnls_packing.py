@@ -238,6 +238,19 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(np.array(sorted(slots), np.int64).reshape(-1, 5), next_copy, base, sequence, full, np.array(tail, np.int64), capacity)
 
 
+def _packed(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values that have so many of the ids each, in order."""
+    ends = np.r_[0, np.cumsum(sizes)] * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+
+
+def _unpacked(values: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The ids of binary values, of 16 bits if they are that short, as 32 bits."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    raw = np.frombuffer(values.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    return raw.view("<u2" if len(raw) == 2 * sizes.sum() else "<u4").astype("<u4")
+
+
 def pack(df: DataFrame, path: str, capacity: int, end_id: int, text: str = "text") -> DataFrame:
     """One row per piece: the other columns, then start, length, ids (packed
     little-endian unsigned 32-bit), doc_tokens, sequence_id and offset.
@@ -255,8 +268,8 @@ def pack(df: DataFrame, path: str, capacity: int, end_id: int, text: str = "text
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def run(texts):
-            rows = [np.frombuffer(r, "<u4") for r in word_ids.ids([t or "" for t in texts.to_pylist()])]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            rows = word_ids.ids([t or "" for t in texts.to_pylist()])
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
             n = -(-sizes // capacity)
             owner = np.repeat(np.arange(len(rows)), n)
             at = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * capacity
@@ -268,9 +281,9 @@ def pack(df: DataFrame, path: str, capacity: int, end_id: int, text: str = "text
             rank = np.empty(len(length), np.int64)
             rank[order] = np.arange(len(length)) - np.repeat(starts, counts) + seen[ordered]
             seen[ordered[starts]] += counts
-            ids = [rows[o][a:a + k].astype(kind).tobytes() for o, a, k in zip(owner.tolist(), at.tolist(), length.tolist())]
+            ids = _packed(np.frombuffer(b"".join(rows), "<u4").astype(kind), length)
             entries = pa.StructArray.from_arrays(
-                [pa.array(at), pa.array(length), pa.array(ids, pa.binary()), pa.array(rank)], ["start", "length", "ids", local])
+                [pa.array(at), pa.array(length), ids, pa.array(rank)], ["start", "length", "ids", local])
             return [pa.array(sizes), pa.array(np.full(len(rows), task, np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), entries)]
         return run
@@ -303,14 +316,16 @@ def pack(df: DataFrame, path: str, capacity: int, end_id: int, text: str = "text
                 tokens, start_, length, ids, rank = (rows.column(n_keep + k) for k in range(5))
                 size = length.to_numpy()
                 piece, begin, end, sequence, offset = where.placed(size, rank.to_numpy())
-                raw = ids.to_pylist()
-                wide = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4").tobytes()
-                        for x, n in zip(raw, size.tolist(), strict=True)]
+                order = np.argsort(piece, kind="stable")
+                piece, begin, end, sequence, offset = (x[order] for x in (piece, begin, end, sequence, offset))
+                every = _unpacked(ids, size)
+                n = end - begin
+                from_ = (np.cumsum(size) - size)[piece] + begin
+                taken = every[np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
                 at = pa.array(piece)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(k).take(at) for k in range(n_keep)]
-                    + [pa.array(start_.to_numpy()[piece] + begin), pa.array(end - begin),
-                       pa.array([wide[p][4 * b:4 * e] for p, b, e in zip(piece.tolist(), begin.tolist(), end.tolist())], pa.binary()),
+                    + [pa.array(start_.to_numpy()[piece] + begin), pa.array(n), _packed(taken, n),
                        tokens.take(at), pa.array(sequence), pa.array(offset)], schema.fieldNames())
 
     return sent.mapInArrow(place, schema)

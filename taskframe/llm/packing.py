@@ -88,9 +88,12 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         cut = [_core(w.decode()) for w in words]
-        # The library looks for special strings before it lower-cases.
-        cut = [(w.decode(), "") if any(s in core for s in self.lower_specials) else (core, marks)
-               for w, (core, marks) in zip(words, cut, strict=True)]
+        # The library looks for special strings before it lower-cases, so words that
+        # hold one in another case stay as they are.
+        everything = "\n".join([core for core, _ in cut])
+        if any(s in everything for s in self.lower_specials):
+            cut = [(w.decode(), "") if any(s in core for s in self.lower_specials) else (core, marks)
+                   for w, (core, marks) in zip(words, cut, strict=True)]
         cores = self.cores
         new = list({part for pair in cut for part in pair}.difference(cores))
         # A lower-case composed word of Latin letters is one pre-token as it is.
