@@ -36,6 +36,8 @@ PAIR = 1 << 16
 HOT_SHARE = 1 << 18
 # Cuts a worker keeps before it starts anew, and the longest one kept.
 CACHE_ENTRIES, CACHE_LENGTH = 250_000, 64
+# Cuts tokenized and aligned at once.
+TOGETHER = 8192
 # Pair occurrences a counting task holds before it hands them on.
 HELD_PAIRS = 4_000_000
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -122,9 +124,11 @@ class Aligned:
         self.links = np.zeros(0, np.int64)
 
     def learn(self, cuts: list[str]) -> None:
+        for k in range(0, len(cuts), TOGETHER):
+            self._learn(cuts[k:k + TOGETHER])
+
+    def _learn(self, cuts: list[str]) -> None:
         """Tokenize and align new cuts, all in one."""
-        if not cuts:
-            return
         t = self.tokenizers
         rows_a, rows_b = t.of(cuts)
         raw = [c.encode() for c in cuts]
