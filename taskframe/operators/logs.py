@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taskframe.functions.json_values import strict_json
 from taskframe.functions.paths import literal_map
+from taskframe.operators.percentiles import grouped_percentile
 
 # Log levels in order.
 LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40}
@@ -50,16 +51,7 @@ def with_context(records: DataFrame, context: DataFrame, on: list[str]) -> DataF
 
 
 def log_latency(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Records, errors, warnings and p95 latency in milliseconds, unrounded.
-
-    Rows are counted per (keys, latency) first and those counts are finished per
-    key, so totals and percentile come out of one pass.
-    """
-    counts = records.groupBy(*keys, "latency_ms").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("level") == "ERROR").alias("_errors"),
-        F.count_if(F.col("level") == "WARNING").alias("_warnings"))
-    return counts.groupBy(*keys).agg(
-        F.sum("_n").alias("records"), F.sum("_errors").alias("errors"),
-        F.sum("_warnings").alias("warnings"),
-        F.percentile("latency_ms", 0.95, F.col("_n")).alias("p95_ms"))
+    """Records, errors, warnings and p95 latency in milliseconds, unrounded."""
+    return grouped_percentile(records, keys, "latency_ms", 0.95, "p95_ms", [
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("level") == "ERROR").alias("errors"),
+        F.count_if(F.col("level") == "WARNING").alias("warnings")])

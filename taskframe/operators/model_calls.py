@@ -224,24 +224,14 @@ def extract_answers(texts: DataFrame) -> DataFrame:
 
 
 def call_metrics(parsed: DataFrame) -> DataFrame:
-    """Calls, sizes and latency per kind of call, status and finish reason.
-
-    Latency has the resolution of its log, a millisecond, so its percentile
-    works on counts per millisecond.
-    """
+    """Calls, sizes and latency per kind of call, status and finish reason."""
     keys = ["kind", "status_code", "finish_reason"]
     millis = F.round(F.col("elapsed_sec") * 1000).cast("bigint")
-    totals = parsed.groupBy(*keys).agg(
+    return grouped_percentile(parsed.withColumn("_ms", millis), keys, "_ms", 0.95, "p95_ms", [
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("problem").isNotNull()).alias("problems"),
         F.sum(F.col("candidates").cast("bigint")).alias("candidates"),
         F.sum("prompt_chars").alias("prompt_chars"),
         F.sum(F.length("text").cast("bigint")).alias("response_chars"),
         F.sum(F.octet_length("image").cast("bigint")).alias("response_bytes"),
-        F.sum(millis).alias("elapsed_ms"))
-    tail = grouped_percentile(parsed.withColumn("_ms", millis), keys, "_ms", 0.95, "p95_ms")
-    a, b = totals.alias("a"), tail.alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, same).select("a.*", "b.p95_ms")
+        F.sum("_ms").alias("elapsed_ms")])

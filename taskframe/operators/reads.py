@@ -78,11 +78,13 @@ def children_of(tasks: DataFrame, parents: DataFrame) -> DataFrame:
     return tasks.join(listed, list(key.values()), "left_semi")
 
 
-def children_of_task(tasks: DataFrame, job_id: str, parent_task_id: str) -> DataFrame:
-    """Children of one task, oldest first."""
-    return tasks.filter(
-        (F.col("job_id") == job_id) & (F.col("parent_task_id") == parent_task_id)
-    ).orderBy("created_at", "step", "task_id")
+def children_of_task(tasks: DataFrame, job_id: str, parent_task_id: str,
+                     parent_step: str | None = None) -> DataFrame:
+    """Children of one task, oldest first; of the task of that step, if given."""
+    mine = (F.col("job_id") == job_id) & (F.col("parent_task_id") == parent_task_id)
+    if parent_step is not None:
+        mine = mine & (F.col("parent_step") == parent_step)
+    return tasks.filter(mine).orderBy("created_at", "step", "task_id")
 
 
 def task_with_result(tasks: DataFrame, results: DataFrame) -> DataFrame:

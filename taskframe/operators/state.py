@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskframe.operators import transitions as moved
 from taskframe.schemas import JOB_KEY, JOB_STATUSES, TASK_KEY, TASK_STATUSES
 
 JOB_FIRST = ("user_id", "schema", "status", "trace_id", "attrs")
@@ -26,6 +27,11 @@ STATE_TIMES = ("created_at", "updated_at", "first_seq", "last_seq")
 # Set by transitions; no event carries them.
 TRANSITION_TIMES = ("started_at", "finished_at")
 
+# Which transitions a state row has seen.
+SEEN = "seen"
+SEEN_TYPE = ("struct<started:struct<seq:bigint,ts:timestamp_ntz>,finished:struct<seq:bigint,ts:timestamp_ntz>,"
+             "failed:struct<seq:bigint,error_code:string,error_message:string>,retries:array<bigint>>")
+
 # A task is over in these states, and a job whose tasks all are is not running.
 FINAL_STATUSES = ("SUCCEEDED", "FAILED", "CANCELLED", "DLQ")
 
@@ -68,7 +74,7 @@ def _merge(rows: DataFrame, key: Sequence[str], first: Sequence[str],
            last: Sequence[str]) -> DataFrame:
     first = [*_present(rows, first), "created_at"]
     last = [*_present(rows, last), "updated_at"]
-    times = _present(rows, TRANSITION_TIMES)
+    times = _present(rows, (*TRANSITION_TIMES, SEEN))
     merged = rows.groupBy(*key).agg(
         F.min_by(F.struct(*first), "first_seq").alias("_first"),
         F.max_by(F.struct(*last), "last_seq").alias("_last"),
@@ -116,15 +122,6 @@ def _upsert(events: DataFrame, state: DataFrame | None, merge) -> DataFrame:
     return merge(rows)
 
 
-def _newer(moves: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Moves that come after the last event their state row has seen, if it says so."""
-    if "last_seq" not in state.columns:
-        return moves
-    seen = state.select(*key, F.col("last_seq").alias("_seen"))
-    return moves.join(seen, list(key)).filter(
-        F.col("_seen").isNull() | (F.col("seq") > F.col("_seen"))).drop("_seen")
-
-
 def has_result(events: DataFrame) -> Column:
     """A success that carries result metadata; empty URIs count as none."""
     def uri(name: str) -> Column:
@@ -148,51 +145,60 @@ def task_state(tasks: DataFrame, transitions: DataFrame) -> DataFrame:
     """Tasks after their start, success, failure and retry transitions.
 
     Retries add to the count of the task; an error stays until the next one.
-    Transitions of unknown tasks change nothing.  A state row with last_seq takes
-    only later transitions and moves last_seq on, so a replay changes nothing.
-    """
-    status = F.col("status")
+    Transitions of unknown tasks change nothing.
 
-    def at(*names: str) -> Column:
-        return F.when(status.isin(*names), F.col("seq"))
-
-    moves = _newer(
-        split_by_status(transitions, ("STARTED", "RETRIED", "SUCCEEDED", "FAILED")).valid,
-        tasks, TASK_KEY)
-    failure = F.struct(*_present(moves, ("error_code", "error_message")))
-    latest = moves.groupBy(*TASK_KEY).agg(
-        F.max_by(status, "seq").alias("_status"),
-        F.max_by("ts", "seq").alias("_updated_at"),
-        F.max_by("ts", at("STARTED")).alias("_started_at"),
-        F.max_by("ts", at("SUCCEEDED", "FAILED")).alias("_finished_at"),
-        F.max("seq").alias("_moved_to"),
-        F.max_by(failure, at("FAILED")).alias("_failure"),
-        F.count_distinct(at("RETRIED")).cast("int").alias("_retries"))
-    out = tasks.join(latest, list(TASK_KEY), "left")
-    errors = {
-        name: F.when(F.col("_failure").isNull(), F.col(name) if name in tasks.columns
-                     else F.lit(None).cast("string")).otherwise(F.col(f"_failure.{name}"))
-        for name in _present(moves, ("error_code", "error_message"))}
-    times = {
-        c: F.coalesce(f"_{c}", *_present(tasks, (c,))) for c in TRANSITION_TIMES}
-    if "last_seq" in tasks.columns:
-        times["last_seq"] = F.greatest("last_seq", "_moved_to")
-    return out.withColumns({
-        **errors, **times,
-        "status": F.coalesce("_status", "status"),
-        "updated_at": F.coalesce("_updated_at", "updated_at"),
-        "retry_count": F.col("retry_count") + F.coalesce("_retries", F.lit(0)),
-    }).drop("_status", "_updated_at", "_failure", "_retries", "_moved_to",
-            *[f"_{c}" for c in TRANSITION_TIMES])
+    A state row, one with last_seq, remembers which transitions it has seen
+    (`seen`), so late, repeated and reordered ones give the same row: the last
+    one decides status and updated_at if no later event has, and every retry
+    counts once.
+    """
+    moves, retries = moved.fold_moves(transitions), moved.fold_retries(transitions)
+    if "last_seq" not in tasks.columns:
+        return moved.apply_moves(tasks, moves, retries)
+    known = tasks.columns
+    if SEEN not in known:
+        tasks = tasks.withColumn(SEEN, F.lit(None).cast(SEEN_TYPE))
+    numbers = retries.groupBy(*TASK_KEY).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    out = tasks.join(moves, list(TASK_KEY), "left").join(numbers, list(TASK_KEY), "left")
+    seen, c = F.col(SEEN), F.col
+    merged = {f: F.greatest(seen[f], c(f)) for f in ("started", "finished", "failed")}
+    before = F.coalesce(seen["retries"], F.array().cast("array<bigint>"))
+    now = F.coalesce(F.flatten(F.transform("_spans", lambda s: F.sequence(s["lo"], s["hi"]))), F.array().cast("array<bigint>"))
+    later = F.coalesce(c("moved.seq") > c("last_seq"), c("moved").isNotNull())
+    both = out.withColumns({f"_{f}": v for f, v in merged.items()}).withColumn("_retries", F.array_union(before, now))
+    kept = F.coalesce("_failed", F.struct(F.lit(None).cast("bigint").alias("seq"), *[
+        (c(n) if n in known else F.lit(None).cast("string")).alias(n) for n in ("error_code", "error_message")]))
+    made = both.withColumns({
+        "status": F.when(later, c("moved.status")).otherwise(c("status")),
+        "updated_at": F.when(later, c("moved.ts")).otherwise(c("updated_at")),
+        "last_seq": F.greatest("last_seq", "moved.seq"),
+        "retry_count": (c("retry_count") + F.size("_retries") - F.size(before)).cast("int"),
+        "started_at": F.coalesce("_started.ts", *_present(tasks, ("started_at",))),
+        "finished_at": F.coalesce("_finished.ts", *_present(tasks, ("finished_at",))),
+        "error_code": kept["error_code"], "error_message": kept["error_message"],
+        SEEN: F.struct(c("_started").alias("started"), c("_finished").alias("finished"), c("_failed").alias("failed"),
+                       c("_retries").alias("retries")).cast(SEEN_TYPE)})
+    added = [n for n in (*TRANSITION_TIMES, "error_code", "error_message", SEEN) if n not in known]
+    return made.select(*known, *added)
 
 
 def job_state(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Jobs after their status updates; the latest decides, even over the row's own."""
+    """Jobs after their status updates; the latest decides, even over the row's own.
+
+    A row that carries status_seq, the update its status came from, takes later
+    updates only, so old ones may come again.
+    """
     latest = split_job_statuses(updates).valid.groupBy(*JOB_KEY).agg(
-        F.max_by(F.struct("status", "ts"), "seq").alias("_last"))
-    return jobs.join(latest, list(JOB_KEY), "left").withColumns({
-        "status": F.coalesce("_last.status", "status"),
-        "updated_at": F.coalesce("_last.ts", "updated_at"),
+        F.max(F.struct("seq", "ts", "status")).alias("_last"))
+    out = jobs.join(latest, list(JOB_KEY), "left")
+    later, moved_on = F.col("_last").isNotNull(), {}
+    if "status_seq" in jobs.columns:
+        later = later & F.coalesce(F.col("_last.seq") > F.col("status_seq"), F.lit(True))
+        moved_on["status_seq"] = F.when(later, F.col("_last.seq")).otherwise(F.col("status_seq"))
+    return out.withColumns({
+        **moved_on,
+        "status": F.when(later, F.col("_last.status")).otherwise(F.col("status")),
+        "updated_at": F.when(later, F.col("_last.ts")).otherwise(F.col("updated_at")),
     }).drop("_last")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskframe.operators import fanout, layout, queues
+from taskframe.operators import fanout, layout, queues, results
 from taskframe.plans.registry import Jobs
 from taskframe.plans.state import RESULTS, TASKS, results_of, tasks_of
 from taskframe.schemas import TASK_KEY
+from taskframe.session import scratch_dir
+from taskframe.sources import commits
 from taskframe.sources.dag import Dag
 from taskframe.sources.tables import table
 
@@ -194,9 +196,11 @@ BODY = """concat('{"job_id":"', job_id, '","task_id":"', task_id, '","user_id":"
   ',"parent_task_id":"', parent_task_id, '","retry_count":0}')"""
 
 
-@JOBS.add("outbox", CHILD_TABLES, CHILDREN + f"""
-select queue, {BODY} as body, 0 as delay_seconds, job_id as group_id, cast(null as varchar) as dedup_id from messages""")
-def _outbox(spark, sf_dir):
+OUTBOX = CHILDREN + f"""
+select queue, {BODY} as body, 0 as delay_seconds, job_id as group_id, cast(null as varchar) as dedup_id from messages"""
+
+
+def outgoing(spark, sf_dir):
     bodies = child_messages(spark, sf_dir).select(
         "queue", "task_id", F.col("job_id").alias("group_id"),
         fanout.message_body().alias("body"))
@@ -204,6 +208,59 @@ def _outbox(spark, sf_dir):
         "queue", "body", "delay_seconds", "group_id", "dedup_id")
 
 
+@JOBS.add("outbox", CHILD_TABLES, OUTBOX)
+def _outbox(spark, sf_dir):
+    return outgoing(spark, sf_dir)
+
+
+@JOBS.add("written_outbox", CHILD_TABLES, OUTBOX)
+def _written_outbox(spark, sf_dir):
+    """Messages as they are read back by queue; a second attempt of the run adds none."""
+    base = scratch_dir(spark, "outbox")
+    sent = outgoing(spark, sf_dir)
+    for _ in range(2):
+        results.write_messages(sent, base, "run-1")
+    return results.read_messages(spark, base).select(*sent.columns)
+
+
+# Whole texts as artifacts: some refused by name, some written again with another text.
+ARTIFACTS = """
+with a as (select lpad(lower(hex(doc_id)), 8, '0') as job_id, concat('u', cast(doc_id % 7 as string)) as user_id,
+    case cast(doc_id % 3 as int) when 0 then 'ENHANCEMENT' when 1 then 'ANALYSIS' else 'SCRIPT_GENERATION' end as step,
+    concat('S', cast(doc_id % 4 as string)) as task_id, doc_id, text from documents)
+select concat('s3://work/', user_id, '/', job_id, '/', step, '/', task_id, '/result.txt') as uri, step, 'text/plain; charset=utf-8' as mime,
+  cast(strlen(t) as bigint) as size_bytes, sha256(t) as sha256
+from (select *, case when doc_id % 10 = 4 then concat(text, ' again') else text end as t from a where doc_id % 13 <> 5)"""
+
+
+def artifacts(documents):
+    doc = F.col("doc_id")
+    job, step = F.lpad(F.lower(F.hex(doc)), 8, "0"), (
+        F.when(doc % 3 == 0, "ENHANCEMENT").when(doc % 3 == 1, "ANALYSIS").otherwise("SCRIPT_GENERATION"))
+    user = F.concat(F.lit("u"), (doc % 7).cast("string"))
+    return documents.select(
+        "doc_id", job.alias("job_id"), step.alias("step"), F.concat(F.lit("S"), (doc % 4).cast("string")).alias("task_id"),
+        F.concat(F.lit("s3://work/"), user, F.lit("/"), job, F.lit("/"), step, F.lit("/")).alias("step_prefix"),
+        F.lit("files").alias("shape"), F.lit(None).cast("int").alias("list_pos"), F.lit(None).cast("int").alias("list_size"),
+        F.lit(0).alias("file_pos"), F.when(doc % 13 == 5, "bad;name.txt").otherwise("result.txt").alias("file_name"),
+        F.lit("bytes").alias("kind"), F.col("text").cast("binary").alias("content"))
+
+
+@JOBS.add("written_results", ("documents",), ARTIFACTS)
+def _written_results(spark, sf_dir):
+    """Texts written in two runs and read back; a third run never came to its commit."""
+    base, dag = scratch_dir(spark, "results"), Dag.default()
+    items = artifacts(table(spark, sf_dir, "documents"))
+    results.write_results(items.drop("doc_id"), dag, base, "run-1")
+    again = items.where("doc_id % 10 = 4").withColumn("content", F.concat("content", F.lit(" again").cast("binary")))
+    results.write_results(again.drop("doc_id"), dag, base, "run-2")
+    lost = commits.new_folder(base, "results")
+    spark.read.parquet(commits.live(spark, base, "results")[0].folder).write.partitionBy("step").parquet(lost)
+    stored = results.read_results(spark, base)
+    return stored.select("uri", "step", "mime", F.octet_length("content").cast("bigint").alias("size_bytes"),
+                         F.sha2("content", 256).alias("sha256"))
+
+
 @JOBS.add("outbox_guard", ("send_rows",), """
 , b as (select *, concat('{"seq":', seq, ',"params":', replace(params, ': ', ':'), '}') as body from send_rows)
 select seq, queue, greatest(0, least(delay_seconds, 900)) as delay_seconds, group_id,

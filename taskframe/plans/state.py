@@ -93,7 +93,7 @@ def _apply_completions(spark, sf_dir):
     return results_of(spark, sf_dir)
 
 
-@JOBS.add("task_state", ("task_events",), """
+TASK_STATE = """
 , base as (select job_id, step, task_id, min_by(user_id, seq) as user_id, min_by(status, seq) as status,
     min_by(retry_count, seq) as retry_count, min_by(ts, seq) as updated_at from task_events group by all),
  moves as (select job_id, step, task_id, max_by(status, seq) as m_status, max_by(ts, seq) as m_ts,
@@ -104,13 +104,19 @@ select b.job_id, b.step, b.task_id, b.user_id, coalesce(m_status, b.status) as s
   cast(b.retry_count + coalesce(retries, 0) as int) as retry_count, coalesce(m_ts, b.updated_at) as updated_at,
   s.ts as started_at, f.ts as finished_at, e.error_code
 from base b left join moves m using (job_id, step, task_id)
-left join task_events s on s.seq = s_seq left join task_events f on f.seq = f_seq left join task_events e on e.seq = e_seq""")
+left join task_events s on s.seq = s_seq left join task_events f on f.seq = f_seq left join task_events e on e.seq = e_seq"""
+
+
+def first_states(events):
+    """Tasks as their first events say."""
+    first = F.struct("user_id", "status", "retry_count", F.col("ts").alias("updated_at"))
+    return events.groupBy(*TASK_KEY).agg(F.min_by(first, "seq").alias("f")).select(*TASK_KEY, "f.*")
+
+
+@JOBS.add("task_state", ("task_events",), TASK_STATE)
 def _task_state(spark, sf_dir):
     events = table(spark, sf_dir, "task_events")
-    first = F.struct("user_id", "status", "retry_count", F.col("ts").alias("updated_at"))
-    base = events.groupBy(*TASK_KEY).agg(F.min_by(first, "seq").alias("f")).select(
-        *TASK_KEY, "f.*")
-    moved = state.task_state(base, events.filter("status <> 'QUEUED'"))
+    moved = state.task_state(first_states(events), events.filter("status <> 'QUEUED'"))
     return moved.select(
         *TASK_KEY, "user_id", "status", "retry_count", "updated_at", "started_at",
         "finished_at", "error_code")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskframe.operators import transitions
 from taskframe.plans.messages import ACCEPTED, BUCKET, CHECKED, RAW
 from taskframe.plans.registry import Jobs
+from taskframe.plans.state import TASK_STATE, first_states
+from taskframe.schemas import TASK_KEY
 from taskframe.session import scratch_dir
+from taskframe.sources import commits
 from taskframe.sources.dag import Dag
 from taskframe.sources.tables import derived, source, table
 from taskframe.streaming import messages as message_streams
@@ -48,20 +52,67 @@ def _stream_rejects(spark, sf_dir):
         "reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
-def upserted(spark: SparkSession, sf_dir: str) -> str:
-    rows = table(spark, sf_dir, "completion_rows").withColumns({
-        "schema": F.lit("v1"), "trace_id": F.lit(None).cast("string")})
+@JOBS.add("stream_transitions", ("task_events",), TASK_STATE)
+def _stream_transitions(spark, sf_dir):
+    """Transitions out of order and some of them twice, in several micro-batches."""
+    events = table(spark, sf_dir, "task_events")
+    moves = events.filter("status <> 'QUEUED'").select(*TASK_KEY, "seq", "ts", "status", "error_code")
+    twice = moves.withColumn("copy", F.lit(0)).unionByName(moves.where("seq % 7 = 0").withColumn("copy", F.lit(1)))
+    mixed = twice.repartition(4, F.xxhash64("seq", "copy")).drop("copy")
     base = scratch_dir(spark, "state")
-    state_streams.stream_upsert(
-        landed(spark, rows), base, scratch_dir(spark, "progress")).awaitTermination()
-    return base
+    state_streams.stream_transitions(
+        landed(spark, mixed, files_per_trigger=1), base, scratch_dir(spark, "progress")).awaitTermination()
+    moved = transitions.apply_moves(
+        first_states(events), state_streams.read_state(spark, base, "moves"), state_streams.read_state(spark, base, "retries"))
+    return moved.select(*TASK_KEY, "user_id", "status", "retry_count", "updated_at", "started_at", "finished_at", "error_code")
 
 
-@JOBS.add("stream_upsert", ("completion_rows",), """
+def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "completion_rows").withColumns({
+        "schema": F.lit("v1"), "trace_id": F.lit(None).cast("string")})
+
+
+STORED = """
 select job_id, step, task_id, min_by(user_id, seq) as user_id, max_by(status, seq) as status, max_by(retry_count, seq) as retry_count,
   max_by(params, seq) as params, arg_max_null(error_code, seq) as error_code, min_by(ts, seq) as created_at, max_by(ts, seq) as updated_at,
   min(seq) as first_seq, max(seq) as last_seq
-from completion_rows group by job_id, step, task_id""")
+from completion_rows {} group by job_id, step, task_id"""
+
+
+@JOBS.add("state_after_compaction", ("completion_rows",), STORED.format(""))
+def _state_after_compaction(spark, sf_dir):
+    """A base, a batch committed after it, and one of another writer that is half written."""
+    rows, base = completed(spark, sf_dir), scratch_dir(spark, "state")
+    commits.create(spark, base)
+    for n in range(2):
+        state_streams.write_state(spark, base, f"batch-{n}", state_streams.fold_batch(rows.where(F.col("seq") % 3 == n)))
+    state_streams.compact(spark, base)
+    state_streams.write_state(spark, base, "batch-2", state_streams.fold_batch(rows.where("seq % 3 = 2")))
+    state_streams.fold_batch(rows.withColumn("seq", F.col("seq") + 10**9))["tasks"].write.parquet(
+        commits.new_folder(base, "tasks"))
+    return state_streams.read_state(spark, base, "tasks")
+
+
+@JOBS.add("purge_stored_state", ("completion_rows",), STORED.format(
+    "where seq % 3 = 2 or job_id not in (select job_id from completion_rows where seq % 120 = 7)"))
+def _purge_stored_state(spark, sf_dir):
+    """Purged jobs are gone from the stored state, but for what came after the purge."""
+    rows, base = completed(spark, sf_dir), scratch_dir(spark, "state")
+    commits.create(spark, base)
+    state_streams.write_state(spark, base, "before", state_streams.fold_batch(rows.where("seq % 3 <> 2")))
+    state_streams.purge(spark, base, "purge", rows.where("seq % 120 = 7"))
+    state_streams.write_state(spark, base, "after", state_streams.fold_batch(rows.where("seq % 3 = 2")))
+    return state_streams.read_state(spark, base, "tasks")
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> str:
+    base = scratch_dir(spark, "state")
+    state_streams.stream_upsert(
+        landed(spark, completed(spark, sf_dir)), base, scratch_dir(spark, "progress")).awaitTermination()
+    return base
+
+
+@JOBS.add("stream_upsert", ("completion_rows",), STORED.format(""))
 def _stream_upsert(spark, sf_dir):
     return state_streams.read_state(spark, upserted(spark, sf_dir), "tasks")
 
