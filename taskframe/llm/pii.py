@@ -22,18 +22,26 @@ from taskframe.llm.frames import col, free_name, others
 ROUNDS = 8
 KINDS = ("email", "secret", "phone", "ip", "date", "ssn", "card")
 # In the order in which they are tried at a place.
+# No group is repeated without a bound, since the engine matches such groups by
+# recursion; unbounded parts are single classes.
+_SSN, _ISO_DATE = "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_SECRET_NAME = r"(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/]{4,}",
+    "email": r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,10}",
+    # A value goes up to white space or a quote, without marks that end a clause.
+    "secret": _SECRET_NAME + r"[^\s\"']{3,}[^\s\"'.,;]",
     "phone": (r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
               # National, told from other numbers by its groups.
-              r"|(?<![0-9.-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+              r"|(?<![0-9.-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+              # International in other groups, of 8 to 15 digits.
+              r"|\+(?=[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9]))[0-9]{1,3}(?:[ .()-]{1,2}[0-9]{1,8}){1,6}(?![0-9])"),
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![0-9])",
-    "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    # A whole run of digit groups, up to where a social security number or date begins.
-    "card": (r"(?<![0-9])[0-9](?:[ -]?(?!(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9]))"
-             r"[0-9]){12,}(?![0-9])"),
+    "ssn": rf"(?<![0-9]){_SSN}(?![0-9])",
+    # A whole run of digit groups that starts with 13 digits, up to where it ends or a
+    # social security number or date begins.
+    "card": (r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]*?(?<=[0-9])(?![0-9])"
+             rf"(?:(?![ -][0-9])|(?=[ -](?:{_SSN}|{_ISO_DATE})(?![0-9])))"),
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -96,24 +104,30 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"[A-Za-z0-9_\-+/]{4,}$", 0)
-
+    """Secrets of equal spelling, case included, get equal pseudonyms."""
     def made(v: Column) -> Column:
-        h = F.substring(_hash(key, "secret", F.lower(v)), 1, 16)
+        h = F.substring(_hash(key, "secret", v), 1, 16)
         long = F.substring(F.repeat(F.concat(h, F.reverse(h)), F.ceil(F.length(v) / 32).cast("int")), F.lit(1), F.length(v))
         return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(v)),
                         F.when(v == F.upper(v), F.upper(long)).otherwise(long))
 
-    return _using(value, made)
+    return _using(F.regexp_extract(m, f"(?s)^{_SECRET_NAME}(.*)$", 1), made)
 
 
 def _phone(m: Column, key: str) -> Column:
+    """The last ten digits are permuted, or six of an international number that has no more."""
     def made(d: Column) -> Column:
         n = F.length(d)
-        local = F.substring(d, n - 9, F.lit(10))
-        return _using(
-            feistel(F.substring(local, 1, 5), F.substring(local, 6, 5), 10**5, 10**5, key, "phone"),
-            lambda s: _filled(m, F.concat(F.substring(d, F.lit(1), n - 10), _padded(s["l"], 5), _padded(s["r"], 5))))
+
+        def of_last(half: int) -> Column:
+            local = F.substring(d, n - 2 * half + 1, F.lit(2 * half))
+            return _using(
+                feistel(F.substring(local, 1, half), F.substring(local, half + 1, half), 10**half, 10**half, key,
+                        "phone" if half == 5 else "phone6"),
+                lambda s: _filled(m, F.concat(
+                    F.substring(d, F.lit(1), n - 2 * half), _padded(s["l"], half), _padded(s["r"], half))))
+
+        return F.when(m.startswith("+") & (n <= 10), of_last(3)).otherwise(of_last(5))
 
     return _using(_digits(m), made)
 
@@ -193,9 +207,17 @@ def _card_number(m: Column, key: str) -> Column:
     return _using(_digits(m), made)
 
 
+# Digit groups are taken in blocks, so that a result grows by blocks.
+_BLOCK = 64
+
+
 def _cards(m: Column) -> Column:
     """The digit groups of a run, joined where they make a card number: from the left,
-    the most groups of 13 to 19 digits with a valid check digit."""
+    the most groups of 13 to 19 digits with a valid check digit.
+
+    A group of more than 19 digits belongs to no number.  Work is linear in the
+    number of groups, but for the list of blocks.
+    """
     def valid(d: Column) -> Column:
         n = F.length(d)
         return n.between(13, 19) & (_luhn(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1)))
@@ -216,10 +238,19 @@ def _cards(m: Column) -> Column:
             sizes = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: valid(_digits(joined(i, n))))
             return F.when(i < s["next"], s).otherwise(_using(sizes, taken))
 
-        none = F.array().cast("array<struct<text:string,card:boolean>>")
+        part = "array<struct<text:string,card:boolean>>"
+
+        def block(s: Column, first: Column) -> Column:
+            last = F.least(first + _BLOCK - 1, F.size(groups))
+            inner = F.aggregate(
+                F.sequence(first, last), F.struct(F.array().cast(part).alias("parts"), s["next"].alias("next")), step)
+            return _using(inner, lambda x: F.struct(
+                F.concat(s["blocks"], F.array(x["parts"])).alias("blocks"), x["next"].alias("next")))
+
         return F.aggregate(
-            F.sequence(F.lit(1), F.size(groups)),
-            F.struct(none.alias("parts"), F.lit(1).alias("next")), step, lambda s: s["parts"])
+            F.sequence(F.lit(1), F.greatest(F.size(groups), F.lit(1)), F.lit(_BLOCK)),
+            F.struct(F.array().cast(f"array<{part}>").alias("blocks"), F.lit(1).alias("next")),
+            block, lambda s: F.flatten(s["blocks"]))
 
     return _using(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), cut)
 

@@ -119,7 +119,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLDOUT_PARTS == 0
     scored = with_quality(documents, read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    # A null id has no checksum; nothing is learned from it, as it has no label.
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

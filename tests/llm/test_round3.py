@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskframe.llm import alignment, nnls_packing, packing, queries, spelling
+from taskframe.llm import alignment, classifier, nnls_packing, packing, pii, queries, spelling
 
 BYTE_BPE = queries.tokenizer_path("byte_bpe_50k.json")
 PIECES = queries.tokenizer_path("piece_bpe_32k.model")
@@ -266,3 +266,80 @@ def test_spelling_query(spark):
     rows = queries.QUERIES["op13_spelling"](spark, folder).collect()
     assert {r.word: (r.n, r.n_near) for r in rows} == {w: (n, near[w]) for w, n in want.items()}
     assert len(rows) == len(want) and all(r.form is None or r.form_n >= 5 * r.n for r in rows)
+
+
+def pseudonyms(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def test_long_runs_are_no_danger(spark):
+    card = "4111 1111 1111 1111"
+    texts = ["7" * 10**6, "1234 " * 20_000 + card, "x" * 10**6, "a@" + "b." * 50_000, "12-" * 100_000, "9 " * 50_000,
+             f"{'5' * 3000} {card}", f"{'3' * 1000} 4111111111111111 2024-01-02"]
+    got = pseudonyms(spark, texts)
+    assert got[0] == texts[0] and got[2] == texts[2] and got[4] == texts[4]
+    assert got[1][-len(card):] != card and len(got[1]) == len(texts[1])
+    assert card not in got[6] and got[6].startswith("5" * 3000) and luhn(re.sub(" ", "", got[6][3001:]))
+    assert "4111111111111111" not in got[7] and "2024-01-02" not in got[7]
+
+
+def test_secrets_whole_and_distinct(spark):
+    texts = ["token=Ab12Cd", "token=ab12cd", "x token=Ab12Cd y", "password=abcd!efgh9", "password: p@ssw0rd!",
+             "api_key = 'k-1!2#3'", "secret=wxyz1234. Then", "token = abc"]
+    got = pseudonyms(spark, texts)
+    assert got[0] != got[1] and got[2] == f"x {got[0]} y" and got[7] == texts[7]
+    assert not any(x in got[3] + got[4] + got[5] for x in ("efgh9", "p@ss", "rd!", "2#3"))
+    assert got[6].endswith(". Then") and "wxyz" not in got[6] and [len(g) for g in got] == [len(t) for t in texts]
+
+
+def test_international_phones(spark):
+    texts = ["+49 30 1234567", "+44 20 7946 0958", "call +49 30 1234567 now", "+1 555 123 4567", "+33 1 23 45", "+12345"]
+    got = pseudonyms(spark, texts)
+    assert all(g != t and re.sub("[0-9]", "0", g) == re.sub("[0-9]", "0", t) for g, t in zip(got[:4], texts[:4]))
+    assert got[2] == f"call {got[0]} now" and got[5] == texts[5]
+
+
+def scanned(text):
+    """An independent scanner: the cards, numbers and addresses that must not stay."""
+    found = set(re.findall(r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", text))
+    found = {s for s in found if s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"}
+    found |= set(re.findall(r"[\w.%+-]+@[\w-]+\.[\w.-]*\w", text))
+    for m in re.finditer(r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9 -])[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -]?[0-9])", text):
+        if luhn(re.sub("[^0-9]", "", m[0])):
+            found.add(m[0])
+    return found
+
+
+def test_nothing_that_a_scanner_finds_stays(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    after = {r.doc_id: r.text for r in pii.pseudonymise(documents, "key").collect()}
+    seen = 0
+    for r in documents.collect():
+        mine = scanned(r.text or "")
+        seen += len(mine)
+        assert not [x for x in mine if x in (after[r.doc_id] or "")]
+    assert seen > 20
+
+
+def test_labelled_sample_is_chosen_by_id(spark):
+    docs = spark.createDataFrame([(i, f"word{i} again") for i in range(300)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 500)] + [(100, 1), (101, None)], "doc_id long, quality int")
+    rows = classifier.labelled_sample(docs, labels, "doc_id", "text", "quality", 50)
+    assert len(rows) == len({r.i for r in rows}) == 50 and all(100 <= r.i < 300 and r.v == r.i % 2 for r in rows)
+    assert [r.h for r in rows] == sorted(r.h for r in rows)
+    whole = classifier.labelled_sample(docs, labels, "doc_id", "text", "quality", 5000)
+    assert len(whole) == 200 and [r.i for r in whole[:50]] == [r.i for r in rows]
+
+
+def test_equal_neighbours_all_vote(spark):
+    docs = spark.createDataFrame([(i, "the very same words") for i in range(40)] + [(99, "the very same words")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, quality int")
+    rows = classifier.score(docs, labels, neighbours=5).collect()
+    assert {round(r.score, 4) for r in rows} == {0.25}
