@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskframe.llm.frames import col, map_columns, others, slices
+from taskframe.llm.frames import col, free_name, map_columns, others, written
 
 TERMS, LENGTHS, EXTRA = 1024, 32, 4
 WIDTH = 2 * TERMS + LENGTHS + EXTRA
@@ -94,40 +94,39 @@ def _dense(ats: list[bytes], shares: list[bytes]) -> np.ndarray:
     return out
 
 
-def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+def document_frequencies(df: DataFrame, at: str) -> tuple[np.ndarray, int]:
     """In how many rows each bucket occurs, and the number of rows, over all rows."""
 
     def count(batches):
-        counter, total, n = Terms(), np.zeros(WIDTH, np.int64), 0
+        total, n = np.zeros(WIDTH, np.int64), 0
         for batch in batches:
-            for part in slices(batch):
-                for t in part.column(0).to_pylist():
-                    total[np.frombuffer(counter.of(t or "")[0], "<u2")] += 1
-                n += part.num_rows
+            for part in batch.column(0).to_pylist():
+                total[np.frombuffer(part or b"", "<u2")] += 1
+            n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(WIDTH), -1]), pa.array(np.r_[total, n])],
                                          ["term", "n"])
 
-    rows = df.select(col(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = df.select(col(at)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r["term"]: r["n"] for r in rows.collect()}
     return np.array([found.get(i, 0) for i in range(WIDTH)], np.float64), found.get(-1, 0)
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int) -> list:
-    """Terms and labels of at most `sample` labelled rows of the frame.
+def labelled_sample(rows: DataFrame, labels: DataFrame, id: str, at: str, share: str, label: str, sample: int) -> list:
+    """Terms and labels of at most `sample` labelled rows of the frame: h, i, v, a, s.
 
     Ids are chosen first, those of least hash, among the ids that have a label and a
-    row; so only chosen rows have their texts read.  Of several rows of an id the
-    one of least terms counts, and of several labels the smallest.
+    row; so only the terms of chosen rows are sent.  Of several rows of an id the one
+    of least terms counts, and of several labels the smallest.
     """
     chosen = labels.where(col(id).isNotNull() & col(label).isin(0, 1)).groupBy(col(id).alias("of id")).agg(
         F.min(col(label)).alias("v"))
-    here = df.select(col(id).alias("here"))
+    here = rows.select(col(id).alias("here"))
     least = chosen.join(here, F.col("of id") == F.col("here"), "left_semi").select(
         F.xxhash64("of id").alias("h"), "of id", "v").orderBy("h", "of id").limit(sample)
     # At most `sample` rows of an id and a label.
-    rows = df.select(col(id).alias("i"), col(text).alias("t")).join(F.broadcast(least), F.col("i") == F.col("of id"))
-    made = terms(rows.select("h", "i", "v", "t"), "a", "s", "t").groupBy("h", "i", "v").agg(F.min(F.struct("a", "s")).alias("x"))
-    return sorted(made.select("h", "i", "v", "x.a", "x.s").collect(), key=lambda r: (r["h"], r["i"]))
+    found = rows.select(col(id).alias("i"), F.struct(col(at).alias("a"), col(share).alias("s")).alias("x")).join(
+        F.broadcast(least), F.col("i") == F.col("of id")).groupBy("h", "i", "v").agg(F.min("x").alias("x"))
+    return sorted(found.select("h", "i", "v", "x.a", "x.s").collect(), key=lambda r: (r["h"], r["i"]))
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -136,7 +135,8 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
-          sample: int = SAMPLE, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> DataFrame:
+          sample: int = SAMPLE, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS,
+          carry: list[str] | None = None) -> DataFrame:
     """The frame with `score`, the similarity-weighted share of label 1 among the
     nearest labelled documents.  Documents as near as the last of these vote too.
 
@@ -144,11 +144,18 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     of several labels of an id the smallest counts.  Without labelled documents
     every score is 0.5; a text without words, or unlike every labelled one, gets
     the share of label 1 in the sample.  A column named `score` is replaced.
+    `carry` names the columns to keep, all by default; what is kept is written once.
     """
-    kept = others(df, ["score"])
-    frequencies, n_rows = document_frequencies(df, text)
+    kept = [c for c in others(df, ["score"]) if carry is None or c in carry]
+    at, share = free_name(df, "term_at"), free_name(df, "term_share")
+    own_id = free_name(df, "term_id")
+    sent = df.select(*map(col, kept), *([] if text in kept else [col(text)]), col(id).alias(own_id))
+    made = terms(sent, at, share, text)
+    rows = written(made if text in kept else made.drop(text), "terms")
+    frequencies, n_rows = document_frequencies(rows, at)
     weights = (np.log((1 + n_rows) / (1 + frequencies)) + 1).astype(np.float32)
-    known = labelled_sample(df, labels, id, text, label, sample)
+    chosen = labels.withColumnRenamed(id, own_id)
+    known = labelled_sample(rows, chosen, own_id, at, share, label, sample)
     votes = np.array([r["v"] for r in known], np.float32)
     base = float(votes.mean()) if len(votes) else 0.5
     if known:
@@ -177,15 +184,13 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             share = np.bincount(row, weight * votes[near], len(cosine))
             return np.where(total > 0, share / np.where(total > 0, total, 1), base)
 
-        counter = Terms()
-
-        def run(texts):
-            rows = [counter.of(t or "") for t in texts.to_pylist()]
+        def run(ats, shares):
+            ats, shares = ats.to_pylist(), shares.to_pylist()
             if model is None:
-                return [pa.array(np.full(len(rows), base))]
-            made = [block(*map(list, zip(*rows[i:i + 512]))) for i in range(0, len(rows), 512)]
+                return [pa.array(np.full(len(ats), base))]
+            made = [block(ats[i:i + 512], shares[i:i + 512]) for i in range(0, len(ats), 512)]
             return [pa.array(np.clip(np.concatenate(made).astype(np.float64), 0, 1))]
         return run
 
-    # Terms are made again rather than kept: nothing is written.
-    return map_columns(df.select(*map(col, kept)), [text], T.StructType([T.StructField("score", T.DoubleType())]), start)
+    scored = map_columns(rows, [at, share], T.StructType([T.StructField("score", T.DoubleType())]), start)
+    return scored.drop(at, share, own_id)

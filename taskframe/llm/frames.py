@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,14 +97,42 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+# Where `written` notes its tables, inside of `noted`.
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Adds the scratch tables written meanwhile to `paths`."""
+    _notes.append(paths)
+    try:
+        yield
+    finally:
+        _notes.pop()
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The frame as a table in the shared scratch folder, so that nothing before it runs again."""
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
+    for paths in _notes:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(paths: list[str], still_read: DataFrame) -> None:
+    """Remove scratch tables, but for those that the frame reads; removed ones leave the list."""
+    spark = still_read.sparkSession
+    files = still_read.inputFiles()
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths.copy():
+        if not any(path.rsplit("/", 1)[1] in f for f in files):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            paths.remove(path)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """A unique long per row.  Only stable once the frame is written."""
     return df.withColumn(name, F.monotonically_increasing_id())

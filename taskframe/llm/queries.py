@@ -109,8 +109,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLDOUT_PARTS != 0)
 
 
-def with_quality(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return classifier.score(df, training_labels(labels)).withColumn(
+def with_quality(df: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    return classifier.score(df, training_labels(labels), carry=carry).withColumn(
         "predicted", (F.col("score") >= QUALITY_CUTOFF).cast("int"))
 
 
@@ -118,7 +118,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, from labels outside the held-out fifth."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLDOUT_PARTS == 0
-    scored = with_quality(documents, read(spark, sf_dir, "labels"))
+    scored = with_quality(documents, read(spark, sf_dir, "labels"), carry=["doc_id"])
     # A null id has no checksum; nothing is learned from it, as it has no label.
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 

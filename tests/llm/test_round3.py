@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskframe.llm import alignment, classifier, nnls_packing, packing, pii, queries, spelling
+from taskframe.llm import alignment, classifier, frames, nnls_packing, packing, pii, queries, spelling
 
 BYTE_BPE = queries.tokenizer_path("byte_bpe_50k.json")
 PIECES = queries.tokenizer_path("piece_bpe_32k.model")
@@ -330,11 +330,27 @@ def test_nothing_that_a_scanner_finds_stays(spark):
 def test_labelled_sample_is_chosen_by_id(spark):
     docs = spark.createDataFrame([(i, f"word{i} again") for i in range(300)] * 2, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 500)] + [(100, 1), (101, None)], "doc_id long, quality int")
-    rows = classifier.labelled_sample(docs, labels, "doc_id", "text", "quality", 50)
-    assert len(rows) == len({r.i for r in rows}) == 50 and all(100 <= r.i < 300 and r.v == r.i % 2 for r in rows)
+    made = classifier.terms(docs, "at", "share")
+
+    def chosen(n):
+        return classifier.labelled_sample(made, labels, "doc_id", "at", "share", "quality", n)
+
+    rows = chosen(50)
+    assert len(rows) == len({r.i for r in rows}) == 50 and all(100 <= r.i < 300 and r.v == r.i % 2 for r in rows if r.i > 100)
     assert [r.h for r in rows] == sorted(r.h for r in rows)
-    whole = classifier.labelled_sample(docs, labels, "doc_id", "text", "quality", 5000)
-    assert len(whole) == 200 and [r.i for r in whole[:50]] == [r.i for r in rows]
+    whole = chosen(5000)
+    assert {r.i for r in whole} == set(range(100, 300)) - {101} | {101} and [r.i for r in whole[:50]] == [r.i for r in rows]
+    assert classifier.score(docs, labels, carry=["doc_id"]).columns == ["doc_id", "score"]
+
+
+def test_scratch_is_dropped_but_for_what_is_read(spark):
+    paths, other = [], frames.written(spark.range(2), "test-drop")
+    with frames.noted(paths):
+        one, two = (frames.written(spark.range(n), "test-drop") for n in (3, 4))
+    frames.drop_tables(paths, one)
+    assert one.count() == 3 and other.count() == 2 and len(paths) == 1
+    with pytest.raises(Exception):
+        two.collect()
 
 
 def test_equal_neighbours_all_vote(spark):
