@@ -26,12 +26,14 @@ class Jobs:
     def __init__(self):
         self.jobs: list[Job] = []
 
-    def add(self, name: str, tables: tuple[str, ...] = (), sql: str | None = None):
+    def add(self, name: str, tables: tuple[str, ...] = (), sql: str | None = None, recursive: bool = False):
         def register(run: Run) -> Run:
             def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
                 return run(prepare(spark), sf_dir)
 
             text = None if sql is None else with_tables(list(tables), sql)
+            if recursive and text is not None:
+                text = text.replace("with ", "with recursive ", 1)
             self.jobs.append(Job(name, prepared, text))
             return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taskframe import schemas
-from taskframe.operators import reads, state
+from taskframe.operators import graphs, lineage, reads, state
 from taskframe.plans.registry import Jobs
 from taskframe.schemas import JOB_STATUSES, TASK_KEY, TASK_STATUSES
 from taskframe.sources.dag import Dag
@@ -210,6 +210,57 @@ def _children_of(spark, sf_dir):
     return reads.children_of(linked, tasks.filter("status = 'SUCCEEDED'"))
 
 
+@JOBS.add("task_lineage", ("task_links",), """
+, up(job_id, step, task_id, at_step, at_task, depth) as (
+    select job_id, step, task_id, step, task_id, cast(0 as bigint) from task_links
+    union all
+    select u.job_id, u.step, u.task_id, p.step, p.task_id, u.depth + 1
+    from up u join task_links l on l.job_id = u.job_id and l.step = u.at_step and l.task_id = u.at_task
+      join task_links p on p.job_id = u.job_id and p.step = l.parent_step and p.task_id = l.parent_task_id)
+, roots as (select job_id, step, task_id, arg_max(at_step, depth) as root_step, arg_max(at_task, depth) as root_task_id,
+    max(depth) as depth from up group by all)
+, sizes as (select job_id, at_step as step, at_task as task_id, count(*) as subtree from up group by all)
+select * from roots join sizes using (job_id, step, task_id)""", recursive=True)
+def _task_lineage(spark, sf_dir):
+    return lineage.lineage(table(spark, sf_dir, "task_links"))
+
+
+WALK = """
+, pairs(graph, step, reached, distance) as (
+    select graph, step, next_step, 1 from graph_edges
+    union
+    select p.graph, p.step, e.next_step, p.distance + 1 from pairs p
+    join graph_edges e on e.graph = p.graph and e.step = p.reached where p.distance < 13)
+, reach as (select graph, step, reached, cast(min(distance) as bigint) as distance from pairs group by all)
+"""
+
+
+@JOBS.add("step_reachability", ("graph_edges",), WALK + "select * from reach", recursive=True)
+def _step_reachability(spark, sf_dir):
+    return graphs.reachability(table(spark, sf_dir, "graph_edges"))
+
+
+@JOBS.add("refused_graphs", ("graph_edges", "graph_steps"), WALK + """
+select distinct graph, step, 'cycle' as reason from reach where step = reached
+union select e.graph, e.step, 'unknown_next' from graph_edges e anti join graph_steps s on s.graph = e.graph and s.step = e.next_step
+union select j.graph, j.step, 'unknown_join' from graph_steps j anti join graph_steps s on s.graph = j.graph and s.step = j.join_to where j.join_to is not null
+union select graph, step, 'no_queue' from graph_steps where queue is null
+union select graph, step, 'repeated_step' from graph_steps group by graph, step having count(*) > 1""", recursive=True)
+def _refused_graphs(spark, sf_dir):
+    edges = table(spark, sf_dir, "graph_edges")
+    return graphs.refused_graphs(table(spark, sf_dir, "graph_steps"), edges, graphs.reachability(edges))
+
+
+@JOBS.add("step_levels", ("graph_edges", "graph_steps"), WALK + """
+, cyclic as (select distinct graph from reach where step = reached)
+select s.graph, s.step, cast(coalesce(max(p.distance), 0) as bigint) as level
+from (select distinct graph, step from graph_steps) s left join pairs p on p.graph = s.graph and p.reached = s.step
+where s.graph not in (select graph from cyclic) group by s.graph, s.step""", recursive=True)
+def _step_levels(spark, sf_dir):
+    edges = table(spark, sf_dir, "graph_edges")
+    return graphs.step_levels(table(spark, sf_dir, "graph_steps"), edges, graphs.reachability(edges))
+
+
 @JOBS.add("task_with_result", ("task_events", "completion_rows"), TASKS + RESULTS + """
 select t.job_id, t.step, t.task_id, t.status, r.primary_result_uri, r.metrics_uri, r.primary_mime, r.primary_size_bytes, r.extra
 from tasks t left join results r using (job_id, step, task_id)""")

@@ -38,6 +38,8 @@ DEFAULT_STEPS = {
 # A graph is hand-written configuration.  The bound keeps its tables small
 # enough to broadcast whatever the size of the data.
 MAX_STEPS = 10_000
+# Edges of a step, on average.
+MAX_FANOUT = 10
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,51 @@ class Dag:
     def default(cls) -> Dag:
         return cls(DEFAULT_STEPS)
 
+    @classmethod
+    def from_tables(cls, steps: DataFrame, edges: DataFrame) -> Dag:
+        """One graph from its rows.
+
+        Steps: step, queue, filetype, join_to, hooks_path, extensions (array).  Edges:
+        step, pos, next_step; a step's next steps are in order of pos.  A repeated
+        step, a cycle or a name without a row raises ValueError.
+        """
+        rows = steps.select("step", "queue", "filetype", "join_to", "hooks_path", "extensions").limit(MAX_STEPS + 1).collect()
+        most = MAX_STEPS * MAX_FANOUT
+        links = edges.select("step", "pos", "next_step").limit(most + 1).collect()
+        if len(links) > most:
+            raise ValueError(f"more than {most} edges")
+        found: dict = {}
+        for row in rows:
+            if row.step is None or row.step in found:
+                raise ValueError(f"step without a name of its own: {row.step}")
+            found[row.step] = {k: v for k, v in row.asDict().items() if k != "step" and v is not None}
+        for link in sorted(links, key=lambda x: (x.step, x.pos)):
+            if link.step not in found:
+                raise ValueError(f"edge from an unknown step: {link.step}")
+            found[link.step].setdefault("next", []).append(link.next_step)
+        graph = cls(found)
+        graph.check()
+        return graph
+
+    def check(self) -> None:
+        """Raise ValueError for a next or join step that is unknown, and for cycles."""
+        waiting = dict.fromkeys(self.steps, 0)
+        for name, spec in self.steps.items():
+            targets = spec.get("next", [])
+            for other in [*targets, *filter(None, [spec.get("join_to")])]:
+                if other not in self.steps:
+                    raise ValueError(f"{name} names an unknown step: {other}")
+            for other in targets:
+                waiting[other] += 1
+        ready = [s for s, n in waiting.items() if n == 0]
+        for name in ready:
+            for other in self.steps[name].get("next", []):
+                waiting[other] -= 1
+                if waiting[other] == 0:
+                    ready.append(other)
+        if len(ready) < len(self.steps):
+            raise ValueError(f"cycle through {sorted(set(self.steps) - set(ready))}")
+
     @property
     def names(self) -> tuple[str, ...]:
         return tuple(self.steps)

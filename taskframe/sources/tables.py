@@ -30,6 +30,9 @@ INPUTS = {
     "job_updates": ("task_events",),
     "send_rows": ("task_events",),
     "layout_items": ("hook_children",),
+    "task_links": ("task_events",),
+    "graph_edges": ("task_events",),
+    "graph_steps": ("task_events",),
 }
 
 
