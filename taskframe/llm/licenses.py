@@ -1,20 +1,23 @@
-"""License notices found by exact wording and conditional compression.
+"""License notices found by conditional compression and exact wording.
 
 Lines do not matter: a text is its words.  Around every word that speaks of
 licensing lies a block for each template, as wide as the template with all
 differences it may have, so a notice can be wrapped over lines or stand inside a
 long one.  Templates that miss too many words in the text cannot be confirmed and
-are left out; every other one is aligned with its block, and is confirmed where
-the words to insert, delete and replace are few against the template's length.
-What is confirmed is compressed alone and with its template as a zstandard raw
-dictionary; the share saved decides between notices at one place that explain as
-many words as well.  All confirmed notices that do not overlap are reported.
+are left out.  Every block is compressed alone and with its template as a zstandard
+raw dictionary, and the bytes saved rank the candidates.  Down that order the exact
+wording confirms: a template is aligned with its block, and stands where the words
+to insert, delete and replace are few against its length.  Among confirmed ones at
+one place that save nearly as much as the first, the fewest differences win.
+Candidates are tried as long as a licensing word in their block is unexplained, so
+all confirmed notices that do not overlap are reported.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from pathlib import Path
@@ -30,6 +33,11 @@ from taskframe.llm.frames import col, free_name, map_columns, others
 
 # The most differing words, as a share of the template's.
 MOST_DIFFERENT = 0.2
+# Confirmed candidates that save at least this share of what the first one at their place
+# saves are told apart by their differences.
+NEAR_SAVING = 0.9
+# Templates of up to this many words without a name or number end their sentence.
+BARE = 3
 # Templates of more words are whole texts, in which only names and versions tell licenses apart.
 LONG = 100
 
@@ -141,6 +149,25 @@ TEMPLATES = {
     "GPL-3.0-or-later-SPDX": "SPDX-License-Identifier: GPL-3.0-or-later",
     "LGPL-2.1-or-later-SPDX": "SPDX-License-Identifier: LGPL-2.1-or-later",
     "MPL-2.0-SPDX": "SPDX-License-Identifier: MPL-2.0",
+    "AGPL-3.0-only-SPDX": "SPDX-License-Identifier: AGPL-3.0-only",
+    "AGPL-3.0-or-later-SPDX": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "CC-BY-4.0-SPDX": "SPDX-License-Identifier: CC-BY-4.0",
+    "CC-BY-SA-4.0-SPDX": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "GPL-2.0-SPDX": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-2.0-plus-SPDX": "SPDX-License-Identifier: GPL-2.0+",
+    "GPL-3.0-SPDX": "SPDX-License-Identifier: GPL-3.0",
+    "GPL-3.0-plus-SPDX": "SPDX-License-Identifier: GPL-3.0+",
+    "LGPL-3.0-or-later-SPDX": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "Unlicense-SPDX": "SPDX-License-Identifier: Unlicense",
+    "Zlib-SPDX": "SPDX-License-Identifier: Zlib",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-4.0-name": "Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-name": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "MPL-2.0-name": "Mozilla Public License 2.0",
+    "MPL-2.0-version-name": "Mozilla Public License, version 2.0",
+    "GPL-2.0-license-name": "licensed under the GNU GPL v2",
+    "GPL-3.0-license-name": "licensed under the GNU GPL v3",
     "ISC-SPDX": "SPDX-License-Identifier: ISC",
     "CC0-1.0-SPDX": "SPDX-License-Identifier: CC0-1.0",
 }
@@ -155,6 +182,8 @@ FOUND = T.ArrayType(T.StructType([
 
 _WORDS = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 _SPEAKS = re.compile(r"licen[sc]|copyright|permission|^cc(?:-|$)")
+# Fixed value: what stands before license identifiers.
+_TAG = "spdx-license-identifier"
 _PAIRS = {("rights", "reserved"), ("public", "domain"), ("creative", "commons")}
 
 
@@ -169,7 +198,9 @@ def _speaking(text: list[str]) -> list[int]:
 
 
 # Words that tell licenses apart: any with a digit, and these names.
-_NAMES = frozenset("apache bsd cc by by-nc by-sa by-nc-sa gnu lesser affero mit mozilla public domain".split())
+_NAMES = frozenset((
+    "apache bsd cc by by-nc by-sa by-nc-sa gnu lesser affero mit mozilla public domain "
+    "attribution-sharealike attribution-noncommercial").split())
 _LONG_NAMES = _NAMES - {"by", "public", "domain"}
 
 
@@ -206,6 +237,47 @@ class _Template:
     def long(self) -> bool:
         return len(self.words) > LONG
 
+    @property
+    def identifier(self) -> bool:
+        """A tag with one license identifier."""
+        return len(self.words) == 2 and self.words[0] == _TAG
+
+
+@dataclass(frozen=True, eq=False)
+class _Notice:
+    template: _Template
+    lo: int
+    hi: int
+    # Bytes saved by compression, and as a share of those without the template.
+    saved: int
+    share: float
+    differences: int
+
+    def overlaps(self, other: _Notice) -> bool:
+        return self.lo < other.hi and other.lo < self.hi
+
+
+class _Text:
+    """A text as words, with the places of those that speak of licensing."""
+
+    def __init__(self, text: str, own: list[str], spans: list[tuple[int, int]], places: list[int]) -> None:
+        self.text, self.words, self.spans, self.places = text, own, spans, places
+        self.ids: dict[str, int] = {}
+        self.codes = np.fromiter((self.ids.setdefault(w, len(self.ids)) for w in own), np.int64, len(own))
+
+    def raw(self, lo: int, hi: int) -> bytes:
+        return self.text[self.spans[lo][0]:self.spans[hi - 1][1]].encode("utf-8", "surrogatepass")
+
+    def coded(self, template: list[str]) -> np.ndarray:
+        return np.array([self.ids.get(w, -1) for w in template])
+
+    def within(self, lo: int, hi: int) -> list[int]:
+        return self.places[bisect_left(self.places, lo):bisect_left(self.places, hi)]
+
+    def goes_on(self, hi: int) -> bool:
+        """Whether the next word belongs to the same sentence, as far as signs tell."""
+        return hi < len(self.words) and not self.text[self.spans[hi - 1][1]:self.spans[hi][0]].strip(" ")
+
 
 _COST = 1 << 32
 
@@ -234,6 +306,7 @@ class Scanner:
             self.templates.append(_Template(
                 name, own, Counter(own), int(MOST_DIFFERENT * len(own)), _marks(own, len(own) > LONG),
                 zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False)))
+        self.identifiers = {t.words[1] + "+" * templates[t.name].endswith("+"): t for t in self.templates if t.identifier}
 
     def match(self, block: str) -> tuple | None:
         """The confirmed template that explains most of a block, with saving,
@@ -248,53 +321,112 @@ class Scanner:
         """All confirmed notices that do not overlap, in order of place: name, line,
         saving, differences, wording and how many words they explain."""
         text = text.lower()
-        own = words(text)
+        spans = [m.span() for m in _WORDS.finditer(text)]
+        own = [text[a:b] for a, b in spans]
         places = _speaking(own)
         if not places:
             return []
-        here, found = Counter(own), []
-        possible = [t for t in self.templates if t.possible(here, len(own))]
-        if not possible:
-            return []
-        ids = {w: i for i, w in enumerate(here)}
-        coded = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
-        spans = [m.span() for m in _WORDS.finditer(text)]
-        for t in possible:
-            asked = np.array([ids.get(w, -1) for w in t.words])
-            reach = len(t.words) + t.most
-            for lo, hi in _ranges(places, reach, len(own)):
-                found += self._confirmed(t, asked, own, coded, spans, text, lo, hi)
-        # What explains most words comes first, then what differs less, then what saves more.
-        chosen = []
-        for x in sorted(found, key=lambda x: (-x[0], x[1], -x[2])):
-            if all(x[4] <= y[3] or y[4] <= x[3] for y in chosen):
-                chosen.append(x)
+        return [(x.template.name, text.count("\n", 0, spans[x.lo][0]), x.share, x.differences,
+                 self._wording(x, own), len(x.template.words) - x.differences)
+                for x in sorted(self._chosen(_Text(text, own, spans, places)), key=lambda x: x.lo)]
+
+    @staticmethod
+    def _wording(x: _Notice, own: list[str]) -> str:
+        theirs, ours = x.template.words, own[x.lo:x.hi]
+        steps = difflib.SequenceMatcher(None, ours, theirs, autojunk=False).get_opcodes()
+        return "; ".join(f"{' '.join(theirs[j1:j2])} -> {' '.join(ours[i1:i2])}"
+                         for tag, i1, i2, j1, j2 in steps if tag != "equal")
+
+    def _saved(self, t: _Template, raw: bytes) -> tuple[int, int]:
+        """Bytes saved by the template as a dictionary, and bytes without it."""
+        alone = len(self.alone.compress(raw))
+        return alone - len(t.compressor.compress(raw)), alone
+
+    def _chosen(self, x: _Text) -> list[_Notice]:
+        chosen = self._expressions(x)
+        here = Counter(x.words)
+        # Blocks of a template do not meet and are in order of place.
+        blocks = {n: _ranges(x.places, len(t.words) + t.most, len(x.words)) for n, t in enumerate(self.templates)
+                  if not t.identifier and t.possible(here, len(x.words))}
+        ranked = sorted((-self._saved(self.templates[n], x.raw(lo, hi))[0], len(self.templates[n].words), n, i)
+                        for n, ranges in blocks.items() for i, (lo, hi) in enumerate(ranges))
+        taken = np.zeros(len(x.words), bool)
+        for y in chosen:
+            taken[y.lo:y.hi] = True
+        tried: dict[tuple[int, int], list[_Notice]] = {}
+
+        def confirmed(n: int, i: int) -> list[_Notice]:
+            if (n, i) not in tried:
+                tried[n, i] = self._confirmed(self.templates[n], x, *blocks[n][i])
+            tried[n, i] = [y for y in tried[n, i] if not taken[y.lo:y.hi].any()]
+            return tried[n, i]
+
+        def rivals(first: _Notice) -> list[_Notice]:
+            found = []
+            for n, ranges in blocks.items():
+                i = bisect_left(ranges, first.lo, key=lambda r: r[1] - 1)
+                while i < len(ranges) and ranges[i][0] < first.hi:
+                    found += filter(first.overlaps, confirmed(n, i))
+                    i += 1
+            return found
+
+        for _, _, n, i in ranked:
+            # Every notice explains a licensing word; where all have one, none is left.
+            while not taken[x.within(*blocks[n][i])].all():
+                free = confirmed(n, i)
+                if not free:
+                    break
+                first = max(free, key=lambda y: (y.saved, -y.differences))
+                if first.differences:
+                    close = rivals(first)
+                    most = max(y.saved for y in close)
+                    first = min((y for y in close if y.saved >= NEAR_SAVING * most),
+                                key=lambda y: (y.differences, -y.saved, y.template.name))
+                chosen.append(first)
+                taken[first.lo:first.hi] = True
+        return chosen
+
+    def _notice(self, t: _Template, x: _Text, lo: int, hi: int, differences: int) -> _Notice:
+        saved, alone = self._saved(t, x.raw(lo, hi))
+        return _Notice(t, lo, hi, saved, saved / alone, differences)
+
+    def _expressions(self, x: _Text) -> list[_Notice]:
+        """Every license named by an expression behind the tag for license identifiers."""
         out = []
-        for explained, differences, saving, lo, hi, t in sorted(chosen, key=lambda x: x[3]):
-            steps = difflib.SequenceMatcher(None, own[lo:hi], t.words, autojunk=False).get_opcodes()
-            wording = "; ".join(f"{' '.join(t.words[j1:j2])} -> {' '.join(own[lo:hi][i1:i2])}"
-                                for tag, i1, i2, j1, j2 in steps if tag != "equal")
-            out.append((t.name, text.count("\n", 0, spans[lo][0]), saving, differences, wording, explained))
+        for tag in (i for i, w in enumerate(x.words) if w == _TAG):
+            i, lo = tag + 1, tag
+            while i < len(x.words):
+                name = x.words[i]
+                # A plus sign belongs to the identifier it follows.
+                end = x.spans[i][1]
+                t = self.identifiers.get(name + "+" * (x.text[end:end + 1] == "+"))
+                if t is not None:
+                    out.append(self._notice(t, x, lo, i + 1, 0))
+                i, lo = i + 1, i + 1
+                if i < len(x.words) and x.words[i] in ("or", "and") and "\n" not in x.text[end:x.spans[i][0]]:
+                    i, lo = i + 1, i + 1
+                else:
+                    break
         return out
 
-    def _confirmed(self, t, asked, own, coded, spans, text, lo, hi) -> list[tuple]:
-        costs, starts = alignments(asked, coded[lo:hi])
+    def _confirmed(self, t: _Template, x: _Text, lo: int, hi: int) -> list[_Notice]:
+        """The places in a block where few words differ from the template."""
+        costs, starts = alignments(x.coded(t.words), x.codes[lo:hi])
         ends = np.flatnonzero(costs <= t.most)
         if not len(ends):
             return []
-        at = [i for i in range(lo, hi) if _is_mark(own, i, t.long)]
-        out, taken = [], []
+        at = [i for i in range(lo, hi) if _is_mark(x.words, i, t.long)]
+        out: list[_Notice] = []
         for end in ends[np.argsort(costs[ends], kind="stable")].tolist():
             a, b = lo + int(starts[end]), lo + end
-            if a >= b or any(a < y and x < b for x, y in taken):
+            if a >= b or any(a < y.hi and y.lo < b for y in out) or not x.within(a, b):
                 continue
             first, last = np.searchsorted(at, (a, b))
-            if {own[i] for i in at[first:last]} != t.marks:
+            if {x.words[i] for i in at[first:last]} != t.marks:
+                continue
+            if len(t.words) <= BARE and not t.marks and x.goes_on(b):
                 continue
-            taken.append((a, b))
-            raw = text[spans[a][0]:spans[b - 1][1]].encode()
-            saving = 1 - len(t.compressor.compress(raw)) / len(self.alone.compress(raw))
-            out.append((len(t.words) - int(costs[end]), int(costs[end]), saving, a, b, t))
+            out.append(self._notice(t, x, a, b, int(costs[end])))
         return out
 
 

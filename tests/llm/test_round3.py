@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskframe.llm import alignment, classifier, frames, nnls_packing, packing, pii, queries, spelling
+from taskframe.llm import alignment, classifier, frames, licenses, nnls_packing, packing, pii, queries, spelling
 
 BYTE_BPE = queries.tokenizer_path("byte_bpe_50k.json")
 PIECES = queries.tokenizer_path("piece_bpe_32k.model")
@@ -359,3 +359,52 @@ def test_equal_neighbours_all_vote(spark):
     labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, quality int")
     rows = classifier.score(docs, labels, neighbours=5).collect()
     assert {round(r.score, 4) for r in rows} == {0.25}
+
+
+def names_in(text, scanner=licenses.Scanner(licenses.TEMPLATES)):
+    return [x[0] for x in scanner.find(text)]
+
+
+def test_license_expressions_and_names():
+    assert names_in("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;") == ["MIT-SPDX", "Apache-2.0-SPDX"]
+    assert names_in("SPDX-License-Identifier: (GPL-2.0+ AND BSD-3-Clause)") == ["GPL-2.0-plus-SPDX", "BSD-3-Clause-SPDX"]
+    assert names_in("SPDX-License-Identifier: GPL-2.0\nor MIT") == ["GPL-2.0-SPDX"]
+    assert names_in("SPDX-License-Identifier:") == [] and names_in("SPDX-License-Identifier: Nothing") == []
+    assert names_in("Licensed under CC BY-SA 3.0.") == ["CC-BY-SA-3.0"]
+    assert names_in("This is under a Creative Commons Attribution 4.0 International License.") == ["CC-BY-4.0-name"]
+    assert names_in("Covered by the Mozilla Public License 2.0 here") == ["MPL-2.0-name"]
+    assert names_in("Code is licensed under the GNU GPL v3") == ["GPL-3.0-license-name"]
+    assert names_in("has waived all rights reserved to them by law") == []
+    assert names_in("(c) Someone. All rights reserved.\nMore") == ["Proprietary"]
+
+
+def test_compression_ranks_and_wording_confirms():
+    """Of texts that hold each other, the whole one is found, with and without slips."""
+    rng = random.Random(3)
+    known = licenses.TEMPLATES
+    for name in ("BSD-2-Clause-text", "BSD-3-Clause-text", "MIT-text", "GPL-3.0-or-later-notice", "GPL-3.0-or-later-header",
+                 "Apache-2.0-header", "Apache-2.0-file-header", "MPL-2.0", "MPL-2.0-header"):
+        assert names_in(f"Some words before. {known[name]} Some after.") == [name]
+        changed = known[name].split()
+        for i in rng.sample([i for i, w in enumerate(changed) if w.isalpha() and w.islower()], max(1, len(changed) // 25)):
+            changed[i] = "other"
+        assert names_in(" ".join(changed)) in ([name], [])
+    two = f"{known['MIT-text']}\n\n{known['GPL-3.0-or-later-notice']}\n\n{known['MIT-text']}"
+    assert names_in(two) == ["MIT-text", "GPL-3.0-or-later-notice", "MIT-text"]
+
+
+def test_scan_of_documents_by_every_alignment(spark):
+    """Brute force over whole tables: every template aligned with every text that may hold it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, r.x.license, r.x.differences) for r in licenses.scan(docs).select(
+        "doc_id", F.explode("licenses").alias("x")).collect()}
+    expected = set()
+    templates = {n: licenses.words(t) for n, t in licenses.TEMPLATES.items()}
+    for row in docs.collect():
+        for line in (row.text or "").split("\n"):
+            own = licenses.words(line)
+            for name, asked in templates.items():
+                if any(own[i:i + len(asked)] == asked for i in range(len(own) - len(asked) + 1)):
+                    expected.add((row.doc_id, name, 0))
+    assert expected and expected <= got
+    assert {x for x in got if x[2] == 0} == expected
