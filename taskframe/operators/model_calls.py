@@ -59,13 +59,18 @@ def image_type(name: Column) -> Column:
         F.coalesce(F.element_at(literal_map(IMAGE_TYPES), ext), F.lit(DEFAULT_IMAGE_TYPE)))
 
 
+def _one_line_base64(content: Column) -> Column:
+    """Spark breaks lines after 76 characters, depending on its settings."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def image_parts(images: Column) -> Column:
     """Request parts of an array of (name, content) structs."""
     def part(image: Column) -> Column:
         return F.struct(
             F.lit(None).cast("string").alias("text"),
             F.struct(image_type(image["name"]).alias("mime_type"),
-                     F.base64(image["content"]).alias("data")).alias("inline_data"))
+                     _one_line_base64(image["content"]).alias("data")).alias("inline_data"))
 
     return F.transform(images, part)
 

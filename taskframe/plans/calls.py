@@ -90,7 +90,7 @@ PROMPTS = """
 select call_id, kind,
   case when kind = 'image' then case aspect_ratio when '1:1' then 1024 when '16:9' then 1344 when '3:4' then 864 when '21:9' then 1536 end end as width,
   case when kind = 'image' then case aspect_ratio when '1:1' then 1024 when '16:9' then 768 when '3:4' then 1184 when '21:9' then 672 end end as height,
-  concat('{"contents":[{"role":"user","parts":[{"text":"', prompt, '"}',
+  concat('{"contents":[{"role":"user","parts":[{"text":', to_json(prompt), '}',
     case when call_id % 5 < 2 then concat(',{"inline_data":{"mime_type":"', case call_id % 3 when 0 then 'image/png' when 1 then 'image/webp' else 'image/jpeg' end,
       '","data":"', b64, '"}},{"inline_data":{"mime_type":"image/png","data":"', b64, '"}}') else '' end,
     ']}],"generationConfig":{', case when kind = 'image' then concat('"responseModalities":["IMAGE"],"imageConfig":{"aspectRatio":"', aspect_ratio, '"},') else '' end,
@@ -144,7 +144,7 @@ def _parse_image_responses(spark, sf_dir):
  u as (select *, regexp_replace(found, '(\\n\\s*)([a-zA-Z_][a-zA-Z0-9_]*)\\s*:', '\\1"\\2":', 'g') as fixed from t)
 select call_id, place as "where", json_valid(found) or json_valid(fixed) as is_json, not json_valid(found) and json_valid(fixed) as repaired,
   case when json_valid(found) then cast(json(found) as varchar) when json_valid(fixed) then cast(json(fixed) as varchar)
-    else concat('{"meta":{"note":"Raw response (not JSON)"},"raw_response":"', text, '"}') end as answer
+    else concat('{"meta":{"note":"Raw response (not JSON)"},"raw_response":', to_json(text), '}') end as answer
 from u""")
 def _extract_answers(spark, sf_dir):
     parsed = model_calls.parse_text_responses(table(spark, sf_dir, "model_responses"))

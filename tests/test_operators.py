@@ -1,5 +1,6 @@
 """Operators on small hand-made tables and against brute force."""
 
+import base64
 import datetime as dt
 import json
 import random
@@ -384,3 +385,16 @@ def test_children_of_a_step(spark):
         [("j", "X", "S1", "A", "S0"), ("j", "X", "S2", "B", "S0"), ("k", "X", "S3", "A", "S0")],
         "job_id string, step string, task_id string, parent_step string, parent_task_id string")
     assert [r.task_id for r in reads.children_of(tasks, parents).collect()] == ["S1"]
+
+
+def test_long_images_stay_on_one_line(spark):
+    """A base64 text holds no line ends, however long it is."""
+    from taskframe.operators.model_calls import model_requests
+
+    prompt = spark.createDataFrame(
+        [("c", "text", "say \"this\"\n", None, None, [("a.png", bytearray(range(256)) * 40)])],
+        "call_id string, kind string, prompt string, temperature double, aspect_ratio string, "
+        "images array<struct<name:string,content:binary>>")
+    parts = json.loads(model_requests(prompt).accepted.first().body)["contents"][0]["parts"]
+    assert parts[0]["text"] == "say \"this\"\n"
+    assert base64.b64decode(parts[1]["inline_data"]["data"], validate=True) == bytes(range(256)) * 40
