@@ -14,6 +14,7 @@ from taskframe.session import scratch_dir
 from taskframe.sources import commits
 from taskframe.sources.dag import Dag
 from taskframe.sources.tables import derived, source, table
+from taskframe.streaming import barrier
 from taskframe.streaming import messages as message_streams
 from taskframe.streaming import state as state_streams
 
@@ -67,6 +68,27 @@ def _stream_transitions(spark, sf_dir):
     return moved.select(*TASK_KEY, "user_id", "status", "retry_count", "updated_at", "started_at", "finished_at", "error_code")
 
 
+@JOBS.add("stream_barrier", ("task_events",), """
+select job_id, 'STITCH' as step, 'S0' as task_id, step as joined_step, count(distinct task_id) as siblings
+from task_events where step = 'VIDEO_GENERATION' group by job_id, step
+having count(distinct task_id) = count(distinct task_id) filter (status = 'SUCCEEDED')""")
+def _stream_barrier(spark, sf_dir):
+    """Events out of order and some of them twice, in several micro-batches, with a compaction and a restart between."""
+    events = table(spark, sf_dir, "task_events").select(*TASK_KEY, "seq", "ts", "status")
+    expected = events.groupBy("job_id", "step").agg(F.count_distinct("task_id").alias("siblings"))
+    base, progress, landing = (scratch_dir(spark, p) for p in ("barrier", "progress", "landing"))
+
+    def arrive(parts):
+        parts.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+        barrier.stream_barrier(stream, expected, Dag.default(), base, progress).awaitTermination()
+
+    arrive(events.where("seq % 3 <> 0").repartition(4, F.xxhash64("seq")))
+    state_streams.compact(spark, base)
+    arrive(events.where("seq % 3 = 0 or seq % 7 = 0").repartition(2, F.xxhash64("seq")))
+    return barrier.read_released(spark, base)
+
+
 def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "completion_rows").withColumns({
         "schema": F.lit("v1"), "trace_id": F.lit(None).cast("string")})

@@ -24,11 +24,22 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from taskframe.operators import state, transitions
-from taskframe.schemas import JOB_KEY
+from taskframe.schemas import JOB_KEY, TASK_KEY
 from taskframe.sources import commits
 
+
+def merge_ended(rows: DataFrame) -> DataFrame:
+    """Succeeded tasks, once each, with their last success."""
+    return rows.groupBy(*TASK_KEY).agg(F.max("ts").alias("ts"))
+
+
+def merge_released(rows: DataFrame) -> DataFrame:
+    return rows.distinct()
+
+
 MERGES = {"jobs": state.merge_jobs, "tasks": state.merge_tasks, "results": state.merge_results,
-          "moves": transitions.merge_moves, "retries": transitions.merge_retries}
+          "moves": transitions.merge_moves, "retries": transitions.merge_retries,
+          "ended": merge_ended, "released": merge_released}
 TABLES = ("jobs", "tasks", "results")
 PURGED = "purged"
 
