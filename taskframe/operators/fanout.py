@@ -18,10 +18,14 @@ def explode_children(parents: DataFrame) -> DataFrame:
     `parents.children` is an array of JSON texts.  Members that are no object
     become {"data": ..., "index": ...}; an object may name its own `idx`.
     """
-    df = parents.select(
+    return child_fields(parents.select(
         *[c for c in parents.columns if c != "children"],
         F.size("children").alias("siblings"),
-        F.posexplode("children").alias("child_pos", "_child"))
+        F.posexplode("children").alias("child_pos", "_child")))
+
+
+def child_fields(df: DataFrame) -> DataFrame:
+    """Replace the JSON text `_child` at `child_pos` by child_params and explicit_idx."""
     doc = strict_json(F.col("_child"))
     wrapped = F.to_json(F.struct(
         F.coalesce(doc, F.col("_child").cast("variant")).alias("data"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskframe.operators import fanout, hooks, layout, model_calls
-from taskframe.operators.sample_hook import CountingHook
+from taskframe.operators import fanout, hooks, layout, model_calls, runs
+from taskframe.operators.sample_hook import CountingHook, ReportingHook
 from taskframe.functions.paths import step_level
 from taskframe.plans.messages import ACCEPTED, BUCKET, RAW, accepted_messages
 from taskframe.plans.registry import Jobs
+from taskframe.session import scratch_dir
 from taskframe.sources.dag import Dag
 from taskframe.sources.tables import table
 
@@ -67,6 +68,64 @@ def _hook_children(spark, sf_dir):
         "job_id", "task_id", "step", "params", "parent_task_id", "child_pos")
 
 
+# --- runs from raw messages to the outbox -------------------------------------
+
+RUN = HOOKED + """
+, w as (select *, array_to_string(string_split(output_prefix, '/')[1:6], '/') as prefix, k % 10 <> 0 and k % 7 <> 3 as good from hooked)
+, files as (select message_id, prefix, task_id, good, k, unnest(range(k % 5 + 1)) as i from w)
+, a as (select message_id, concat(prefix, '/', task_id, '/part_', i, '.txt') as uri, 'text/plain; charset=utf-8' as mime, repeat(concat(task_id, ' ', i, ' '), k) as t from files where good
+  union all select message_id, concat(prefix, '/metrics.json'), 'application/json; charset=utf-8', concat('{', chr(10), '  "k": ', k, ',', chr(10), '  "task": "', task_id, '"', chr(10), '}') from w where good)
+, child as (select w.*, e.next_step, d.queue, unnest(range(k % 4)) as pos from w join step_edge e using (step) join step_def d on d.step = e.next_step where good)
+, named as (select *, concat('S', case when k % 4 = 1 then cast(substr(task_id, 2) as bigint) else pos end) as child_id from child)
+"""
+RUN_TABLES = RAW + ("step_edge",)
+
+
+def worked_off(spark, sf_dir) -> str:
+    """Folder of a run over all accepted messages, in small flushes, attempted twice."""
+    base = scratch_dir(spark, "run")
+    for _ in range(2):
+        runs.run_messages(accepted_messages(spark, sf_dir), ReportingHook(), Dag.default(), BUCKET, base, "run-1", flush_bytes=4096)
+    return base
+
+
+@JOBS.add("message_outcomes", RUN_TABLES, RUN + """
+select message_id, job_id, step, task_id, case when good then 'SUCCEEDED' else 'FAILED' end as status, case when not good then 'PROCESS_ERROR' end as error_code,
+  case when k % 10 = 0 then concat('k is ', k) when k % 7 = 3 then concat('artifact ', k % 5 + 2, ' refused: extension') end as error_message,
+  case when k % 10 <> 0 then concat('{"k": ', k, ', "task": "', task_id, '"}') end as metrics,
+  cast(k % 5 + 1 + case when k % 10 = 0 then 0 when k % 7 in (3, 5) then 2 else 1 end as bigint) as n_artifacts,
+  cast(case when k % 10 = 0 then 0 else k % 4 end as bigint) as n_children, cast(case when k % 10 <> 0 and k % 7 in (3, 5) then 1 else 0 end as bigint) as n_refused
+from w""")
+def _message_outcomes(spark, sf_dir):
+    return runs.read_outcomes(spark, worked_off(spark, sf_dir)).select(
+        *hooks.KEYS, "status", "error_code", "error_message", "metrics", "n_artifacts", "n_children", "n_refused")
+
+
+@JOBS.add("message_artifacts", RUN_TABLES, RUN + """
+select uri, max(mime) as mime, cast(strlen(max_by(t, message_id)) as bigint) as size_bytes, sha256(max_by(t, message_id)) as sha256 from a group by uri""")
+def _message_artifacts(spark, sf_dir):
+    return runs.read_artifacts(spark, worked_off(spark, sf_dir)).select(
+        "uri", "mime", F.octet_length("content").cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@JOBS.add("message_pipeline", RUN_TABLES, RUN + """
+select 'child' as kind, queue, 0 as delay_seconds, job_id as group_id, cast(null as varchar) as dedup_id,
+  concat('{"job_id":"', job_id, '","task_id":"', child_id, '","user_id":"', user_id, '","schema":"', schema, '","step":"', next_step,
+    '","input_uri":"', prefix, '/', task_id, '/part_0.txt","output_prefix":"s3://work/', user_id, '/', job_id, '/', next_step, '/', child_id,
+    '/","params":{"part":', pos, '},"parent_task_id":"', task_id, '"', case when trace_id is null then '' else concat(',"trace_id":"', trace_id, '"') end, ',"retry_count":0}') as body
+from named
+union all select 'completion', 'results', 0, job_id, null,
+  concat('{"schema":"', schema, '","job_id":"', job_id, '","task_id":"', task_id, '","user_id":"', user_id, '","step":"', step, '","input_uri":"', input_uri,
+    '","output_prefix":"', output_prefix, '","params":', replace(params, ': ', ':'), ',"retry_count":', retry_count,
+    ',"primary_result_uri":"', prefix, '/', task_id, '/part_0.txt","metrics_uri":"', prefix, '/metrics.json","primary_mime":"text/plain; charset=utf-8","primary_size_bytes":',
+    strlen(task_id) * k + 3 * k, case when trace_id is null then '' else concat(',"trace_id":"', trace_id, '"') end,
+    case when parent_task_id is null then '' else concat(',"parent_task_id":"', parent_task_id, '"') end, '}')
+from w where good""")
+def _message_pipeline(spark, sf_dir):
+    """Raw messages to outgoing ones: children of finished tasks, and a completion of each."""
+    return runs.read_messages(spark, worked_off(spark, sf_dir))
+
+
 # --- model requests and responses -------------------------------------------
 
 def prompts(spark, sf_dir):
