@@ -41,8 +41,8 @@ def _folder(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)\A(.*/)[^/]*\z", 1)
 
 
-def done_keys(listing: DataFrame, all_types: bool = False) -> DataFrame:
-    """Keys of finished work found in an object listing, repeats included.
+def finished_by(listing: DataFrame, all_types: bool = False) -> DataFrame:
+    """Stored objects by folder and file, with the keys of the work each of them finishes.
 
     A result file in a slot finishes the slot.  A result or metrics file at
     step level, or a result in slot S0, finishes tasks that are not slots.
@@ -58,7 +58,12 @@ def done_keys(listing: DataFrame, all_types: bool = False) -> DataFrame:
         F.when(is_result | (name == METRICS_FILE), F.concat(F.lit("step "), folder)),
         F.when(is_result & folder.endswith("/S0/"),
                F.concat(F.lit("step "), F.substring(folder, F.lit(1), F.length(folder) - 3))))
-    return df.select(F.explode(F.array_compact(keys)).alias("done_key"))
+    return df.withColumn("done_keys", F.array_compact(keys))
+
+
+def done_keys(listing: DataFrame, all_types: bool = False) -> DataFrame:
+    """Keys of finished work found in an object listing, repeats included."""
+    return finished_by(listing, all_types).select(F.explode("done_keys").alias("done_key"))
 
 
 def task_done_key(step_prefix: Column, task_id: Column) -> Column:
