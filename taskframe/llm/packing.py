@@ -82,29 +82,57 @@ class WordIds:
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower_specials = [s.decode().lower() for s in self.specials]
         self.end = np.array([end_id], "<u4").tobytes()
-        self.letters = {b: c for c, b in byte_letters().items()}
+        # A line end parts words and is in none.
+        self.letters = {b: c for c, b in byte_letters().items() if b != 10}
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        cut = [_core(w.decode()) for w in words]
+    def _cut(self, words: list[bytes]) -> tuple[list[str], dict[int, str]]:
+        """The part of each word that is looked up, and the marks after it where there are some.
+
+        All words go through it as one text.  Those that only a look at each word
+        decides are cut one by one: other forms of composed characters, a letter
+        whose lower case depends on its place, special strings in another case.
+        """
+        whole = b"\n".join(words).decode()
+        lower = whole.lower()
+        heads, marks = lower.split("\n"), {}
+        for i in [i for i, w in enumerate(heads) if w[-1] in _TRAILING]:
+            core = heads[i].rstrip(_TRAILING)
+            if core and core[-1].isalnum():
+                heads[i], marks[i] = core, heads[i][len(core):]
+        if not whole.isascii() and ("\u03a3" in whole or not (
+                unicodedata.is_normalized("NFC", whole) and unicodedata.is_normalized("NFC", lower))):
+            for i, w in enumerate(words):
+                if not w.isascii():
+                    heads[i], marks[i] = _core(w.decode())
         # The library looks for special strings before it lower-cases, so words that
         # hold one in another case stay as they are.
-        everything = "\n".join([core for core, _ in cut])
-        if any(s in everything for s in self.lower_specials):
-            cut = [(w.decode(), "") if any(s in core for s in self.lower_specials) else (core, marks)
-                   for w, (core, marks) in zip(words, cut, strict=True)]
+        if any(s in lower for s in self.lower_specials):
+            for i, w in enumerate(words):
+                if any(s in w.decode().lower() for s in self.lower_specials):
+                    heads[i], marks[i] = w.decode(), ""
+        return heads, marks
+
+    def _learn(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        heads, marks = self._cut(words)
         cores = self.cores
-        new = list({part for pair in cut for part in pair}.difference(cores))
+        new = list({*heads, *marks.values()}.difference(cores))
         # A lower-case composed word of Latin letters is one pre-token as it is.
-        plain = [w.isalpha() and max(w) < "\u0250" for w in new]
+        plain = [w for w in new if w.isalpha() and (w.isascii() or max(w) < "\u0250")]
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        cores.update((w, array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes())
-                     for w, p in zip(new, plain, strict=True) if p)
-        rest = [w for w, p in zip(new, plain, strict=True) if not p]
+        as_letters = "\n".join(plain).encode().decode("latin-1").translate(letters).split("\n")
+        for w, x in zip(plain, as_letters, strict=True) if plain else ():
+            cores[w] = array("I", [t.id for t in tokenize(x)]).tobytes()
+        rest = [w for w in new if w not in cores]
         found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
         cores.update(zip(rest, (array("I", e.ids).tobytes() for e in found), strict=True))
-        self.known.update((w, cores[core] + cores[marks]) for w, (core, marks) in zip(words, cut, strict=True))
+        known = self.known
+        known.update(zip(words, map(cores.__getitem__, heads), strict=True))
+        for i, tail in marks.items():
+            known[words[i]] += cores[tail]
         for part in new:
             if len(part) > CACHE_LENGTH:
                 del cores[part]
@@ -114,7 +142,7 @@ class WordIds:
             self.known.clear()
         if len(self.cores) > CACHE_CORES:
             self.cores.clear()
-        known, rows, missing = self.known, [], set()
+        known, rows, open_rows, missing = self.known, [], [], set()
         for text in texts:
             raw = text.encode()
             if any(s in raw for s in self.specials):
@@ -122,16 +150,26 @@ class WordIds:
                 rows.append(np.array(ids, "<u4").tobytes())
                 continue
             words = raw.split()
-            missing.update(words)
-            rows.append(words)
-        missing.difference_update(known)
+            found = list(map(known.get, words))
+            if None in found:
+                at = [i for i, ids in enumerate(found) if ids is None]
+                new = [words[i] for i in at]
+                missing.update(new)
+                open_rows.append((len(rows), at, new))
+                rows.append(found)
+            else:
+                rows.append(b"".join(found))
         fresh = list(missing)
         self._learn(fresh)
-        out = [(r if isinstance(r, bytes) else b"".join(map(known.__getitem__, r))) + self.end for r in rows]
+        for row, at, new in open_rows:
+            found = rows[row]
+            for i, w in zip(at, new, strict=True):
+                found[i] = known[w]
+            rows[row] = b"".join(found)
         for w in fresh:
             if len(w) > CACHE_LENGTH:
                 del known[w]
-        return out
+        return [r + self.end for r in rows]
 
 
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 1, text: str = "text") -> DataFrame:
