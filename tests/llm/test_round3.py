@@ -408,3 +408,17 @@ def test_scan_of_documents_by_every_alignment(spark):
                     expected.add((row.doc_id, name, 0))
     assert expected and expected <= got
     assert {x for x in got if x[2] == 0} == expected
+
+
+def test_ids_of_odd_words_are_the_librarys():
+    """Batches in which any word may need a look of its own, and known words come again."""
+    word_ids, rng = packing.WordIds(WORD_BPE, 1), random.Random(3)
+    bits = ["a", "B", "z", "É", "é", "́", "Σ", "ς", "İ", "ſ", "ß", "Å", "Å", "1", "9", ".", ",", "!", "'", "'s", "<|endoftext|>",
+            "<|EndOfText|>", "_", "-", "#", "…", "。", "中", "が", " ", " ", "\t", "\n", " ", " ", "\x85", "\x1c", "ﬁ", "🙂", "‍",
+            "%", "$$", "the", "Theorem", "don'T", "Ͱ", "ɐ", "ǅ", "x" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    for i in range(0, len(texts), 50):
+        for text, got in zip(texts[i:i + 50], word_ids.ids(texts[i:i + 50]), strict=True):
+            want = word_ids.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+            assert np.frombuffer(got, "<u4").tolist() == want, text
+    assert word_ids.ids([]) == [] and len(word_ids.ids(["", " "])) == 2
