@@ -10,6 +10,8 @@ from taskframe.functions.paths import slot_folder, slot_index, step_level, task_
 from taskframe.schemas import SEND_BATCH
 
 PARENT_KEY = ["job_id", "step", "task_id"]
+# URIs of a parent that are kept in one row.
+FIRST_URIS = 1000
 
 
 def explode_children(parents: DataFrame) -> DataFrame:
@@ -40,7 +42,9 @@ def child_fields(df: DataFrame) -> DataFrame:
 def with_siblings(children: DataFrame) -> DataFrame:
     """Add the number of children of the same parent."""
     counts = children.groupBy(*PARENT_KEY).agg(F.count(F.lit(1)).alias("siblings"))
-    return children.join(counts, PARENT_KEY)
+    # Every child of a known parent has a count, so an outer join gives the same rows,
+    # and who does not use the counts does not pay for them.
+    return children.dropna(subset=PARENT_KEY).join(counts, PARENT_KEY, "left")
 
 
 def with_input_uris(children: DataFrame, uris: DataFrame) -> DataFrame:
@@ -49,16 +53,27 @@ def with_input_uris(children: DataFrame, uris: DataFrame) -> DataFrame:
     Null for a parent that wrote none.  `uris` holds one row per written URI:
     parent key, uri_pos from 0 without gaps, uri.
     """
+    pos = F.col("child_pos")
+    # The first URIs of a parent stand in its one row, so most children need only the
+    # join on the parent.  The few beyond them meet one URI each; their join on
+    # the parent can be skewed, and there the split side is the one adaptive
+    # execution can cut.
+    early = F.when(F.col("uri_pos") < FIRST_URIS, F.struct(F.col("uri_pos").alias("pos"), F.col("uri").alias("uri")))
+    written = uris.groupBy(*PARENT_KEY).agg(
+        F.max_by("uri", "uri_pos").alias("_last_uri"), F.array_sort(F.collect_list(early)).alias("_first"))
+    own = F.get("_first", pos)
+    near = children.filter(F.coalesce(pos < FIRST_URIS, F.lit(True))).join(written, PARENT_KEY, "left").withColumn(
+        "written_uri", F.coalesce(F.when(own["pos"] == pos, own["uri"]), "_last_uri"))
+
     last = uris.groupBy(*PARENT_KEY).agg(F.max_by("uri", "uri_pos").alias("_last_uri"))
-    exact = uris.select(
+    exact = uris.filter(F.col("uri_pos") >= FIRST_URIS).select(
         *PARENT_KEY, F.col("uri_pos").alias("child_pos"), F.col("uri").alias("_own_uri"))
-    # Each position meets one child, so only the join on the parent can be
-    # skewed, and there the split side is the one adaptive execution can cut.
-    return (
-        children.join(last, PARENT_KEY, "left")
+    far = (
+        children.filter(pos >= FIRST_URIS).join(last, PARENT_KEY, "left")
         .join(exact, [*PARENT_KEY, "child_pos"], "left")
-        .withColumn("written_uri", F.coalesce("_own_uri", "_last_uri"))
-        .drop("_own_uri", "_last_uri"))
+        .withColumn("written_uri", F.coalesce("_own_uri", "_last_uri")))
+    columns = [*children.columns, "written_uri"]
+    return near.select(columns).unionByName(far.select(columns))
 
 
 def fanout_children(children: DataFrame, dag, bucket: str) -> DataFrame:

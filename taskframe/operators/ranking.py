@@ -32,41 +32,35 @@ def positions(df: DataFrame, key: str, order: Sequence[str], name: str,
               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the 0-based position of each row within its group.
 
-    Groups up to `hot_rows` rows are numbered by one window.  Larger ones are
-    first cut, in sort order, into ranges of the two leading order columns
-    (the second must be numeric); each range is numbered by itself and shifted
-    by the rows of the ranges before it.
+    Groups up to `hot_rows` rows are numbered whole.  Larger ones are first cut,
+    in sort order, into ranges of the two leading order columns (the second must
+    be numeric); each range is numbered by itself and shifted by the rows of the
+    ranges before it.  One window serves both.
     """
     first, second = order[0], order[1]
-    # How these few keys are joined is left to their size at run time.
-    hot = (
+    # At most one row for every `hot_rows` rows of `df`, so it is broadcast: the
+    # rows need no shuffle to find out whether their group is large, and what is
+    # done for large groups alone is not begun without one.
+    hot = F.broadcast(
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_low"),
              F.max(second).alias("_high"))
-        .filter(F.col("_rows") > hot_rows))
+        .filter(F.col("_rows") > hot_rows)
+        .withColumn("_width", F.greatest(
+            (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / F.lit(hot_rows)), F.lit(1e-9)))
+        .select(key, "_low", "_width"))
+    cut_at = F.coalesce(F.floor((F.col(second) - F.col("_low")) / F.col("_width")), F.lit(-1))
 
-    def numbered(rows: DataFrame, *parts: str) -> DataFrame:
-        window = Window.partitionBy(*parts).orderBy(*order)
-        return rows.withColumn(name, F.row_number().over(window) - 1)
-
-    cold = numbered(df.join(hot.select(key), key, "left_anti"), key)
+    # Null outside large groups.  A struct, so that null values of `first` meet each other.
+    piece = F.struct(F.col(first).alias("first"), cut_at.alias("range"))
+    marked = df.join(hot, key, "left").select(
+        *df.columns, F.when(F.col("_width").isNotNull(), piece).alias("_piece"))
+    within = Window.partitionBy(key, "_piece").orderBy(*order)
+    numbered = marked.withColumn(name, F.row_number().over(within) - 1)
 
-    pieces = F.ceil(F.col("_rows") / F.lit(hot_rows))
-    width = F.greatest((F.col("_high") - F.col("_low") + 1) / pieces, F.lit(1e-9))
-    cut = df.join(hot, key).withColumn(
-        "_range", F.coalesce(F.floor((F.col(second) - F.col("_low")) / width), F.lit(-1)))
-    sizes = cut.groupBy(key, first, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy(first, "_range").rowsBetween(
-        Window.unboundedPreceding, -1)
+    sizes = df.join(hot, key).groupBy(key, piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        key, first, "_range",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    a, b = numbered(cut, key, first, "_range").alias("a"), shifts.alias("b")
-    same_range = (
-        (F.col(f"a.{key}") == F.col(f"b.{key}"))
-        & F.col(f"a.{first}").eqNullSafe(F.col(f"b.{first}"))
-        & (F.col("a._range") == F.col("b._range")))
-    shifted = a.join(b, same_range).select(
-        *[F.col(f"a.{c}") for c in df.columns],
-        (F.col(f"a.{name}") + F.col("b._shift")).alias(name))
-    return cold.unionByName(shifted.select(cold.columns))
+        key, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return numbered.join(shifts, [key, "_piece"], "left").select(
+        *df.columns, (F.col(name) + F.coalesce("_shift", F.lit(0))).alias(name))
