@@ -198,16 +198,19 @@ def extension(name: Column) -> Column:
 _TYPES = mimetypes.MimeTypes()
 
 
+def _with_charset(types: dict) -> dict:
+    return {e: f"{t}; charset=utf-8" if t.startswith("text/") or t == "application/json" else t
+            for e, t in types.items()}
+
+
 def content_type(name: Column) -> Column:
     """Content type by extension; texts and JSON also name their charset."""
     ext = extension(name)
     packed = ext.isin(*_TYPES.encodings_map)
     inner = extension(F.regexp_replace(name, r"\.[^.]*\z", ""))
-    found = F.coalesce(
-        F.element_at(literal_map(EXTENSION_TYPES), ext),
+    # The charset is part of the tables, so that the extension is taken once.
+    return F.coalesce(
+        F.element_at(literal_map(_with_charset(EXTENSION_TYPES)), ext),
         F.element_at(
-            literal_map(_TYPES.types_map[True]), F.when(packed, inner).otherwise(ext)),
+            literal_map(_with_charset(_TYPES.types_map[True])), F.when(packed, inner).otherwise(ext)),
         F.lit("application/octet-stream"))
-    return F.when(
-        found.startswith("text/") | (found == "application/json"),
-        F.concat(found, F.lit("; charset=utf-8"))).otherwise(found)

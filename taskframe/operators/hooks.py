@@ -41,9 +41,15 @@ CARRIED = (*[(n, "string") for n in ("user_id", "schema", "input_uri", "output_p
            ("retry_count", "bigint"))
 PART_SCHEMA = ", ".join(f"{n} {t}" for n, t in (*PART_COLUMNS, *CARRIED))
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-PART_ARROW = pa.schema([(n, _ARROW[t]) for n, t in (*PART_COLUMNS, *CARRIED)])
+PART_STRUCT = pa.struct([(n, _ARROW[t]) for n, t in (*PART_COLUMNS, *CARRIED)])
+# What rows of the other parts hold in the columns of artifacts and of closing rows.
+_ITEM = tuple(n for n, _ in PART_COLUMNS[7:15])
+_NO_ARTIFACT = (None,) * len(_ITEM)
+_NO_CLOSING = (None,) * len((*PART_COLUMNS[16:], *CARRIED))
 FLUSH_BYTES = 16 * 1024 * 1024
 FLUSH_ROWS = 4096
+# Messages turned into Python values at once.
+TAKEN_ROWS = 64
 
 
 class Artifact(NamedTuple):
@@ -196,6 +202,12 @@ def run_hook(messages: DataFrame, hook: Hook, config: dict | None = None) -> Dat
     return messages.mapInArrow(process, OUTPUT_SCHEMA)
 
 
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TAKEN_ROWS):
+            yield from batch.slice(at, TAKEN_ROWS).to_pylist()
+
+
 def stream_hook(messages: DataFrame, hook: Hook, config: dict | None = None, flush_bytes: int = FLUSH_BYTES,
                 max_bytes: int = MAX_WRITE_BYTES) -> DataFrame:
     """One row per artifact and child, and a closing row per message.
@@ -218,52 +230,51 @@ def stream_hook(messages: DataFrame, hook: Hook, config: dict | None = None, flu
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = hook.load(settings)
-        rows: list[dict] = []
+        rows: list[tuple] = []
         held = 0
 
         def flushed() -> pa.RecordBatch:
             nonlocal rows, held
-            out = pa.RecordBatch.from_pylist(rows, schema=PART_ARROW)
+            out = pa.RecordBatch.from_struct_array(pa.array(rows, PART_STRUCT))
             rows, held = [], 0
             return out
 
-        for batch in batches:
-            for at in range(batch.num_rows):
-                message = batch.slice(at, 1).to_pylist()[0]
-                key = {k: message[k] for k in (*KEYS, "step_prefix")}
-                counts = {ARTIFACT: 0, CHILD: 0}
-                metrics = None
-                closing = {"status": "SUCCEEDED"}
-                try:
-                    fields = dict(message, params=json.loads(message.get("params") or "{}"))
-                    for part in hook.emit(model, fields):
-                        if isinstance(part, Child):
-                            row = {"part": CHILD, "child": json.dumps(part.params)}
-                            held += len(row["child"])
-                        else:
-                            if isinstance(part, Metrics):
-                                metrics = json.dumps(part.values)
-                                part = Artifact(part.values, "metrics")
-                            value, shape, name, *places = part
-                            row = {"part": ARTIFACT, **_item(shape, value, text(name), *places)}
-                            if row["kind"] == "other" and shape != "aux":
-                                raise TypeError(f"Unsupported result type: {type(value)}")
-                            if (row["size_bytes"] or 0) > max_bytes:
-                                row["content"] = None
-                            held += len(row["content"] or b"")
-                        row["position"] = counts[row["part"]]
-                        counts[row["part"]] += 1
-                        rows.append(key | row)
-                        if held >= flush_bytes or len(rows) >= FLUSH_ROWS:
-                            yield flushed()
-                except Exception as error:  # a hook may raise anything
-                    closing = {"status": "FAILED", "error_code": ERROR_CODE,
-                               "error_message": str(error).encode(errors="replace").decode()}
-                rows.append(key | {n: message[n] for n, _ in CARRIED} | closing | {
-                    "part": CLOSING, "metrics": metrics, "n_artifacts": counts[ARTIFACT], "n_children": counts[CHILD]})
-                held += len(message["params"] or "")
-                if held >= flush_bytes or len(rows) >= FLUSH_ROWS:
-                    yield flushed()
+        for message in _messages(batches):
+            key = tuple(message[k] for k in (*KEYS, "step_prefix"))
+            artifacts = children = 0
+            metrics = code = reason = None
+            status = "SUCCEEDED"
+            try:
+                fields = dict(message, params=json.loads(message.get("params") or "{}"))
+                for part in hook.emit(model, fields):
+                    if isinstance(part, Child):
+                        child = json.dumps(part.params)
+                        rows.append((*key, CHILD, children, *_NO_ARTIFACT, child, *_NO_CLOSING))
+                        held += len(child)
+                        children += 1
+                    else:
+                        if isinstance(part, Metrics):
+                            metrics = json.dumps(part.values)
+                            part = Artifact(part.values, "metrics")
+                        value, shape, name, *places = part
+                        item = _item(shape, value, text(name), *places)
+                        if item["kind"] == "other" and shape != "aux":
+                            raise TypeError(f"Unsupported result type: {type(value)}")
+                        if (item["size_bytes"] or 0) > max_bytes:
+                            item["content"] = None
+                        rows.append((*key, ARTIFACT, artifacts, *[item[n] for n in _ITEM], None, *_NO_CLOSING))
+                        held += len(item["content"] or b"")
+                        artifacts += 1
+                    if held >= flush_bytes or len(rows) >= FLUSH_ROWS:
+                        yield flushed()
+            except Exception as error:  # a hook may raise anything
+                status, code = "FAILED", ERROR_CODE
+                reason = str(error).encode(errors="replace").decode()
+            rows.append((*key, CLOSING, None, *_NO_ARTIFACT, None, status, code, reason, metrics, artifacts, children,
+                         *[message[n] for n, _ in CARRIED]))
+            held += len(message["params"] or "")
+            if held >= flush_bytes or len(rows) >= FLUSH_ROWS:
+                yield flushed()
         if rows:
             yield flushed()
 

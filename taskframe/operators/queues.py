@@ -93,8 +93,8 @@ def is_fifo(queue: Column) -> Column:
     return F.lower(queue).endswith(".fifo")
 
 
-def outbox(messages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> Outbox:
-    """Rows ready to publish: queue, body, delay, group and deduplication id.
+def checked_outbox(messages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    """Rows with queue, body, delay, group, deduplication id and `problem` (null when they can be sent).
 
     Needs queue and body; delay_seconds, group_id, dedup_id and task_id are
     optional.  A FIFO queue needs a group and falls back to the task id for
@@ -110,9 +110,14 @@ def outbox(messages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> Outbox:
         F.when(F.col("body").isNull(), "empty_body")
         .when(fifo & group.isNull(), "fifo_without_group")
         .when(F.octet_length("body") > max_bytes, "body_too_large"))
-    rows = messages.withColumns({
+    return messages.withColumns({
         "delay_seconds": clamp_delay(F.coalesce(column("delay_seconds", "int"), F.lit(0))),
         "group_id": group, "dedup_id": dedup, "problem": problem})
+
+
+def outbox(messages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> Outbox:
+    """Rows ready to publish, and those that are refused."""
+    rows = checked_outbox(messages, max_bytes)
     return Outbox(
         sent=rows.filter("problem is null").drop("problem"),
         refused=rows.filter("problem is not null"))

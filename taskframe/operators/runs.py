@@ -27,7 +27,9 @@ SENT_SCHEMA = "kind string, body string, delay_seconds int, group_id string, ded
 def one_per_task(messages: DataFrame) -> DataFrame:
     """The message of each task with the smallest id; repeated deliveries do no work twice."""
     first = F.min_by(F.struct(*[c for c in messages.columns if c not in TASK_KEY]), "message_id")
-    return messages.groupBy(*TASK_KEY).agg(first.alias("_m")).select(*TASK_KEY, "_m.*")
+    # User code takes far longer than its rows are large, so parts are not joined by their size.
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.repartition(parts, *TASK_KEY).groupBy(*TASK_KEY).agg(first.alias("_m")).select(*TASK_KEY, "_m.*")
 
 
 def _outcomes(laid: DataFrame, closing: DataFrame) -> DataFrame:
@@ -112,13 +114,12 @@ def run_messages(messages: DataFrame, hook: hooks.Hook, dag, bucket: str, base:
         "uri", "_row.*", F.lit(number).cast("bigint").alias("commit"), F.lit(id).alias("run"))
     manifest.write.parquet(folders["manifest"])
 
-    sent = queues.outbox(_children(rows, laid, done, dag, bucket).unionByName(
+    checked = queues.checked_outbox(_children(rows, laid, done, dag, bucket).unionByName(
         _completions(done, layout.write_info(laid), results_queue)), max_body)
     # A body that cannot be sent stops the run before its commit: nothing may get lost.
-    checked = sent.sent.unionByName(sent.refused.withColumn(
-        "body", F.raise_error(F.concat(F.lit("message of task "), "task_id", F.lit(": "), "problem")).cast("string"),
-    ).drop("problem"))
-    checked.select(*SENT).write.partitionBy("queue").parquet(folders["messages"])
+    refusal = F.raise_error(F.concat(F.lit("message of task "), "task_id", F.lit(": "), "problem")).cast("string")
+    sent = checked.withColumn("body", F.when(F.col("problem").isNull(), F.col("body")).otherwise(refusal))
+    sent.select(*SENT).write.partitionBy("queue").parquet(folders["messages"])
     commits.commit(spark, base, id, folders, number=number)
 
 
