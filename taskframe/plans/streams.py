@@ -22,11 +22,14 @@ JOBS = Jobs()
 
 
 def landed(spark: SparkSession, rows: DataFrame, records_per_file: int = 20_000,
-           files_per_trigger: int = 64) -> DataFrame:
+           files_per_trigger: int = 64, batches: int = 1) -> DataFrame:
     """A table written as it is partitioned, in files of bounded size, and read
-    back as a stream."""
+    back as a stream, in so many batches at least where there are as many files."""
     folder = scratch_dir(spark, "landing")
     rows.write.option("maxRecordsPerFile", records_per_file).parquet(folder)
+    if batches > 1:
+        files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+        files_per_trigger = max(1, min(files_per_trigger, files // batches))
     return (
         spark.readStream.schema(rows.schema)
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
@@ -59,10 +62,11 @@ def _stream_transitions(spark, sf_dir):
     events = table(spark, sf_dir, "task_events")
     moves = events.filter("status <> 'QUEUED'").select(*TASK_KEY, "seq", "ts", "status", "error_code")
     twice = moves.withColumn("copy", F.lit(0)).unionByName(moves.where("seq % 7 = 0").withColumn("copy", F.lit(1)))
-    mixed = twice.repartition(4, F.xxhash64("seq", "copy")).drop("copy")
+    parts = max(4, spark.sparkContext.defaultParallelism)
+    mixed = twice.repartition(parts, F.xxhash64("seq", "copy")).drop("copy")
     base = scratch_dir(spark, "state")
     state_streams.stream_transitions(
-        landed(spark, mixed, files_per_trigger=1), base, scratch_dir(spark, "progress")).awaitTermination()
+        landed(spark, mixed, batches=4), base, scratch_dir(spark, "progress")).awaitTermination()
     moved = transitions.apply_moves(
         first_states(events), state_streams.read_state(spark, base, "moves"), state_streams.read_state(spark, base, "retries"))
     return moved.select(*TASK_KEY, "user_id", "status", "retry_count", "updated_at", "started_at", "finished_at", "error_code")
