@@ -18,6 +18,8 @@ CONTEXT, STRIDE = 24, 16
 EMBED, HEAD, HIDDEN, GROUPS, CLASSES = 32, 16, 32, 16, 16
 PRIOR, CLIP = 4.0, 1.0
 _NEVER = np.float32(-1e9)
+# Rows that `_gathered` adds at once.
+BLOCK = 8
 # Steps over which the rate rises; it falls with the root of the step after them.
 WARM = 32
 
@@ -87,11 +89,11 @@ def initial(size: int) -> Parameters:
 
 
 def table_of(p: Parameters) -> list[np.ndarray]:
-    """Per id: query (scaled), key, value, its part and the part of the id before."""
-    made = p["embed"] @ p["project"]
-    made[:, :HEAD] *= np.float32(HEAD ** -0.5)
-    ask, key, value, this, last = (np.ascontiguousarray(x) for x in np.split(made, _CUTS[:-1], axis=1))
-    return [ask, key, np.hstack([value, np.ones((len(value), 1), np.float32)]), this, last]
+    """Per id: query (scaled) and its part, key and value, the part of the id before."""
+    embed, (ask, key, value, this, last) = p["embed"], np.split(p["project"], _CUTS[:-1], axis=1)
+    mine = embed @ np.hstack([ask * np.float32(HEAD ** -0.5), this])
+    mine[:, HEAD:] += p["shift"]
+    return [mine, embed @ np.hstack([key, value]), embed @ last]
 
 
 def _distances() -> np.ndarray:
@@ -102,6 +104,12 @@ def _distances() -> np.ndarray:
 _BACK = _distances()
 
 
+# Shares are quotients of plain exponentials while these stay in range.
+_LARGE, _SMALL = 60.0, 1e-30
+_KEYS = np.ones(CONTEXT, np.float32)
+_SEEN = (_BACK >= 0).astype(np.float32)
+
+
 class Forward:
     """One batch of windows: ids (n, CONTEXT + 1), the first one before the context.
 
@@ -110,41 +118,62 @@ class Forward:
 
     def __init__(self, table: list[np.ndarray], p: Parameters, tables: Tables, ids: np.ndarray, ahead: np.ndarray,
                  targets: np.ndarray) -> None:
+        n = len(ids)
         keys, asks = ids[:, 1:], ids[:, 1 + CONTEXT - STRIDE:]
         before = ids[:, CONTEXT - STRIDE:CONTEXT]
-        ask, key, value, this, last = table
-        self.q, self.k, self.v = ask.take(asks, 0), key.take(keys, 0), value.take(keys, 0)
+        mine, seen, last = table
+        mine, seen = mine.take(asks, 0), seen.take(keys, 0)
+        self.q, self.k, self.v = mine[:, :, :HEAD], seen[:, :, :HEAD], seen[:, :, HEAD:]
+        self.p, self.total = self._attention(p["distance"], ahead)
+        # What is left of the quotient, by query.
+        self.inverse = 1 / self.total[:, None]
+        self.mean = (self.p @ self.v).reshape(-1, HIDDEN)
+        self.mean *= self.inverse
+        hidden = last.take(before, 0).reshape(-1, HIDDEN)
+        hidden += mine[:, :, HEAD:].reshape(-1, HIDDEN)
+        hidden += self.mean
+        np.maximum(hidden, 0, out=hidden)
+        # Queries in order of their target's group, so each group is one product.
+        goal = targets.ravel()
+        group = tables.group.take(goal)
+        self.order = np.argsort(group.astype(np.int16), kind="stable")
+        self.bounds = np.r_[0, np.cumsum(np.bincount(group, minlength=GROUPS))].tolist()
+        self.hidden, self.goal, self.group = hidden.take(self.order, 0), goal.take(self.order), group.take(self.order)
+        self.place = tables.place.take(self.goal)
+        prev = asks.ravel().take(self.order)
+        scores = self.hidden @ p["groups"]
+        scores += (tables.groups + p["group_bias"]).take(prev, 0)
+        self.of_group, self.group_total, log_group = _shares(scores, self.group)
+        scores = np.empty((n * STRIDE, CLASSES), np.float32)
+        for g, (lo, hi) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
+            np.matmul(self.hidden[lo:hi], p["classes"][g], out=scores[lo:hi])
+        scores += tables.classes.reshape(-1, CLASSES).take(prev * GROUPS + self.group, 0)
+        scores += p["class_bias"].take(self.group, 0)
+        self.of_class, self.class_total, log_class = _shares(scores, self.place)
+        self.logs = log_group + log_class
+        self.logs += tables.inside.ravel().take(prev * np.int64(len(tables.inside)) + self.goal)
+        self.ids = ids
+
+    def _attention(self, distance: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the scores, 0 where a key is not seen, and their sums by query."""
         s = self.q @ self.k.transpose(0, 2, 1)
-        s += np.where(_BACK >= 0, p["distance"][np.maximum(_BACK, 0)], _NEVER)
+        s += distance[np.maximum(_BACK, 0)]
         padded = np.flatnonzero(ahead)
-        if len(padded):
-            s[padded] += np.where(np.arange(CONTEXT) < ahead[padded, None], _NEVER, np.float32(0))[:, None, :]
+        unseen = np.arange(CONTEXT) < ahead[padded, None]
+        if s.max(initial=0) < _LARGE:
+            made = np.exp(s)
+            made *= _SEEN
+            if len(padded):
+                made[padded] *= ~unseen[:, None, :]
+            total = made.reshape(-1, CONTEXT) @ _KEYS
+            if total.min(initial=1) > _SMALL:
+                return made, total
+        s += np.where(_BACK >= 0, np.float32(0), _NEVER)
+        s[padded] += np.where(unseen, _NEVER, np.float32(0))[:, None, :]
         # Every query sees itself, so each row has a greatest score.
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        # The last column of the values is one, so its product is the sum.
-        made = s @ self.v
-        self.p, self.total = s, made[:, :, HIDDEN:]
-        hidden = made[:, :, :HIDDEN] / self.total
-        hidden += this.take(asks, 0)
-        hidden += last.take(before, 0)
-        hidden += p["shift"]
-        np.maximum(hidden, 0, out=hidden)
-        # Queries in order of their target's group, so each group is one product.
-        flat, goal = hidden.reshape(-1, HIDDEN), targets.ravel()
-        group = tables.group[goal]
-        self.order = np.argsort(group.astype(np.int16), kind="stable")
-        self.bounds = np.searchsorted(group[self.order], np.arange(GROUPS + 1))
-        self.hidden, self.goal, self.group = flat[self.order], goal[self.order], group[self.order]
-        self.place = tables.place[self.goal]
-        prev = asks.ravel()[self.order]
-        self.of_group, log_group = _softmax(self.hidden @ p["groups"] + p["group_bias"] + tables.groups[prev], self.group)
-        scores = tables.classes[prev, self.group]
-        for g, (lo, hi) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
-            scores[lo:hi] += self.hidden[lo:hi] @ p["classes"][g] + p["class_bias"][g]
-        self.of_class, log_class = _softmax(scores, self.place)
-        self.logs = log_group + log_class + tables.inside[prev, self.goal]
-        self.ids, self.keys, self.asks, self.before = ids, keys, asks, before
+        return s, s.reshape(-1, CONTEXT) @ _KEYS
 
     def log_probability(self) -> np.ndarray:
         """Natural logarithm of each target, (n, STRIDE)."""
@@ -154,42 +183,70 @@ class Forward:
 
     def gradients(self, p: Parameters, weight: np.ndarray) -> Parameters:
         """Of the mean negative log probability over weighted queries."""
-        n, c = len(self.ids), _CUTS
-        row = np.arange(len(self.goal))
-        each = (weight.ravel()[self.order] / max(weight.sum(), 1))[:, None]
+        c = _CUTS
+        at = np.arange(len(self.goal)) * GROUPS
+        each = weight.ravel().take(self.order) / max(weight.sum(), 1)
         of_group, of_class = self.of_group, self.of_class
-        of_group[row, self.group] -= 1
-        of_class[row, self.place] -= 1
-        of_group *= each
-        of_class *= each
-        out = {"groups": self.hidden.T @ of_group, "group_bias": of_group.sum(axis=0),
-               "classes": np.zeros_like(p["classes"]), "class_bias": np.zeros_like(p["class_bias"])}
-        back = of_group @ p["groups"].T
+        of_group *= (each / self.group_total)[:, None]
+        of_group.ravel()[at + self.group] -= each
+        of_class *= (each / self.class_total)[:, None]
+        of_class.ravel()[at // GROUPS * CLASSES + self.place] -= each
+        one = np.ones(len(of_group), np.float32)
+        out = {"groups": self.hidden.T @ of_group, "group_bias": one @ of_group,
+               "classes": np.empty_like(p["classes"]), "class_bias": np.empty_like(p["class_bias"])}
+        back, other = of_group @ p["groups"].T, np.empty_like(self.hidden)
         for g, (lo, hi) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
-            out["classes"][g] = self.hidden[lo:hi].T @ of_class[lo:hi]
-            out["class_bias"][g] = of_class[lo:hi].sum(axis=0)
-            back[lo:hi] += of_class[lo:hi] @ p["classes"][g].T
+            np.matmul(self.hidden[lo:hi].T, of_class[lo:hi], out=out["classes"][g])
+            np.matmul(one[lo:hi], of_class[lo:hi], out=out["class_bias"][g])
+            np.matmul(of_class[lo:hi], p["classes"][g].T, out=other[lo:hi])
+        back += other
         back *= self.hidden > 0
-        dh = np.empty_like(back)
+        dh = other
         dh[self.order] = back
-        dh = dh.reshape(n, STRIDE, HIDDEN)
-        out["shift"] = dh.sum(axis=(0, 1))
-        self.p /= self.total
-        dv = self.p.transpose(0, 2, 1) @ dh
-        ds = dh @ self.v[:, :, :HIDDEN].transpose(0, 2, 1)
-        ds -= (ds * self.p).sum(axis=2, keepdims=True)
+        out["shift"] = one @ dh
+        # The shares are quotients: their divisor is taken once, by query.
+        part = dh * self.inverse
+        less = np.einsum("ij,ij->i", part, self.mean).reshape(-1, STRIDE, 1)
+        dh, part = dh.reshape(-1, STRIDE, HIDDEN), part.reshape(-1, STRIDE, HIDDEN)
+        ds = part @ self.v.transpose(0, 2, 1)
+        ds -= less
         ds *= self.p
         out["distance"] = np.bincount(
-            np.maximum(_BACK, 0).ravel(), (ds.sum(axis=0) * (_BACK >= 0)).ravel(), CONTEXT).astype(np.float32)
-        scale = np.float32(HEAD ** -0.5)
-        made = np.zeros((len(p["embed"]), int(c[-1])), np.float32)
-        for at, grad, lo, hi in ((self.asks, ds @ self.k * scale, 0, c[0]), (self.keys, ds.transpose(0, 2, 1) @ self.q, c[0], c[1]),
-                                 (self.keys, dv, c[1], c[2]), (self.asks, dh, c[2], c[3]), (self.before, dh, c[3], c[4])):
-            made[:, lo:hi] = _gathered(at.ravel(), grad.reshape(-1, hi - lo), len(made))
+            np.maximum(_BACK, 0).ravel(), ds.sum(axis=0).ravel(), CONTEXT).astype(np.float32)
+        # By place of the window: what each id's projections are to move by; the last row stays zero.
+        n, own = len(self.ids), CONTEXT - STRIDE
+        flat = np.empty((n * (CONTEXT + 1) + 1, int(c[-1])), np.float32)
+        flat[-1] = 0
+        moves = flat[:-1].reshape(n, CONTEXT + 1, -1)
+        moves[:, :own + 1, :c[0]] = 0
+        moves[:, own + 1:, :c[0]] = ds @ self.k
+        moves[:, 0, c[0]:c[2]] = 0
+        moves[:, 1:, c[0]:c[1]] = ds.transpose(0, 2, 1) @ self.q
+        moves[:, 1:, c[1]:c[2]] = self.p.transpose(0, 2, 1) @ part
+        moves[:, :own + 1, c[2]:c[3]] = 0
+        moves[:, own + 1:, c[2]:c[3]] = dh
+        moves[:, :own, c[3]:] = moves[:, CONTEXT:, c[3]:] = 0
+        moves[:, own:CONTEXT, c[3]:] = dh
+        made = _gathered(self.ids.ravel(), flat, len(p["embed"]))
+        made[:, :HEAD] *= np.float32(HEAD ** -0.5)
         out["embed"], out["project"] = made @ p["project"].T, p["embed"].T @ made
         return out
 
 
+def _shares(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row numbers in proportion to its shares, their sum, and the logarithm of
+    the share at its goal."""
+    at = np.arange(len(x)) * x.shape[1] + goal
+    at_goal = x.ravel().take(at)
+    if x.max(initial=0) < _LARGE:
+        made = np.exp(x)
+        total = made @ np.ones(x.shape[1], np.float32)
+        if total.min(initial=1) > _SMALL:
+            return made, total, at_goal - np.log(total)
+    share, log = _softmax(x, goal)
+    return share, np.ones(len(x), np.float32), log
+
+
 def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's shares, and the logarithm of the share at its goal."""
     x -= x.max(axis=1, keepdims=True)
@@ -201,12 +258,39 @@ def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """The sum of rows by index."""
-    order = np.argsort(at, kind="stable")
-    ordered = at[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    """The sum of rows by index.  A last row, of zeros, has no index."""
+    counts = np.bincount(at, minlength=size)
+    order = np.argsort(at.astype(np.int16 if size <= 1 << 15 else np.int64), kind="stable")
     out = np.zeros((size, rows.shape[1]), np.float32)
-    out[ordered[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    found = np.flatnonzero(counts)
+    out[found] = _summed(order, counts.take(found), rows)
+    return out
+
+
+def _summed(order: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] of the ordered rows, the next counts[1] and so on.
+
+    Rows of a sum are added in blocks of BLOCK, all first rows of blocks at once, all
+    second ones and so on, then the blocks in the same way.  The last row is zero.
+    """
+    blocks = (counts + (BLOCK - 1)) // BLOCK
+    ends, total = np.cumsum(blocks), int(blocks.sum())
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    rank = np.arange(len(order)) - first
+    place = np.repeat(ends - blocks, counts) + rank // BLOCK
+    taken = np.full(BLOCK * total, len(rows) - 1)
+    taken[rank % BLOCK * total + place] = order
+    taken = taken.reshape(BLOCK, total)
+    sums = rows.take(taken[0], 0)
+    for plane in taken[1:]:
+        sums += rows.take(plane, 0)
+    more = blocks > 1
+    if not more.any():
+        return sums
+    out = sums.take(ends - blocks, 0)
+    part = np.flatnonzero(np.repeat(more, blocks))
+    kept = np.concatenate([sums.take(part, 0), np.zeros((1, sums.shape[1]), np.float32)])
+    out[more] = _summed(np.arange(len(part)), blocks[more], kept)
     return out
 
 
@@ -218,17 +302,27 @@ class Adam:
 
     def step(self, p: Parameters, g: Parameters) -> None:
         self.n += 1
-        norm = float(np.sqrt(sum((x * x).sum(dtype=np.float64) for x in g.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         if not np.isfinite(norm):
             raise FloatingPointError(f"gradient is not finite at step {self.n}")
         rate = self.rate * min(self.n / WARM, (WARM / self.n) ** 0.5)
         cut = min(1.0, CLIP / max(norm, 1e-12))
-        for k in p:
-            x = g[k] * np.float32(cut)
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.s[k] += np.float32(0.01) * (x * x - self.s[k])
-            m, s = self.m[k] / (1 - 0.9 ** self.n), self.s[k] / (1 - 0.99 ** self.n)
-            p[k] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
+        # Both means as they stand after n steps from zero; the roots' factor joins the rate.
+        root = (1 - 0.99 ** self.n) ** 0.5
+        rate, least = np.float32(rate * root / (1 - 0.9 ** self.n)), np.float32(1e-7 * root)
+        for k, x in g.items():
+            m, s = self.m[k], self.s[k]
+            m *= np.float32(0.9)
+            m += x * np.float32(0.1 * cut)
+            s *= np.float32(0.99)
+            x = x * np.float32(0.1 * cut)
+            x *= x
+            s += x
+            x = np.sqrt(s, out=x)
+            x += least
+            np.divide(m, x, out=x)
+            x *= rate
+            p[k] -= x
 
 
 Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]

@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,14 +62,27 @@ class Subwords:
         self.encoding = tiktoken.Encoding(
             "subwords", pat_str=PATTERN, mergeable_ranks={t: r for t, r in ranks.items() if r < END},
             special_tokens={}, explicit_n_vocab=END)
+        # Ids that begin with a space: a word's first one, and no other of its ids.
+        self.spaced = np.zeros(END, bool)
+        self.spaced[[r for t, r in ranks.items() if r < END and t[:1] == b" "]] = True
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        encode = self.encoding.encode_ordinary
+        encode, plain = self.encoding.encode_ordinary, []
         for w in words.difference(self.known):
-            self.known[w] = array("H", encode(" " + w.decode())).tobytes()
+            # Other white space inside would meet the space before the next word.
+            if len(w.decode().split()) == 1:
+                plain.append(w)
+            else:
+                self.known[w] = array("H", encode(" " + w.decode())).tobytes()
+        if plain:
+            # No token reaches over the space before a word, so one text has the ids of all.
+            ids = np.array(encode(" " + b" ".join(plain).decode()), np.uint16)
+            starts, raw = (2 * np.flatnonzero(self.spaced[ids])).tolist(), ids.tobytes()
+            self.known.update(zip(plain, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)),
+                                  strict=True))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """The ids of a text's words, all learned before, and the end."""
@@ -90,8 +104,43 @@ def subwords(path: str) -> Subwords:
     return _subwords[path]
 
 
-def _split(texts: list[str | None]) -> list[list[bytes]]:
-    return [(t or "").encode().lower().split() for t in texts]
+class Words:
+    """The words of texts, each with its end (the empty word): the distinct words, and
+    which of them stand in the texts, one text after another."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        lower = pc.ascii_lower(pc.fill_null(texts, ""))
+        parts = pc.ascii_split_whitespace(lower)
+        found, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64)
+        # White space at the borders of a text leaves empty parts.
+        real = pc.greater(pc.binary_length(found), 0)
+        ends = np.cumsum(sizes)
+        before = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+        sizes = before[ends] - before[ends - sizes]
+        coded = found.filter(real).dictionary_encode()
+        kind = pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()
+        self.distinct = pa.concat_arrays([coded.dictionary.cast(kind), pa.array([b""], kind)])
+        self.end = len(self.distinct) - 1
+        # How many words each text has, its end among them, and where it starts.
+        self.sizes = sizes + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(sizes), self.end)
+        self.list = self.distinct.to_numpy(zero_copy_only=False).tolist()
+
+    def texts_ids(self, codec: Subwords) -> list[np.ndarray]:
+        """The ids of each text."""
+        fresh = set(self.list[:-1])
+        codec.learn(fresh)
+        raw = [*map(codec.known.__getitem__, self.list[:-1]), END.to_bytes(2, "little")]
+        codec.forget(fresh)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        ids = np.frombuffer(b"".join(raw), "<u2").astype(np.int32)
+        each = lengths.take(self.codes)
+        ends = np.cumsum(each)
+        # From a place in the texts to the place in the distinct words' ids.
+        shift = (np.cumsum(lengths) - lengths).take(self.codes) - (ends - each)
+        flat = ids.take(np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(shift, each))
+        return np.split(flat, ends[self.starts[1:] - 1])[:len(self.sizes)]
 
 
 _CORPUS = T.StructType([
@@ -113,10 +162,16 @@ def gather(texts: DataFrame, path: str) -> DataFrame:
 
         def made(word=None, pair=None, n=None, window=None, deal=None) -> pa.RecordBatch:
             size = len(word if word is not None else pair if pair is not None else window)
+            if window is not None:
+                # All rows are of one width, so their borders are known.
+                borders = np.arange(size + 1, dtype=np.int32) * np.int32(window.strides[0])
+                window = pa.Array.from_buffers(
+                    pa.binary(), size, [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(window))])
             columns = [(word, pa.binary()), (pair, pa.int64()), (n, pa.int64()), (window, pa.binary()),
                        (deal, pa.int32())]
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(size, kind) if c is None else pa.array(c, kind) for c, kind in columns],
+                [pa.nulls(size, kind) if c is None else c if isinstance(c, pa.Array) else pa.array(c, kind)
+                 for c, kind in columns],
                 _CORPUS.fieldNames())
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -133,14 +188,9 @@ def gather(texts: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                rows = _split(part.column(0).to_pylist())
-                fresh = set().union(*rows)
-                codec.learn(fresh)
-                texts_ids = [codec.ids(r) for r in rows]
-                codec.forget(fresh)
-                for r in rows:
-                    words.update(r)
-                words[b""] += len(rows)
+                found = Words(part.column(0))
+                texts_ids = found.texts_ids(codec)
+                words.update(dict(zip(found.list, np.bincount(found.codes).tolist(), strict=True)))
                 # Each text ends with END, which also comes before the next one's first id.
                 flat = np.concatenate(texts_ids)
                 pairs.append(np.r_[np.int32(END), flat[:-1]] * np.int32(SIZE) + flat)
@@ -149,7 +199,7 @@ def gather(texts: DataFrame, path: str) -> DataFrame:
                 packed = np.hstack([ahead[:, None], ids, np.where(weight > 0, targets, -1)]).astype("<i2")
                 if len(packed):
                     deal = (dealt + np.arange(len(packed))) % (1 << 30)
-                    yield made(window=[row.tobytes() for row in packed], deal=deal.astype(np.int32))
+                    yield made(window=packed, deal=deal.astype(np.int32))
                     dealt += len(packed)
                 if len(words) > HELD_WORDS:
                     yield from counted()
@@ -197,18 +247,23 @@ def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float)
             wide = attention.CONTEXT + 2
 
             def grouped():
-                held = []
+                held = np.empty((0, wide + attention.STRIDE), np.int32)
                 for batch in batches:
-                    for w in batch.column(0).to_pylist():
-                        held.append(w)
-                        if len(held) == BATCH:
-                            yield unpacked(held)
-                            held = []
-                if held:
+                    column = batch.column(0)
+                    raw = column.buffers()[2]
+                    if raw is None:
+                        continue
+                    # All of one width, and none is null.
+                    made = np.frombuffer(raw, "<i2").reshape(-1, held.shape[1])[column.offset:column.offset + len(column)]
+                    held = np.concatenate([held, made.astype(np.int32)])
+                    whole = len(held) // BATCH * BATCH
+                    for at in range(0, whole, BATCH):
+                        yield unpacked(held[at:at + BATCH])
+                    held = held[whole:]
+                if len(held):
                     yield unpacked(held)
 
-            def unpacked(held):
-                x = np.frombuffer(b"".join(held), "<i2").reshape(len(held), -1).astype(np.int32)
+            def unpacked(x):
                 goal = x[:, wide:]
                 return x[:, 1:wide], x[:, 0], np.maximum(goal, 0), (goal >= 0).astype(np.float32)
 
@@ -273,24 +328,23 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds:
         table, codec = attention.table_of(p), subwords(path)
 
         def run(texts):
-            rows = _split(texts.to_pylist())
-            fresh = set().union(*rows)
-            codec.learn(fresh)
-            scores = attention.log_probabilities(p, table, tables, [codec.ids(r) for r in rows], END)
-            codec.forget(fresh)
-            get, unknown = frequent.get, len(frequent)
-            sizes, bases, knowns, rares = [], [], [], []
-            for r in rows:
-                r.append(b"")
-                at = np.fromiter(map(get, r, repeat(unknown)), np.int64, len(r))
-                miss = np.flatnonzero(at == unknown)
-                sizes.append(len(r))
-                bases.append(float(logs[at].sum()))
-                knowns.append(len(r) - len(miss))
-                rares.append([{"word": w, "n": n} for w, n in Counter(r[i] for i in miss.tolist()).items()])
-            return [pa.array(sizes, pa.int64()), pa.array(scores), pa.array(bases, pa.float64()),
-                    pa.array(knowns, pa.int64()),
-                    pa.array(rares, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+            found = Words(texts)
+            scores = attention.log_probabilities(p, table, tables, found.texts_ids(codec), END)
+            unknown, n = len(frequent), len(found.sizes)
+            at = np.fromiter(map(frequent.get, found.list, repeat(unknown)), np.int64, len(found.list))
+            at = at.take(found.codes)
+            text = np.repeat(np.arange(n), found.sizes)
+            bases = np.bincount(text, logs.take(at), n)
+            miss = np.flatnonzero(at == unknown)
+            knowns = found.sizes - np.bincount(text.take(miss), minlength=n)
+            # Per text, each of its other words once, with its number.
+            both, times = np.unique(text.take(miss) * len(found.list) + found.codes.take(miss), return_counts=True)
+            borders = np.searchsorted(both, np.arange(n + 1) * len(found.list)).astype(np.int32)
+            rares = pa.StructArray.from_arrays(
+                [found.distinct.take(pa.array(both % len(found.list))).cast(pa.binary()), pa.array(times, pa.int64())],
+                ["word", "n"])
+            return [pa.array(found.sizes, pa.int64()), pa.array(scores), pa.array(bases, pa.float64()),
+                    pa.array(knowns, pa.int64()), pa.ListArray.from_arrays(pa.array(borders), rares)]
         return run
 
     entry = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])

@@ -7,10 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from taskframe.llm import alignment, classifier, frames, licenses, nnls_packing, packing, pii, queries, spelling
+from taskframe.llm import (
+    alignment, attention, classifier, frames, licenses, lm_scoring, nnls_packing, packing, pii, queries, spelling,
+)
 
 BYTE_BPE = queries.tokenizer_path("byte_bpe_50k.json")
 PIECES = queries.tokenizer_path("piece_bpe_32k.model")
@@ -422,3 +425,64 @@ def test_ids_of_odd_words_are_the_librarys():
             want = word_ids.tokenizer.encode(text, add_special_tokens=False).ids + [1]
             assert np.frombuffer(got, "<u4").tolist() == want, text
     assert word_ids.ids([]) == [] and len(word_ids.ids(["", " "])) == 2
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    """Distinct words and their ids against plain splitting; one text is encoded for all ordinary words."""
+    rng = random.Random(5)
+    signs = " \t\n\x0b\x0c\r\x1c\x85\xa0\u3000\u2028aAbZ's1²Äß-._中́\x00İ"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(800)] + [None, "", " \n ", "a b"]
+    path = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    plain = [(t or "").encode().lower().split() for t in texts]
+    one = lm_scoring.Subwords(path)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["x y", *texts], kind).slice(1)
+        found = lm_scoring.Words(column)
+        assert found.sizes.tolist() == [len(r) + 1 for r in plain]
+        assert [found.list[c] for c in found.codes] == [w for r in plain for w in [*r, b""]]
+        for made, words in zip(found.texts_ids(lm_scoring.Subwords(path)), plain, strict=True):
+            each = [one.encoding.encode_ordinary(" " + w.decode()) for w in words]
+            assert made.tolist() == [i for ids in each for i in ids] + [lm_scoring.END]
+    calls = []
+    counted = lm_scoring.Subwords(path)
+    counted.encoding = type("Counted", (), {"encode_ordinary": lambda _, t: calls.append(t) or one.encoding.encode_ordinary(t)})()
+    counted.learn({f"word{n}".encode() for n in range(500)})
+    assert len(calls) == 1 and len(counted.known) == 500
+    assert [len(t) for t in lm_scoring.Words(pa.array([], pa.string())).texts_ids(one)] == []
+
+
+def test_rows_are_summed_by_index():
+    rng = np.random.default_rng(3)
+    for n, size in ((0, 5), (1, 5), (700, 3), (5000, 900), (40_000, 40_000)):
+        at = (rng.random(n) ** 3 * size).astype(np.int64)
+        rows = np.r_[rng.integers(-9, 9, (n, 7)), np.zeros((1, 7))].astype(np.float32)
+        summed = np.zeros((size, 7), np.float32)
+        np.add.at(summed, at, rows[:n])
+        assert np.array_equal(attention._gathered(at, rows, size), summed)
+
+
+def test_gradients_are_those_of_the_scores(monkeypatch):
+    """Against differences, with and without the greatest score taken away first."""
+    rng = np.random.default_rng(8)
+    size = 512
+    tables = attention.Tables(rng.integers(0, 5, (size, size)).astype(float))
+    p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.1) for k, v in attention.initial(size).items()}
+    texts = [rng.integers(0, size, n) for n in (3, 20, 41)]
+    ids, ahead, goals, weight, _ = attention.windows(texts, size - 1)
+
+    def loss(p):
+        logs = attention.Forward(attention.table_of(p), p, tables, ids, ahead, goals).log_probability()
+        return -float((logs.astype(float) * weight).sum() / weight.sum())
+
+    plain = attention.Forward(attention.table_of(p), p, tables, ids, ahead, goals)
+    made = plain.gradients(p, weight)
+    monkeypatch.setattr(attention, "_LARGE", -np.inf)
+    careful = attention.Forward(attention.table_of(p), p, tables, ids, ahead, goals)
+    assert np.allclose(plain.log_probability(), careful.log_probability(), atol=1e-4)
+    for k, g in careful.gradients(p, weight).items():
+        assert np.allclose(g, made[k], atol=1e-5), k
+    for k, g in made.items():
+        move = rng.standard_normal(g.shape).astype(np.float32)
+        step = np.float32(0.0003)
+        change = (loss(p | {k: p[k] + step * move}) - loss(p | {k: p[k] - step * move})) / (2 * float(step))
+        assert change == pytest.approx(float((g * move).sum()), abs=2e-3, rel=0.05), k
