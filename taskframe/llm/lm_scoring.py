@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskframe.llm import attention
-from taskframe.llm.frames import col, free_name, map_columns, others, slices, written
+from taskframe.llm.frames import col, drop_tables, free_name, map_columns, noted, others, slices, written
 
 # Subword ids, the end among them; the published split pattern is a fixed value.
 SIZE = 2048
@@ -308,7 +308,9 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds:
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = others(df, new)
     spark = df.sparkSession
-    corpus = written(gather(df.where(trained).select(col(text)), path), "corpus")
+    gathered: list[str] = []
+    with noted(gathered):
+        corpus = written(gather(df.where(trained).select(col(text)), path), "corpus")
     counts = written(corpus.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # One row per distinct pair, at most SIZE * SIZE of them.
@@ -317,6 +319,8 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds:
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     tables = attention.Tables(pairs.reshape(SIZE, SIZE))
     p = fit(corpus.where("window is not null").select("window", "deal"), tables, rounds, rate)
+    # Nothing below reads the windows, which take more room than the texts.
+    drop_tables(gathered, counts)
     hot = counts.where(F.col("n") * HOT_SHARE >= total).toArrow()
     logs = np.log10((hot.column("n").to_numpy() + SMOOTH) / (total + SMOOTH * (distinct + 1)))
     frequent = dict(zip(hot.column("word").to_pylist(), range(len(logs)), strict=True))

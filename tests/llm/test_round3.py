@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -486,3 +487,12 @@ def test_gradients_are_those_of_the_scores(monkeypatch):
         step = np.float32(0.0003)
         change = (loss(p | {k: p[k] + step * move}) - loss(p | {k: p[k] - step * move})) / (2 * float(step))
         assert change == pytest.approx(float((g * move).sum()), abs=2e-3, rel=0.05), k
+
+
+def test_windows_are_dropped_before_texts_are_scored(spark):
+    paths = []
+    texts = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    with frames.noted(paths):
+        lm_scoring.score(texts, F.lit(True), queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), rounds=1)
+    left = [Path(p.removeprefix("file:")).exists() for p in paths]
+    assert left == ["corpus" not in p for p in paths] and left.count(False) == 1
