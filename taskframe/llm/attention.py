@@ -359,6 +359,42 @@ def windows(texts: list[np.ndarray], end: int) -> Windows:
     return ids, ahead, goal[at], real[at], owner
 
 
+def runs(flat: np.ndarray, sizes: np.ndarray, end: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of texts that stand one after another, up to `length` of a text in a row.
+
+    A row (int16) has the padding keys and the ids of its first window, then the targets of
+    all, -1 after the text's end.  Also returns how many windows each row has.
+    """
+    wide, lead = length * STRIDE, CONTEXT - STRIDE + 2
+    blocks = -(-sizes // wide)
+    starts = np.cumsum(blocks * wide + lead) - (blocks * wide + lead)
+    seen = np.full(int((blocks * wide + lead).sum()), -1, np.int16)
+    seen[(starts[:, None] + np.arange(lead)).ravel()] = end
+    within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen[np.repeat(starts + lead, sizes) + within] = flat
+    number = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    rows = np.empty((len(number), 2 + CONTEXT + wide), "<i2")
+    body = seen[(np.repeat(starts, blocks) + number * wide)[:, None] + np.arange(lead + wide)]
+    rows[:, 0] = np.where(number == 0, CONTEXT - STRIDE, 0)
+    rows[:, 1:2 + CONTEXT] = np.where(body[:, :CONTEXT + 1] < 0, end, body[:, :CONTEXT + 1])
+    rows[:, 2 + CONTEXT:] = body[:, lead:]
+    return rows, -(-np.minimum(np.repeat(sizes, blocks) - number * wide, wide) // STRIDE)
+
+
+def of_runs(rows: np.ndarray, deal: np.ndarray, turn: int, turns: int, end: int) -> tuple[np.ndarray, ...]:
+    """Ids, padding keys, targets and weights of the windows in rows of `runs` that are dealt
+    to a turn; `deal` is that of each row's first window."""
+    lead = CONTEXT - STRIDE + 2
+    body = np.hstack([rows[:, 1:1 + lead], rows[:, 2 + CONTEXT:]])
+    each = np.lib.stride_tricks.sliding_window_view(body, lead + STRIDE, axis=1)[:, ::STRIDE]
+    number = np.arange(each.shape[1])
+    taken = ((deal[:, None] + number) % turns == turn) & (each[:, :, lead] >= 0)
+    ahead = np.where(number == 0, rows[:, :1], 0)[taken]
+    found = each[taken].astype(np.int32)
+    ids, goal = found[:, :CONTEXT + 1], found[:, lead:]
+    return np.where(ids < 0, end, ids), ahead, np.maximum(goal, 0), (goal >= 0).astype(np.float32)
+
+
 def log_probabilities(p: Parameters, table: list[np.ndarray], tables: Tables, texts: list[np.ndarray], end: int,
                       batch: int = 192) -> np.ndarray:
     """The log10 probability of each text, every id scored once."""

@@ -21,9 +21,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskframe.llm import attention
+from taskframe.llm import attention, jvm_kernel
 from taskframe.llm.frames import col, drop_tables, free_name, map_columns, noted, others, slices, written
 
 # Subword ids, the end among them; the published split pattern is a fixed value.
@@ -47,8 +45,10 @@ SMOOTH, PARTS = 0.1, 8
 # Windows of a training task at least, while there are as many.
 TASK_WINDOWS = 32768
 CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
-# Counts a task holds before it hands them on.
-HELD_WORDS, HELD_PAIRS = 300_000, 8_000_000
+# Windows of a text that stand in one row.
+RUN = 16
+# Words whose counts a task holds before it hands them on.
+HELD_WORDS = 300_000
 
 
 class Subwords:
@@ -67,19 +67,34 @@ class Subwords:
         self.spaced[[r for t, r in ranks.items() if r < END and t[:1] == b" "]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, two bytes each."""
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        encode, plain = self.encoding.encode_ordinary, []
-        for w in words.difference(self.known):
-            # Other white space inside would meet the space before the next word.
-            if len(w.decode().split()) == 1:
-                plain.append(w)
-            else:
-                self.known[w] = array("H", encode(" " + w.decode())).tobytes()
+        made = [*map(self.known.get, words)]
+        fresh = [n for n, ids in enumerate(made) if ids is None]
+        if fresh:
+            new = [words[n] for n in fresh]
+            self.learn(new)
+            for n, w in zip(fresh, new, strict=True):
+                made[n] = self.known[w]
+            self.forget(new)
+        return made
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Distinct words."""
+        encode, known = self.encoding.encode_ordinary, self.known
+        plain = [w for w in words if w not in known]
+        text = b" ".join(plain).decode()
+        # Other white space inside would meet the space before the next word.
+        if len(text.split()) != len(plain):
+            odd = [w for w in plain if len(w.decode().split()) != 1]
+            self.known.update((w, array("H", encode(" " + w.decode())).tobytes()) for w in odd)
+            plain = [w for w in plain if w not in known]
+            text = b" ".join(plain).decode()
         if plain:
             # No token reaches over the space before a word, so one text has the ids of all.
-            ids = np.array(encode(" " + b" ".join(plain).decode()), np.uint16)
+            ids = np.array(encode(" " + text), np.uint16)
             starts, raw = (2 * np.flatnonzero(self.spaced[ids])).tolist(), ids.tobytes()
             self.known.update(zip(plain, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)),
                                   strict=True))
@@ -89,7 +104,7 @@ class Subwords:
         raw = b"".join(map(self.known.__getitem__, words))
         return np.r_[np.frombuffer(raw, "<u2"), np.uint16(END)].astype(np.int32)
 
-    def forget(self, words: set[bytes]) -> None:
+    def forget(self, words: Iterable[bytes]) -> None:
         for w in words:
             if len(w) > CACHE_LENGTH:
                 del self.known[w]
@@ -127,20 +142,45 @@ class Words:
         self.codes = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(sizes), self.end)
         self.list = self.distinct.to_numpy(zero_copy_only=False).tolist()
 
+    def flat_ids(self, codec: Subwords) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and how many each has."""
+        raw = pa.array([*codec.of(self.list[:-1]), END.to_bytes(2, "little")], pa.large_binary())
+        found = raw.take(pa.array(self.codes))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1] // 2
+        flat = np.frombuffer(found.buffers()[2] or b"", "<u2")[ends[0]:ends[-1]]
+        return flat, np.diff(ends[np.r_[0, self.starts + self.sizes]])
+
     def texts_ids(self, codec: Subwords) -> list[np.ndarray]:
         """The ids of each text."""
-        fresh = set(self.list[:-1])
-        codec.learn(fresh)
-        raw = [*map(codec.known.__getitem__, self.list[:-1]), END.to_bytes(2, "little")]
-        codec.forget(fresh)
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
-        ids = np.frombuffer(b"".join(raw), "<u2").astype(np.int32)
-        each = lengths.take(self.codes)
-        ends = np.cumsum(each)
-        # From a place in the texts to the place in the distinct words' ids.
-        shift = (np.cumsum(lengths) - lengths).take(self.codes) - (ends - each)
-        flat = ids.take(np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(shift, each))
-        return np.split(flat, ends[self.starts[1:] - 1])[:len(self.sizes)]
+        flat, sizes = self.flat_ids(codec)
+        return np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])[:len(sizes)]
+
+
+class WordCounts:
+    """Words with counts; a word may stand in several of the arrays that were added."""
+
+    def __init__(self) -> None:
+        self.words: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, words: pa.Array, counts: np.ndarray) -> None:
+        self.words.append(words.cast(pa.large_binary()))
+        self.counts.append(counts)
+        self.size += len(words)
+
+    def summed(self) -> tuple[pa.Array, np.ndarray]:
+        """Every word once."""
+        coded = pa.concat_arrays(self.words).dictionary_encode()
+        counts = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(counts, coded.indices.to_numpy(), np.concatenate(self.counts))
+        self.words, self.counts, self.size = [coded.dictionary], [counts], len(counts)
+        return coded.dictionary, counts
+
+    def taken(self) -> tuple[pa.Array, np.ndarray]:
+        words, counts = self.summed()
+        self.__init__()
+        return words.cast(pa.binary()), counts
 
 
 _CORPUS = T.StructType([
@@ -152,62 +192,45 @@ _CORPUS = T.StructType([
 def gather(texts: DataFrame, path: str) -> DataFrame:
     """Words and id pairs with counts, not yet summed, and training windows.
 
-    The end is the empty word.  A window is packed: its padding, ids and targets;
+    The end is the empty word.  A window row is a run of `attention.runs`, n its windows;
     `deal` counts the windows of a task, from a place of the task's own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, words, pairs, held = subwords(path), Counter(), [], 0
+        codec, words, pairs = subwords(path), WordCounts(), np.zeros(SIZE * SIZE, np.int64)
         dealt = TaskContext.get().partitionId()
 
-        def made(word=None, pair=None, n=None, window=None, deal=None) -> pa.RecordBatch:
-            size = len(word if word is not None else pair if pair is not None else window)
+        def made(word=None, n=None, pair=None, window=None, deal=None) -> pa.RecordBatch:
             if window is not None:
                 # All rows are of one width, so their borders are known.
-                borders = np.arange(size + 1, dtype=np.int32) * np.int32(window.strides[0])
+                borders = np.arange(len(window) + 1, dtype=np.int32) * np.int32(window.strides[0])
                 window = pa.Array.from_buffers(
-                    pa.binary(), size, [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(window))])
+                    pa.binary(), len(window), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(window))])
             columns = [(word, pa.binary()), (pair, pa.int64()), (n, pa.int64()), (window, pa.binary()),
                        (deal, pa.int32())]
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(size, kind) if c is None else c if isinstance(c, pa.Array) else pa.array(c, kind)
+                [pa.nulls(len(n), kind) if c is None else c if isinstance(c, pa.Array) else pa.array(c, kind)
                  for c, kind in columns],
                 _CORPUS.fieldNames())
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            if words:
-                yield made(word=list(words), n=list(words.values()))
-                words.clear()
-
-        def paired() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                n = np.bincount(np.concatenate(pairs), minlength=SIZE * SIZE)
-                keys = np.flatnonzero(n)
-                yield made(pair=keys, n=n[keys])
-                pairs.clear()
-
         for batch in batches:
             for part in slices(batch):
                 found = Words(part.column(0))
-                texts_ids = found.texts_ids(codec)
-                words.update(dict(zip(found.list, np.bincount(found.codes).tolist(), strict=True)))
+                flat, sizes = found.flat_ids(codec)
+                words.add(found.distinct, np.bincount(found.codes, minlength=len(found.distinct)))
                 # Each text ends with END, which also comes before the next one's first id.
-                flat = np.concatenate(texts_ids)
-                pairs.append(np.r_[np.int32(END), flat[:-1]] * np.int32(SIZE) + flat)
-                held += len(flat)
-                ids, ahead, targets, weight, _ = attention.windows(texts_ids, END)
-                packed = np.hstack([ahead[:, None], ids, np.where(weight > 0, targets, -1)]).astype("<i2")
-                if len(packed):
-                    deal = (dealt + np.arange(len(packed))) % (1 << 30)
-                    yield made(window=packed, deal=deal.astype(np.int32))
-                    dealt += len(packed)
-                if len(words) > HELD_WORDS:
-                    yield from counted()
-                if held > HELD_PAIRS:
-                    yield from paired()
-                    held = 0
-        yield from counted()
-        yield from paired()
+                np.add.at(pairs, np.r_[np.int32(END), flat[:-1]] * np.int32(SIZE) + flat.astype(np.int32), 1)
+                rows, n = attention.runs(flat, sizes, END, RUN)
+                ends = dealt + np.cumsum(n)
+                yield made(window=rows, n=n, deal=((ends - n) % (1 << 30)).astype(np.int32))
+                dealt = int(ends[-1])
+                if words.size > 2 * HELD_WORDS and len(words.summed()[0]) > HELD_WORDS:
+                    yield made(*words.taken())
+        if words.size:
+            yield made(*words.taken())
+        keys = np.flatnonzero(pairs)
+        if len(keys):
+            yield made(pair=keys, n=pairs[keys])
 
     return texts.mapInArrow(run, _CORPUS)
 
@@ -227,45 +250,42 @@ def _shaped(flat: np.ndarray, like: attention.Parameters) -> attention.Parameter
     return out
 
 
-def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float) -> attention.Parameters:
+def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float,
+        kernel: jvm_kernel.Kernel | None = None) -> attention.Parameters:
     """Parameters trained on all windows, each in one round; a round averages what
     its tasks made.
 
-    `windows` has window and deal.  The tasks' parameters are summed in PARTS tasks, of one row each at a time, and
-    the driver adds those sums.
+    `windows` has window (a run), deal and n.  The tasks' parameters are summed in PARTS tasks, of one row each at a
+    time, and the driver adds those sums.  Without a kernel the tasks train in numpy.
     """
     spark, p = windows.sparkSession, attention.initial(SIZE)
     # An average of tasks that saw little is worth little: few windows, few tasks.
-    tasks = max(1, windows.count() // (rounds * TASK_WINDOWS))
+    tasks = max(1, (windows.agg(F.sum("n")).first()[0] or 0) // (rounds * TASK_WINDOWS))
     context = spark.sparkContext
-    given = context.broadcast(tables)
-    for n in range(rounds):
-        shared = context.broadcast(p)
+    given = None if kernel else context.broadcast(tables)
+    for turn in range(rounds):
+        shared, step = None if kernel else context.broadcast(p), rate / (turn + 1)
 
-        def run(batches, shared=shared, step=rate / (n + 1)):
+        def run(batches, shared=shared, step=step, turn=turn):
             own, tables = {k: v.copy() for k, v in shared.value.items()}, given.value
-            wide = attention.CONTEXT + 2
 
             def grouped():
-                held = np.empty((0, wide + attention.STRIDE), np.int32)
+                held = None
                 for batch in batches:
-                    column = batch.column(0)
+                    column, deal = batch.column(0), batch.column(1).to_numpy()
                     raw = column.buffers()[2]
                     if raw is None:
                         continue
                     # All of one width, and none is null.
-                    made = np.frombuffer(raw, "<i2").reshape(-1, held.shape[1])[column.offset:column.offset + len(column)]
-                    held = np.concatenate([held, made.astype(np.int32)])
-                    whole = len(held) // BATCH * BATCH
+                    rows = np.frombuffer(raw, "<i2").reshape(-1, 2 + attention.CONTEXT + RUN * attention.STRIDE)
+                    made = attention.of_runs(rows[column.offset:column.offset + len(column)], deal, turn, rounds, END)
+                    held = made if held is None else tuple(map(np.concatenate, zip(held, made, strict=True)))
+                    whole = len(held[1]) // BATCH * BATCH
                     for at in range(0, whole, BATCH):
-                        yield unpacked(held[at:at + BATCH])
-                    held = held[whole:]
-                if len(held):
-                    yield unpacked(held)
-
-            def unpacked(x):
-                goal = x[:, wide:]
-                return x[:, 1:wide], x[:, 0], np.maximum(goal, 0), (goal >= 0).astype(np.float32)
+                        yield tuple(x[at:at + BATCH] for x in held)
+                    held = tuple(x[whole:] for x in held)
+                if held and len(held[1]):
+                    yield held
 
             seen = attention.train(own, tables, grouped(), step)
             if seen:
@@ -285,8 +305,11 @@ def fit(windows: DataFrame, tables: attention.Tables, rounds: int, rate: float)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([0]), pa.array([total.tobytes()]), pa.array([weight])], ["at", "part", "weight"])
 
-        dealt = windows.where(F.col("deal") % rounds == n).select("window").coalesce(tasks)
-        made = dealt.mapInArrow(run, _PARAMETERS)
+        dealt = windows.select("window", "deal").coalesce(tasks)
+        if kernel:
+            made = kernel.learn(dealt, _PARAMETERS, _flat(p), (turn, rounds), RUN, BATCH, PARTS, END, step)
+        else:
+            made = dealt.mapInArrow(run, _PARAMETERS)
         sums = made.repartition(PARTS, "at").mapInArrow(add, _PARAMETERS).collect()
         if not sums:
             continue
@@ -318,25 +341,35 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds:
     pairs = np.zeros(SIZE * SIZE)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     tables = attention.Tables(pairs.reshape(SIZE, SIZE))
-    p = fit(corpus.where("window is not null").select("window", "deal"), tables, rounds, rate)
+    kernel = jvm_kernel.kernel(spark, tables)
+    p = fit(corpus.where("window is not null").select("window", "deal", "n"), tables, rounds, rate, kernel)
     # Nothing below reads the windows, which take more room than the texts.
     drop_tables(gathered, counts)
     hot = counts.where(F.col("n") * HOT_SHARE >= total).toArrow()
     logs = np.log10((hot.column("n").to_numpy() + SMOOTH) / (total + SMOOTH * (distinct + 1)))
-    frequent = dict(zip(hot.column("word").to_pylist(), range(len(logs)), strict=True))
-    shared = spark.sparkContext.broadcast((p, tables, frequent, np.r_[logs, 0.0]))
-    row, rare, base, known = (free_name(df, f"lm_{x}") for x in ("row", "rare", "base", "known"))
+    frequent = hot.column("word").combine_chunks().cast(pa.large_binary())
+    shared = spark.sparkContext.broadcast((None if kernel else (p, tables), frequent, np.r_[logs, 0.0]))
+    row, rare, base, known, ids = (free_name(df, f"lm_{x}") for x in ("row", "rare", "base", "known", "ids"))
 
     def start():
-        p, tables, frequent, logs = shared.value
-        table, codec = attention.table_of(p), subwords(path)
+        model, frequent, logs = shared.value
+        table, codec = attention.table_of(model[0]) if model else None, subwords(path)
+
+        def scored(found):
+            if model:
+                p, tables = model
+                return attention.log_probabilities(p, table, tables, found.texts_ids(codec), END)
+            flat, sizes = found.flat_ids(codec)
+            borders = np.r_[0, 2 * np.cumsum(sizes)].astype(np.int32)
+            return pa.Array.from_buffers(
+                pa.binary(), len(sizes), [None, pa.py_buffer(borders), pa.py_buffer(flat)])
 
         def run(texts):
             found = Words(texts)
-            scores = attention.log_probabilities(p, table, tables, found.texts_ids(codec), END)
+            scores = scored(found)
             unknown, n = len(frequent), len(found.sizes)
-            at = np.fromiter(map(frequent.get, found.list, repeat(unknown)), np.int64, len(found.list))
-            at = at.take(found.codes)
+            at = pc.fill_null(pc.index_in(found.distinct.cast(pa.large_binary()), frequent), unknown)
+            at = at.to_numpy().astype(np.int64).take(found.codes)
             text = np.repeat(np.arange(n), found.sizes)
             bases = np.bincount(text, logs.take(at), n)
             miss = np.flatnonzero(at == unknown)
@@ -347,15 +380,18 @@ def score(df: DataFrame, trained: Column, path: str, text: str = "text", rounds:
             rares = pa.StructArray.from_arrays(
                 [found.distinct.take(pa.array(both % len(found.list))).cast(pa.binary()), pa.array(times, pa.int64())],
                 ["word", "n"])
-            return [pa.array(found.sizes, pa.int64()), pa.array(scores), pa.array(bases, pa.float64()),
+            return [pa.array(found.sizes, pa.int64()), scores if isinstance(scores, pa.Array) else pa.array(scores), pa.array(bases, pa.float64()),
                     pa.array(knowns, pa.int64()), pa.ListArray.from_arrays(pa.array(borders), rares)]
         return run
 
     entry = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
     made = map_columns(df.select(*map(col, kept)), [text], T.StructType([
-        T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField(ids, T.BinaryType()) if kernel else T.StructField("score", T.DoubleType()),
         T.StructField(base, T.DoubleType()), T.StructField(known, T.LongType()),
         T.StructField(rare, T.ArrayType(entry))]), start)
+    if kernel:
+        made = made.withColumn("score", kernel.score(F.col(ids), _flat(p), END)).drop(ids)
     rows = written(made.withColumn(row, F.monotonically_increasing_id()), "scored")
     each = rows.select(F.col(row).alias("row"), F.explode(rare).alias("x")).select("row", "x.word", "x.n")
     seen = counts.where(F.col("n") * HOT_SHARE < total).select("word", F.col("n").alias("c"))
